@@ -43,6 +43,7 @@ def scan(
     chunk: Column | None = None,
     number: str | None = None,
     lag: dict[str, Column] | None = None,
+    lead: dict[str, Column] | None = None,
     running: dict[str, Column] | None = None,
     last_seen: dict[str, Column] | None = None,
     keep_chunk: bool = False,
@@ -51,10 +52,11 @@ def scan(
 
     ``number``     1-based row number.
     ``lag``        value of an expression on the previous row.
+    ``lead``       value of an expression on the next row.
     ``running``    inclusive running sum of a numeric expression.
     ``last_seen``  last non-null value of an expression up to and including the row.
     """
-    lag, running, last_seen = lag or {}, running or {}, last_seen or {}
+    lag, lead, running, last_seen = lag or {}, lead or {}, running or {}, last_seen or {}
     base = df.withColumn(CHUNK, chunk if chunk is not None else chunk_of(df, order[0], width))
     where = F.struct(*[F.col(c) for c in order])
     by = [*keys, CHUNK]
@@ -65,6 +67,8 @@ def scan(
     parts = [F.count(F.lit(1)).alias("__n")]
     if lag:
         parts.append(F.max_by(F.struct(*[e.alias(n) for n, e in lag.items()]), where).alias("__lag"))
+    if lead:
+        parts.append(F.min_by(F.struct(*[e.alias(n) for n, e in lead.items()]), where).alias("__lead"))
     parts += [F.sum(e).alias(f"__sum_{n}") for n, e in running.items()]
     parts += [
         F.max_by(F.struct(e.alias("v")), F.when(e.isNotNull(), where)).alias(f"__seen_{n}")
@@ -74,6 +78,8 @@ def scan(
     carry = [F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__c_n")]
     if lag:
         carry.append(F.lag("__lag").over(Window.partitionBy(*keys).orderBy(CHUNK)).alias("__c_lag"))
+    if lead:
+        carry.append(F.lead("__lead").over(Window.partitionBy(*keys).orderBy(CHUNK)).alias("__c_lead"))
     carry += [
         F.coalesce(F.sum(f"__sum_{n}").over(before), F.lit(0)).alias(f"__c_sum_{n}") for n in running
     ]
@@ -86,6 +92,7 @@ def scan(
         "*",
         F.row_number().over(local).alias("__rn"),
         *[F.lag(F.struct(e.alias("v"))).over(local).alias(f"__l_{n}") for n, e in lag.items()],
+        *[F.lead(F.struct(e.alias("v"))).over(local).alias(f"__d_{n}") for n, e in lead.items()],
         *[F.sum(e).over(upto).alias(f"__r_{n}") for n, e in running.items()],
         *[
             F.last(F.when(e.isNotNull(), F.struct(e.alias("v"))), ignorenulls=True).over(upto).alias(f"__s_{n}")
@@ -100,6 +107,9 @@ def scan(
     out += [
         F.when(F.col("__rn") == 1, F.col(f"__c_lag.{n}")).otherwise(F.col(f"__l_{n}.v")).alias(n) for n in lag
     ]
+    out += [
+        F.when(F.col(f"__d_{n}").isNull(), F.col(f"__c_lead.{n}")).otherwise(F.col(f"__d_{n}.v")).alias(n) for n in lead
+    ]
     out += [(F.col(f"__c_sum_{n}") + F.coalesce(f"__r_{n}", F.lit(0))).alias(n) for n in running]
     out += [
         F.when(F.col(f"__s_{n}").isNotNull(), F.col(f"__s_{n}.v")).otherwise(F.col(f"__c_seen_{n}.v")).alias(n)
