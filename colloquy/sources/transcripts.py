@@ -61,6 +61,20 @@ def _group(pattern: str, i: int) -> Column:
     return trim(F.regexp_extract("line", pattern, i)) if i else F.lit("")
 
 
+def _fields(lines: DataFrame, forms: dict) -> DataFrame:
+    """Add ts_raw, sender and body according to the form of each line."""
+
+    def pick(place: int, otherwise: Column) -> Column:
+        out = otherwise
+        for name, (pattern, groups) in forms.items():
+            out = F.when(F.col("form") == name, _group(pattern, groups[place])).otherwise(out)
+        return out
+
+    return lines.withColumns(
+        {"ts_raw": pick(0, F.lit("")), "sender": pick(1, F.lit("")), "body": pick(2, trim("line"))}
+    )
+
+
 def _messages(lines: DataFrame) -> DataFrame:
     """Lines with (head, stop, ts_raw, ts, sender, body) to messages.
 
@@ -91,16 +105,10 @@ def text_messages(lines: DataFrame) -> DataFrame:
     line = F.col("line")
     stop = clean.is_date_header(line) | has(line, RULER) | clean.is_system_notice(line) | clean.is_group_announcement(line)
     rows = lines.filter((line != "") & ~has(trim(line), r"^[-=_*]{3,}\z"))
-    when, who, body, head = F.lit(""), F.lit(""), trim(line), F.lit(False)
-    for pattern, (t, s, b) in reversed(TEXT_FORMS):
-        hit = has(line, pattern)
-        when = F.when(hit, _group(pattern, t)).otherwise(when)
-        who = F.when(hit, _group(pattern, s)).otherwise(who)
-        body = F.when(hit, _group(pattern, b)).otherwise(body)
-        head = hit | head
-    staged = rows.withColumns(
-        {"stop": stop, "ts_raw": when, "sender": who, "body": body, "head": head & ~stop}
-    )
+    form = F.coalesce(*[F.when(has(line, p), F.lit(i)) for i, (p, _) in enumerate(TEXT_FORMS)])
+    staged = _fields(
+        rows.withColumns({"stop": stop, "form": form}), dict(enumerate(TEXT_FORMS))
+    ).withColumn("head", F.col("form").isNotNull() & ~F.col("stop"))
     return _messages(staged.withColumn("ts", parse_timestamp(F.nullif(F.col("ts_raw"), F.lit("")))))
 
 
@@ -109,21 +117,20 @@ def markdown_messages(lines: DataFrame) -> DataFrame:
     line = F.col("line")
     rows = lines.filter(~has(trim(line), r"^[-*_]{3,}\z"))
     dated = clean.is_date_header(line)
-    form, when, who, body = F.lit(None).cast("string"), F.lit(""), F.lit(""), trim(line)
-    for name, (pattern, (t, s, b)) in reversed(MARKDOWN_FORMS.items()):
+
+    def fits(name: str, pattern: str, s: int) -> Column:
         sender = _group(pattern, s)
-        hit = has(line, pattern) & (sender != "")
+        hit = has(line, pattern)
         if name in ("quote", "bullet"):
-            hit = hit & ~F.startswith(sender, F.lit("http"))
+            return hit & (sender != "") & ~F.startswith(sender, F.lit("http"))
         if name == "header":
-            hit = hit & ~has(sender, NOT_A_SPEAKER) & ~clean.is_system_sender(sender)
+            return hit & (sender != "") & ~has(sender, NOT_A_SPEAKER) & ~clean.is_system_sender(sender)
         if name == "speaker":
-            hit = hit & ~clean.is_system_sender(sender)
-        form = F.when(hit, F.lit(name)).otherwise(form)
-        when = F.when(hit, _group(pattern, t)).otherwise(when)
-        who = F.when(hit, sender).otherwise(who)
-        body = F.when(hit, _group(pattern, b)).otherwise(body)
-    staged = rows.withColumns({"form": form, "ts_raw": when, "sender": who, "body": body})
+            return hit & ~clean.is_system_sender(sender)
+        return hit & (sender != "")
+
+    form = F.coalesce(*[F.when(fits(n, p, s), F.lit(n)) for n, (p, (_, s, _)) in MARKDOWN_FORMS.items()])
+    staged = _fields(rows.withColumn("form", form), MARKDOWN_FORMS)
     staged = staged.withColumn("__date", F.when(dated, clean.date_from_header(line)))
     blank = line == ""
     heading = F.col("form").isNull() & has(line, r"^#{1,6}\s+")
@@ -275,7 +282,8 @@ class _Messages(HTMLParser):
 
     def __init__(self, wanted):
         super().__init__(convert_charrefs=True)
-        self.wanted, self.depth = wanted, 0
+        self.wanted = wanted
+        self.tags: list[str] = []
         self.open: list[_Node] = []
         self.inside: list[tuple[int, _Node, str]] = []
         self.done: list[_Node] = []
@@ -285,24 +293,28 @@ class _Messages(HTMLParser):
         classes = (attrs.get("class") or "").split()
         if tag in self.VOID:
             return
-        self.depth += 1
+        self.tags.append(tag)
+        depth = len(self.tags)
         for node in self.open:
             for name in self.FIELDS.intersection(classes):
                 node.fields.setdefault(name, [])
-                self.inside.append((self.depth, node, name))
+                self.inside.append((depth, node, name))
                 if name == "date" and node.title is None:
                     node.title = attrs.get("title")
         if self.wanted(attrs, classes):
-            node = _Node(self.depth, attrs, classes)
+            node = _Node(depth, attrs, classes)
             self.open.append(node)
             self.done.append(node)
 
     def handle_endtag(self, tag):
-        if tag in self.VOID:
+        if tag not in self.tags:
             return
-        self.inside = [x for x in self.inside if x[0] < self.depth]
-        self.open = [n for n in self.open if n.depth < self.depth]
-        self.depth = max(0, self.depth - 1)
+        # Tags left open inside end with the one that is closed.
+        while self.tags.pop() != tag:
+            pass
+        depth = len(self.tags)
+        self.inside = [x for x in self.inside if x[0] <= depth]
+        self.open = [n for n in self.open if n.depth <= depth]
 
     def handle_data(self, data):
         for node in self.open:
