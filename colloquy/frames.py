@@ -84,10 +84,10 @@ def sql_lively(x: str) -> str:
 
 CONVERSATIONS = """msg AS (SELECT conv_id AS chat_id, CAST(1 AS BIGINT) AS session_no, turn AS seq, role AS sender,
   text AS content, role = 'assistant' AS is_target FROM conversations)"""
-CHAT = f"""part AS (SELECT conv_id, turn, role, unnest(p) AS s, unnest(range(len(p))) AS pos
+CHAT = f"""piece AS (SELECT conv_id, turn, role, unnest(p) AS s, unnest(range(len(p))) AS pos
   FROM (SELECT *, string_split_regex(text, '[.\\n]+') AS p FROM conversations)),
 chat AS (SELECT conv_id AS chat_id, turn // 4 + 1 AS session_no, turn * 1000 + pos AS seq, role AS sender,
-  {sql_trim(sql_lively(sql_trim('s')))} AS content, role = 'assistant' AS is_target FROM part WHERE {sql_trim('s')} <> '')"""
+  {sql_trim(sql_lively(sql_trim('s')))} AS content, role = 'assistant' AS is_target FROM piece WHERE {sql_trim('s')} <> '')"""
 TEXTS = CHAT + """,
 texts AS (SELECT * REPLACE (regexp_replace(content, '([一-龥])\\s+([一-龥])', '\\1\\2', 'g') AS content), content AS raw
   FROM chat WHERE is_target AND content <> '')"""

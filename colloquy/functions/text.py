@@ -87,8 +87,3 @@ def count_of(c, mark: str) -> Column:
 
 def clamp(c, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), col(c)))
-
-
-def rate(flag: Column, digits: int = 4) -> Column:
-    """Share of rows where the flag is set."""
-    return F.round(F.avg(flag.cast("int")), digits)

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.functions.numbers import round_half
 from colloquy import lexicons as lx
 from colloquy.functions.emoji import CASUAL, context_tags, extract_emojis, extract_stickers, position
 from colloquy.functions.text import trim
@@ -49,14 +50,14 @@ def context_counts(sightings: DataFrame, keys: list[str]) -> DataFrame:
     )
     totals = counts.groupBy(*keys, "asset").agg(F.sum("count").alias("all"))
     return counts.join(totals, [*keys, "asset"]).select(
-        *keys, "asset", "tag", "count", F.round(F.col("count") / F.col("all"), 4).alias("share")
+        *keys, "asset", "tag", "count", round_half(F.col("count") / F.col("all"), 4).alias("share")
     )
 
 
 def position_style(sightings: DataFrame, keys: list[str]) -> DataFrame:
     total = F.count(F.lit(1))
     return sightings.groupBy(*keys, "asset").agg(
-        *[F.round(F.count_if(F.col("position") == p) / total, 4).alias(p) for p in POSITIONS]
+        *[round_half(F.count_if(F.col("position") == p) / total, 4).alias(p) for p in POSITIONS]
     )
 
 
@@ -71,7 +72,7 @@ def asset_frequency(texts: DataFrame, uses: DataFrame, keys: list[str]) -> DataF
         *keys,
         "asset",
         "raw_count",
-        F.round(F.col("raw_count") / F.col("texts"), 4).alias("frequency"),
+        round_half(F.col("raw_count") / F.col("texts"), 4).alias("frequency"),
         asset_confidence(F.col("raw_count")).alias("confidence"),
     )
 
@@ -115,7 +116,7 @@ def asset_summary(texts: DataFrame, keys: list[str], seq: str = "seq", k: int =
     totals = rows.groupBy(*keys).agg(
         F.sum(F.size("e")).alias("total_emojis"),
         F.sum("s").alias("total_stickers"),
-        F.round(F.avg((F.size("e") > 0).cast("int")), 4).alias("emoji_rate"),
+        round_half(F.avg((F.size("e") > 0).cast("int")), 4).alias("emoji_rate"),
     )
     counts = rows.select(*keys, F.explode("e").alias("asset"), "seq").groupBy(*keys, "asset").agg(
         F.count(F.lit(1)).alias("n"), F.min("seq").alias("first")

@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.functions.numbers import rate, round_half
 from colloquy import lexicons as lx
 from colloquy.functions import clean
-from colloquy.functions.text import CJK, WS, extract_all, has, join_cjk_spaces, rate, sentences, tokenize, trim
+from colloquy.functions.text import CJK, WS, extract_all, has, join_cjk_spaces, sentences, tokenize, trim
 from colloquy.plans.ordered import top_k
 
 CJK_CHAR = f"[{CJK}]"
@@ -37,10 +38,10 @@ def _of_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
         total.alias("sample_size"),
         F.min("v").alias("min"),
         F.max("v").alias("max"),
-        F.round(mean, 2).alias("mean"),
-        F.round(F.percentile(v, F.lit(0.5), n), 2).alias("median"),
-        F.round(F.percentile(v, F.lit(0.9), n), 2).alias("p90"),
-        F.round(spread, 2).alias("std_dev"),
+        round_half(mean, 2).alias("mean"),
+        round_half(F.percentile(v, F.lit(0.5), n), 2).alias("median"),
+        round_half(F.percentile(v, F.lit(0.9), n), 2).alias("p90"),
+        round_half(spread, 2).alias("std_dev"),
     )
 
 

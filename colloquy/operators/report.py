@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.functions.numbers import round_half
 from colloquy.plans.ordered import top_k
 
 WEIGHTS = {"lexical": 0.20, "style": 0.20, "behavior": 0.25, "context_score": 0.15, "judge_score": 0.20}
@@ -27,7 +28,7 @@ def weighted_index(columns: dict[str, str] | None = None) -> Column:
 
 
 def sample_dsi(scored: DataFrame) -> DataFrame:
-    return scored.withColumn("sample_dsi", F.round(weighted_index(), 3))
+    return scored.withColumn("sample_dsi", round_half(weighted_index(), 3))
 
 
 def evaluation_report(
@@ -38,9 +39,9 @@ def evaluation_report(
     Groups named in ``groups`` that have no sample get the status INSUFFICIENT_DATA.
     """
     means = scored.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("dataset_size"), *[F.round(F.avg(name), 3).alias(name) for name in WEIGHTS]
+        F.count(F.lit(1)).alias("dataset_size"), *[round_half(F.avg(name), 3).alias(name) for name in WEIGHTS]
     )
-    rows = means.withColumn("dsi", F.round(weighted_index(), 3))
+    rows = means.withColumn("dsi", round_half(weighted_index(), 3))
     if groups is not None:
         rows = groups.select(*keys).distinct().join(rows, keys, "left").fillna(0, ["dataset_size"])
     empty = F.col("dataset_size") == 0
@@ -59,7 +60,7 @@ def evaluation_report(
         {f"{short.get(name, name)}_pass": flag for name, flag in passed.items()}
         | {
             "status": status,
-            "dsi_scaled": F.round(F.col("dsi") * 100, 1),
+            "dsi_scaled": round_half(F.col("dsi") * 100, 1),
             "emoji_fidelity": F.col("style"),
             "vocabulary_fidelity": F.col("lexical"),
             "sentence_rhythm": F.col("style"),
@@ -74,7 +75,7 @@ def failure_cases(scored: DataFrame, keys: list[str], order: str = "sample_id",
     rows = scored.withColumn("__dsi", weighted_index())
     failed = rows.filter((F.col("__dsi") < FAILURE_BELOW) | (F.size("issues") > 0)).withColumns(
         {
-            "score": F.round("__dsi", 3),
+            "score": round_half("__dsi", 3),
             "issues": F.when(F.size("issues") > 0, F.col("issues")).otherwise(
                 F.array(F.lit("sub-threshold behavioral match"))
             ),

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from colloquy import lexicons as lx
 from colloquy.functions.emoji import emoji_count
-from colloquy.functions.numbers import ratio
+from colloquy.functions.numbers import ratio, round_half
 from colloquy.functions.text import PICTOGRAPH, char_ngrams, clamp, col, count_of, has, trim, words
 from colloquy.operators.style import context_text
 
@@ -97,7 +97,7 @@ def _outcome(score: Column, low: float) -> Column:
     """Empty texts score the floor, equal ones 1, others the bounded score."""
     empty = (F.coalesce("target", F.lit("")) == "") | (F.coalesce("candidate", F.lit("")) == "")
     return F.when(empty, F.lit(0.05)).when(F.col("target") == F.col("candidate"), F.lit(1.0)).otherwise(
-        clamp(F.round(score, 3), low, 1.0)
+        clamp(round_half(score, 3), low, 1.0)
     )
 
 
@@ -367,7 +367,7 @@ def context_score(
     score = bonus - F.coalesce("contradicted", F.lit(0)) * 0.25 - F.when(F.col("evasive"), 0.20).otherwise(0.0)
     return rows.withColumn(
         "context_consistency",
-        F.when(F.col("target") == F.col("candidate"), F.lit(1.0)).when(known, F.round(clamp(score, 0.10, 1.0), 3)),
+        F.when(F.col("target") == F.col("candidate"), F.lit(1.0)).when(known, round_half(clamp(score, 0.10, 1.0), 3)),
     )
 
 
@@ -403,7 +403,7 @@ def judge_heuristic(samples: DataFrame) -> DataFrame:
     )
     return samples.withColumns(
         {
-            "judge_score": F.round(clamp(near * 0.35 + 0.55, 0.40, 0.95), 3),
+            "judge_score": round_half(clamp(near * 0.35 + 0.55, 0.40, 0.95), 3),
             "judge_tie": near >= 0.85,
             "judge_reasons": F.when(F.size(reasons) > 0, reasons).otherwise(F.array(F.lit("natural_dialogue_heuristic"))),
         }
@@ -424,7 +424,7 @@ def judge_composite(samples: DataFrame, judgements: DataFrame, id: str = "sample
         | (F.col("winner") == "TIE")
     )
     score = F.col("style_similarity") * 0.40 + F.col("behavior_similarity") * 0.35 + F.col("context_similarity") * 0.25
-    return rows.withColumns({"judge_score": F.round(score, 3), "favoured_or_tie": favoured})
+    return rows.withColumns({"judge_score": round_half(score, 3), "favoured_or_tie": favoured})
 
 
 def score_samples(

@@ -97,7 +97,7 @@ top AS (SELECT sender, token, n AS "count", row_number() OVER (PARTITION BY send
 SELECT * FROM top"""
 
 
-_LETTERS = "|".join(c + "{3,}" for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") + "|(?:哈哈){2,}|(?:好的){2,}|(?:晚安){2,}|哈{3,}"
+_LETTERS = "|".join(c + "{3,}" for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") + "|(?:哈哈){2,}|(?:好的){2,}|(?:晚安){2,}|(?:喜欢){2,}|(?:怎么){2,}|哈{3,}"
 
 
 @query(f"WITH {BASE}, {_top(f'''SELECT sender, unnest(regexp_extract_all(content, '{_LETTERS}')) AS token FROM texts''', 10)}")
