@@ -26,9 +26,9 @@ nn AS (SELECT *, CASE WHEN line_no % 5 = 1 THEN '# 关系 ' || substr(s, 1, 5) W
   WHEN line_no % 5 = 3 THEN '时间: ' || substr(s, 1, 20) ELSE s END AS line FROM nl),
 nt AS (SELECT chat_id, line_no, trim(line, chr(32) || chr(9) || chr(13)) AS line FROM nn),
 ns AS (SELECT *, last_value(CASE WHEN starts_with(line, '#') THEN regexp_replace(line, '^#+\\s*', '') END IGNORE NULLS) OVER (PARTITION BY chat_id ORDER BY line_no) AS section,
-  CASE WHEN instr(line, ':') > 0 THEN instr(line, ':') ELSE instr(line, '：') END AS at FROM nt WHERE line <> ''),
-notes AS (SELECT chat_id, line_no, coalesce(section, 'General') AS section, CASE WHEN at > 0 THEN trim(substr(line, 1, at - 1)) ELSE 'note' END AS key,
-  CASE WHEN at > 0 THEN trim(substr(line, at + 1)) ELSE line END AS value FROM ns WHERE NOT starts_with(line, '#'))"""
+  CASE WHEN instr(line, ':') > 0 THEN instr(line, ':') ELSE instr(line, '：') END AS sep FROM nt WHERE line <> ''),
+notes AS (SELECT chat_id, line_no, coalesce(section, 'General') AS section, CASE WHEN sep > 0 THEN trim(substr(line, 1, sep - 1)) ELSE 'note' END AS key,
+  CASE WHEN sep > 0 THEN trim(substr(line, sep + 1)) ELSE line END AS value FROM ns WHERE NOT starts_with(line, '#'))"""
 
 
 def _notes(spark, sf):
