@@ -8,10 +8,12 @@ tasks.  The block a line comes from is its chunk for the ordered scans.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,9 @@ from colloquy.functions.text import has, trim
 from colloquy.operators.normalize import parse_timestamp
 from colloquy.plans.ordered import scan
 
+# Executors need not have this package installed: its functions travel with the task.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 RAW = ["chat_id", "line_no", "id", "ts_raw", "ts", "sender", "content", "reply_to_id", "media_type"]
 _TIME = r"\d{1,2}:\d{1,2}(?::\d{1,2})?"
 _YMD = r"\d{4}[-/.]\d{1,2}[-/.]\d{1,2}"

@@ -6,10 +6,12 @@ finite table and on a stream; ``bursts`` picks the plan by ``isStreaming``.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -18,6 +20,9 @@ from colloquy import lexicons as lx
 from colloquy.functions.text import char_ngrams, col, has, trim
 from colloquy.plans.ordered import scan
 
+# Executors need not have this package installed: its functions travel with the task.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 WINDOW_SECONDS, CAP_SECONDS = 3.5, 10.0
 WATERMARK = "10 minutes"
 BURST = "chat_id long, burst_start timestamp, burst_end timestamp, text string, message_count long, first_id long, last_id long"
@@ -140,9 +145,10 @@ def bursts(
             pd.DataFrame(
                 {"message_id": f["message_id"], "micros": f["ts"].astype("datetime64[us]").astype("int64"), "text": f["text"], "cmd": f["cmd"]}
             )
-            for f in frames
+            for f in ([] if state.hasTimedOut else frames)
         ]
-        rows = pd.concat([held, *new], ignore_index=True).sort_values(["micros", "message_id"], ignore_index=True)
+        rows = pd.concat([held, *new], ignore_index=True)
+        rows = rows.astype({"message_id": "int64", "micros": "int64", "cmd": "int64"}).sort_values(["micros", "message_id"], ignore_index=True)
         micros, cmd = rows["micros"].to_numpy("int64"), rows["cmd"].to_numpy(bool)
         fresh = cmd | np.concatenate([[True], cmd[:-1]]) if len(cmd) else cmd
         starts = cut_bursts(micros, fresh, window, cap)
@@ -173,7 +179,7 @@ def bursts(
         yield frame
 
     return rows.groupBy("chat_id").applyInPandasWithState(
-        step, BURST, "ids array<long>, micros array<long>, texts array<string>, cmds array<boolean>", "append",
+        step, BURST, "ids array<long>, micros array<long>, texts array<string>, cmds array<long>", "append",
         GroupStateTimeout.EventTimeTimeout,
     )
 

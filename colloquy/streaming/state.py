@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -14,6 +16,9 @@ from colloquy import lexicons as lx
 from colloquy.functions.text import col, has, trim
 from colloquy.plans.ordered import top_k
 
+# Executors need not have this package installed: its functions travel with the task.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Starting state, decay times in hours, inertia.
 START = {
     "affinity": 0.65, "trust": 0.65, "warmth": 0.60, "irritation": 0.05, "hurt": 0.02, "tension": 0.08,
