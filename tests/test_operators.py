@@ -12,6 +12,7 @@ MESSAGE = "chat_id string, seq long, sender string, content string, t double"
 
 
 def chat(spark, rows, target="Ann"):
+    rows = [(*r[:4], float(r[4])) for r in rows]
     df = spark.createDataFrame(rows, MESSAGE).withColumn("ts", F.timestamp_micros((F.col("t") * 1e6).cast("long"))).drop("t")
     return df.withColumn("is_target", F.col("sender") == target)
 
