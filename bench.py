@@ -1,7 +1,8 @@
 """Time the headline queries and print one JSON line.
 
 BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8), BENCH_QUERIES (comma list),
-BENCH_RUNS (default 1 measured run after one warm-up).
+BENCH_RUNS (default 1; the median is reported), BENCH_WARM (1 runs every query once before it is timed).
+The session itself is warmed by one small query.
 """
 
 import json
@@ -46,8 +47,10 @@ def main() -> None:
         return time.perf_counter() - start
 
     took = {}
+    once("speaker_counts")
     for name in names:
-        once(name)
+        if os.environ.get("BENCH_WARM") == "1":
+            once(name)
         took[name] = round(statistics.median(once(name) for _ in range(runs)), 3)
     print(json.dumps({"metric": "total_query_seconds", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(sf)}))
     spark.stop()

@@ -311,6 +311,7 @@ def grounding(samples: DataFrame, items: DataFrame, id: str = "sample_id", scope
     known = items.filter(F.coalesce("value", F.lit("")) != "").select(
         scope, "kind", "label", value.alias("value"), "contradictions", "negated", F.substring(value, 1, 3).alias("head")
     )
+    # Grams that start no item drop out before anything is joined back to the texts.
     met = probes.join(known, [scope, "head"]).drop("head", scope).join(texts.select(id, "around", "said"), id)
     in_said = F.contains("said", F.col("value"))
     hits = met.filter(in_said | F.contains("around", F.col("value")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from colloquy import lexicons as lx
 from colloquy.frames import SAMPLES, samples, table
 from colloquy.operators import report, scoring
+from colloquy.plans.lineage import cut
 from colloquy.registry import query
 
 SITUATIONS = {"teasing": ["哈哈", "que"], "emotional": ["好的", "ung"], "inquiry": ["怎么", "ver"], "formal": ["喜欢", "des"]}
@@ -175,7 +176,7 @@ con AS (SELECT s.*, grounded, coalesce(contradicted, 0) AS contradicted, coalesc
 
 
 def _items(spark, sf):
-    who = samples(spark, sf).select("speaker").distinct()
+    who = table(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("speaker")).distinct()
     name = F.lower(F.substring("p_name", 1, 3))
     none = F.lit(None).cast("array<string>")
     entities = (
@@ -191,7 +192,9 @@ def _items(spark, sf):
 
 
 def _scored(spark, sf):
-    rows = scoring.behavior_score(scoring.style_score(scoring.lexical_score(_profiled(spark, sf))), SITUATIONS, BEHAVIOR, LEAK)
+    # The samples feed the cosine, the grounding and the scores, so they are made once.
+    rows = cut(_profiled(spark, sf))
+    rows = scoring.behavior_score(scoring.style_score(scoring.lexical_score(rows)), SITUATIONS, BEHAVIOR, LEAK)
     rows = scoring.judge_heuristic(scoring.context_score(rows, _items(spark, sf), question=["怎么", "[?？]"]))
     return rows.withColumn("issues", scoring.issue_tags()).withColumnRenamed("context_consistency", "context_score")
 
