@@ -112,11 +112,6 @@ def _clamp(x: str) -> str:
     return f"greatest(0, least(1, {x}))"
 
 
-_VARS = ["affinity", "trust", "warmth", "irritation", "hurt", "tension", "anger", "annoyance", "affection", "happiness", "embarrassment"]
-# One step: decay (d_), apology (a_), emotion, inertia.
-_STEP = f"""d AS (SELECT s.*, m.k AS nk, m.id AS nid, m.kind AS nkind, greatest(0, epoch_us(m.ts) - epoch_us(s.ts)) / 3.6e9 AS h, m.ts AS nts FROM st s JOIN m ON m.chat_id = s.chat_id AND m.k = s.k + 1)"""
-
-
 _STATE = f"""WITH RECURSIVE m AS (SELECT user_id AS chat_id, event_id AS id, ts, event_type AS kind, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
 st AS (SELECT DISTINCT chat_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS id, CAST(NULL AS TIMESTAMP) AS ts, 0.65e0 AS affinity, 0.65e0 AS trust, 0.6e0 AS warmth, 0.05e0 AS irritation, 0.02e0 AS hurt, 0.08e0 AS tension,
   0.02e0 AS anger, 0.05e0 AS annoyance, 'NORMAL' AS phase, 0e0 AS coldness FROM m
