@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from colloquy.llm import packing
-from colloquy.llm.common import table
+from colloquy.llm import decontamination, packing, secret_scan
+from colloquy.llm.common import LOWER, UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -27,3 +28,55 @@ def query(sql: str | None = None):
 @query()
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+# Either case of ASCII letters only, which (?i) does not promise in every engine.
+_EITHER = "(" + "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key")) + ")"
+_PATTERNS = [_EITHER + secret_scan.KINDS[0][1].partition("key)")[2].replace("'", "''")] + [k[1] for k in secret_scan.KINDS[1:]]
+
+
+@query(
+    f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, source FROM documents),
+    f AS ({" UNION ALL ".join(f"SELECT r, {k} AS kind, string_split_regex(t, '{p}') AS gaps, regexp_extract_all(t, '{p}') AS found, regexp_extract_all(t, '{p}', {2 if k == 0 else 0}) AS secrets FROM d WHERE regexp_matches(t, '{p}')" for k, p in enumerate(_PATTERNS))}),
+    e AS (SELECT r, kind, i, gaps[i] AS g, found[i] AS m, secrets[i] AS s FROM f, unnest(range(1, len(found) + 1)) AS u(i)),
+    p AS (SELECT r, kind, s, CAST(sum(length(g) + length(m)) OVER (PARTITION BY r, kind ORDER BY i) AS BIGINT) AS e, length(m) AS n FROM e),
+    c AS (SELECT r, kind, e - n AS b, e, sha256(s) AS secret FROM p
+          WHERE (kind < 3 OR (regexp_matches(s, '[0-9].*[0-9]') AND regexp_matches(s, '[A-Z]') AND regexp_matches(s, '[a-z]')))
+          AND length(s) >= CASE kind WHEN 0 THEN 6 WHEN 2 THEN 24 ELSE 20 END),
+    o AS (SELECT secret, count(DISTINCT source) <= 1 AND count(DISTINCT doc_id) <= 3 AS live FROM c JOIN d USING (r) GROUP BY secret),
+    k AS (SELECT c.*, live FROM c JOIN o USING (secret)
+          WHERE kind < 3 OR (live AND NOT EXISTS (SELECT 1 FROM c AS x WHERE x.r = c.r AND x.kind < 3 AND x.b < c.e AND c.b < x.e))),
+    a AS (SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+          string_agg(['assign', 'access', 'hex', 'opaque'][kind + 1] || ':' || b || ':' || e, ',' ORDER BY b, kind) FILTER (kind < 3) AS base,
+          string_agg(['assign', 'access', 'hex', 'opaque'][kind + 1] || ':' || b || ':' || e, ',' ORDER BY b, kind) AS spans,
+          count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied FROM k GROUP BY r)
+    SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+    coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied FROM d LEFT JOIN a USING (r)
+    """
+)
+def op6_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    return found.withColumn("base_spans", F.sha2("base_spans", 256)).withColumnRenamed("base_spans", "base_sha256")
+
+
+_ITEM_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{decontamination.ITEM_WORD}')"
+
+
+@query(
+    f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_ITEM_WORDS} AS w FROM documents),
+    b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_ITEM_WORDS} AS w FROM benchmark),
+    s AS (SELECT item, w, least(len(w), 10) AS m, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0),
+    g AS (SELECT DISTINCT item, m, list_slice(w, i, i + m - 1) AS gram FROM s),
+    x AS (SELECT r, i, z.m, list_slice(w, i, i + z.m - 1) AS gram FROM d, (SELECT DISTINCT m FROM g) AS z, unnest(range(1, len(w) - z.m + 2)) AS u(i)),
+    h AS (SELECT r, i, x.m, item FROM x JOIN g ON x.m = g.m AND x.gram = g.gram),
+    n AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + m)) AS p FROM h) GROUP BY r),
+    t AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY r)
+    SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+    coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN n USING (r) LEFT JOIN t USING (r)
+    """
+)
+def op8_benchmark_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("items", F.sha2(F.array_join("items", ","), 256)).withColumnRenamed("items", "items_sha256")
