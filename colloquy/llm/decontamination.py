@@ -1,13 +1,15 @@
 """Benchmark decontamination: a broadcast set of benchmark n-grams meets the token windows of the corpus.
 
-Every document is cut into words, its windows are hashed inside the row, and the hashes meet the
-broadcast windows of the benchmark in the same stage, so only hits leave it.  Each hit is verified word
-by word.  The benchmark is broadcast only if it has at most ``broadcast_windows`` windows; a larger
-one is joined by a shuffle of hashes, with the same result.
+Every document is cut into words and its windows are hashed inside the row.  A hash set of the benchmark, a
+table of slots of fixed size that goes out with the tasks, drops nearly all windows there and then; more
+windows than slots only let more of them pass.  Those left are spelled out and joined to the benchmark on their
+words, which verifies them: by broadcast if it has at most ``broadcast_windows`` windows, else by a shuffle.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,27 +21,61 @@ ITEM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 TEXT_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 N = 10
 BROADCAST_WINDOWS = 200_000
+#: The table of taken hash slots has one byte a slot and never more than 2 ** MAX_SLOT_BITS.
+MAX_SLOT_BITS = 20
 
 
 def words(text: Column) -> Column:
     return F.regexp_extract_all(lower_ascii(text), F.lit(ITEM_WORD), F.lit(0))
 
 
-def _windows(w: str | Column, size: int) -> Column:
-    """All windows of ``size`` words as (pos, m, h), pos from 1."""
-    w = F.col(w) if isinstance(w, str) else w
-    one = lambda i: F.struct(i.alias("pos"), F.lit(size).alias("m"), F.xxhash64(F.slice(w, i, F.lit(size))).alias("h"))
-    none = F.array().cast("array<struct<pos:int,m:int,h:bigint>>")
-    return F.when(F.size(w) >= size, F.transform(F.sequence(F.lit(1), F.size(w) - size + 1), one)).otherwise(none)
+def _with_windows(rows: DataFrame, sizes: list[int], maybe: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Add ``x``: the windows of ``sizes`` words of the word list ``w`` as (pos, m, h, gram), pos from 1.
+
+    ``maybe`` keeps windows by their hash before their words are put together.  Windows of 1, 2, 4, ... words are
+    hashed from two halves each and joined to the sizes asked for, so the work per word does not depend on the
+    length of the text or of the window.  Each step is a column of its own: written into one expression, every
+    half would be computed again.
+    """
+    pair = lambda a, b, shift: F.zip_with(a, F.slice(b, F.lit(shift + 1), F.size(b)), lambda x, y: F.xxhash64(x, y))
+    keep, powers = rows.columns, [1]
+    rows = rows.withColumn("__p1", F.transform("w", lambda x: F.xxhash64(x)))
+    while 2 * powers[-1] <= max(sizes):
+        half = powers[-1]
+        powers.append(2 * half)
+        rows = rows.withColumn(f"__p{2 * half}", pair(F.col(f"__p{half}"), F.col(f"__p{half}"), half))
+    found = []
+    for size in sizes:
+        done = max(p for p in powers if p <= size)
+        rows = rows.withColumn(f"__w{size}", F.col(f"__p{done}"))
+        for part in reversed(powers):
+            if done + part <= size:
+                rows = rows.withColumn(f"__w{size}", pair(F.col(f"__w{size}"), F.col(f"__p{part}"), done))
+                done += part
+        whole = F.slice(f"__w{size}", F.lit(1), F.greatest(F.lit(0), F.size("w") - size + 1))
+        keep_h = maybe or (lambda h: F.lit(True))
+        rows = rows.withColumn(f"__x{size}", F.array_compact(F.transform(whole, _if_kept(keep_h))))
+        found.append(F.transform(f"__x{size}", _spelled(size)))
+    return rows.select(*keep, F.flatten(F.array(*found)).alias("x"))
+
+
+def _if_kept(keep: Callable[[Column], Column]) -> Callable[[Column, Column], Column]:
+    return lambda h, i: F.when(keep(h), F.struct(i.alias("i"), h.alias("h")))
+
+
+def _spelled(size: int) -> Callable[[Column], Column]:
+    """A window with its words joined by a blank, which no word holds."""
+    return lambda x: F.struct(
+        (x["i"] + 1).alias("pos"), F.lit(size).alias("m"), x["h"].alias("h"),
+        F.concat_ws(" ", *[F.get(F.col("w"), x["i"] + k) for k in range(size)]).alias("gram"),
+    )
 
 
 def benchmark_windows(benchmark: DataFrame, n: int = N) -> DataFrame:
     """Distinct (m, h, gram, item): windows of n words; an item of fewer words is one window, one of none has none."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words(text_of()).alias("w"))
-    items = items.filter(F.size("w") > 0).withColumn("m", F.least(F.size("w"), F.lit(n)))
-    starts = F.explode(F.sequence(F.lit(1), F.size("w") - F.col("m") + 1))
-    grams = items.select("item", "m", "w", starts.alias("i")).select("item", "m", F.slice("w", F.col("i"), F.col("m")).alias("gram"))
-    return grams.select("m", F.xxhash64("gram").alias("h"), "gram", "item").distinct()
+    every = _with_windows(items, list(range(1, n + 1))).select("item", F.size("w").alias("size"), F.explode_outer("x").alias("x"))
+    return every.filter(F.col("x.m") == F.least(F.col("size"), F.lit(n))).select("x.m", "x.h", "x.gram", "item").distinct()
 
 
 def _key() -> Column:
@@ -51,18 +87,20 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = N, broadcast_windows: i
     """(doc_id, row_key, pos, m, item): every occurrence of a benchmark window; pos counts words from 1."""
     grams = stage(benchmark_windows(benchmark, n))
     sizes = sorted(r.m for r in grams.select("m").distinct().collect())  # at most n numbers
-    if grams.count() <= broadcast_windows:
-        grams = F.broadcast(grams)
+    size = grams.count()
+    slots = 1 << min(MAX_SLOT_BITS, max(16, (32 * size).bit_length()))
+    taken = bytearray(slots)
+    for r in grams.select(F.pmod("h", F.lit(slots)).cast("int").alias("slot")).distinct().toLocalIterator():
+        taken[r.slot] = 1
+    table = F.lit(bytes(taken))
+    maybe = lambda h: F.substring(table, F.pmod(h, F.lit(slots)).cast("int") + 1, F.lit(1)) == F.lit(b"\x01")
     rows = docs.select("doc_id", _key().alias("row_key"), words(text_of()).alias("w"))
-    every = F.flatten(F.array(*[_windows("w", m) for m in sizes])) if sizes else _windows("w", n)
-    seen = rows.select("doc_id", "row_key", "w", F.explode(every).alias("x")).alias("d")
-    g = grams.select(F.col("m").alias("gm"), F.col("h").alias("gh"), "gram", "item")
-    # Verified word by word; not written as an equality, which would become a join key of every window.
-    same = F.forall(F.zip_with(F.slice("w", F.col("x.pos"), F.col("x.m")), F.col("gram"), lambda a, b: a == b), lambda ok: ok)
-    return (
-        seen.join(g, (F.col("x.h") == F.col("gh")) & (F.col("x.m") == F.col("gm")) & same)
-        .select("doc_id", "row_key", F.col("x.pos").alias("pos"), F.col("x.m").alias("m"), "item")
-    )
+    # Outer, as the filter that Spark infers for an inner explode would compute all windows a second time.
+    near = _with_windows(rows, sizes or [n], maybe).select("doc_id", "row_key", F.explode_outer("x").alias("x"))
+    near = near.filter(F.col("x").isNotNull()).select("doc_id", "row_key", "x.pos", "x.m", "x.gram")
+    # Equal words, not equal hashes, make a hit.
+    exact = grams.select("gram", "item")
+    return near.join(F.broadcast(exact) if size <= broadcast_windows else exact, "gram").drop("gram")
 
 
 def _by_row(found: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import decontamination, packing, secret_scan
+from colloquy.llm import decontamination, language_id, packing, quality_cascade, secret_scan
 from colloquy.llm.common import LOWER, UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,31 @@ def query(sql: str | None = None):
     return register
 
 
+@query()
+def op3_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+@query(
+    r"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+    w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+    g AS (SELECT r, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM w, unnest(range(1, len(w) - 1)) AS u(i)),
+    k AS (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM g),
+    h AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest(range(i, i + 3)) AS p FROM k WHERE n > 1) GROUP BY r),
+    m AS (SELECT doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+          CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines,
+          coalesce(n_repeat_words, 0) AS n_repeat_words, len(list_filter(w, lambda x: regexp_matches(x, '\p{L}'))) AS n_letter FROM w LEFT JOIN h USING (r)),
+    f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 5 * n_symbols > word_chars OR 2 * n_dup_lines > n_lines OR 2 * n_letter < n_words) AS kept FROM f
+    """
+)
+def op4_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Which rule is met first depends on measured times, so the query leaves it out.
+    return quality_cascade.cascade(table(spark, sf_dir, "documents")).drop("failed_rule", "rules_run")
+
+
 @query()
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
