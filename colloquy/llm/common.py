@@ -7,6 +7,7 @@ import sys
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,3 +80,32 @@ def _clear() -> None:
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
         except Exception:  # noqa: BLE001  the session has gone, and its scratch folder with it
             return
+
+
+_POWERS = np.multiply.accumulate(np.full(4096, 0x9E3779B97F4A7C15, np.uint64))
+_HIGH = np.multiply.accumulate(np.full(4096, _POWERS[-1], np.uint64))
+
+
+def mix(h: np.ndarray) -> np.ndarray:
+    """Spread the bits of unsigned 64-bit numbers; one to one."""
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def hash_runs(data: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the runs of bytes where ``inside`` holds, and where the runs start."""
+    before = np.zeros(len(inside), bool)
+    before[1:] = inside[:-1]
+    first = np.flatnonzero(inside & ~before)
+    if not len(first):
+        return np.zeros(0, np.uint64), first
+    origin = np.zeros(len(data), np.int64)
+    origin[first] = first
+    offset = np.arange(len(data)) - np.maximum.accumulate(origin)
+    value = (data.astype(np.uint64) + np.uint64(1)) * _POWERS[offset & 4095] * _HIGH[offset >> 12 & 4095]
+    value[~inside] = 0
+    return mix(np.add.reduceat(value, first)), first
+
+
+ship(__name__)
