@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import decontamination, language_id, line_dedup, packing, quality_cascade, secret_scan, suffix_tree_lm
+from colloquy.llm import decontamination, language_id, line_dedup, order_minhash, packing, quality_cascade, secret_scan, suffix_tree_lm
 from colloquy.llm.common import LOWER, UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,6 +95,11 @@ def op7_deletion_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.duplicates(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.classes(table(spark, sf_dir, "documents"))
+
+
 _ITEM_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{decontamination.ITEM_WORD}')"
 
 
