@@ -8,9 +8,9 @@ of the longest common subsequence.  A class is a connected component of links.
 * Order MinHash: each hash function picks the ``PICKED`` least labelled shingles and keeps them in text
   order; ``ROWS`` such sketches make a bucket key, and there are ``BANDS`` keys.  A pair at the threshold
   misses all of them with a probability of about 3e-5, more similar pairs with far less.
-* In a bucket nobody meets everybody: members meet the first one, then the one with most links, and only members
-  still outside the main class of the bucket meet the others, until no pair of a bucket from two classes
-  is left uncompared.  So groups of copies cost a few comparisons each and no link between classes is lost.
+* In a bucket nobody meets everybody: members meet the first one, then the one with most links; only members
+  still outside the class of that hub then meet the members of other classes, in blocks.  So groups of copies cost a
+  few comparisons each, and no link between classes is lost.
 * The alignment looks only inside the band that the threshold leaves: places more than
   (a + b) (1 - t) / (1 + t) apart cannot both stand in an alignment that is good enough.
 """
@@ -34,6 +34,7 @@ PICKED, ROWS, BANDS = 2, 2, 20
 #: Bits of the filter that spares texts without a partner the shuffle; its size is fixed, its errors cost time only.
 FILTER_BITS = 1 << 24
 CHUNK = 1 << 22
+QUERY_BLOCK, MEMBER_BLOCK = 64, 256
 
 
 def normal_text(text: Column) -> Column:
@@ -105,11 +106,10 @@ def sketches(words: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(has):
         return keys.view(np.int64), count
     cut, far = first[has], np.uint64(0xFFFFFFFFFFFFFFFF)
-    seed = np.uint64(0)
+    seeds = mix(np.arange(1, 1 + BANDS * ROWS, dtype=np.uint64)).reshape(BANDS, ROWS)
     for band in range(BANDS):
-        for _ in range(ROWS):
-            seed += np.uint64(0x9E3779B97F4A7C15)
-            value = (label ^ mix(np.array([seed]))[0]) * np.uint64(0xD6E8FEB86659FD93)
+        for seed in seeds[band]:
+            value = (label ^ seed) * np.uint64(0xD6E8FEB86659FD93)
             value ^= value >> np.uint64(32)
             places = []
             for _ in range(PICKED):
@@ -238,47 +238,82 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
 
 
+def _stars(now: DataFrame, pivots: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): the members of each bucket with its pivot, where size allows a link and the classes differ."""
+    fits = (F.least("n", "pn") >= F.greatest("n", "pn") * threshold) & (F.col("label") != F.col("plabel"))
+    return now.join(pivots, "key").filter(fits).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+
+
+def _hubs(now: DataFrame, links: DataFrame) -> DataFrame:
+    """(key, pivot, pn, plabel) of the buckets that hold more than one class: the member with most links."""
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    ranked = now.join(degree, "node", "left").withColumn("order", -F.coalesce("degree", F.lit(0)))
+    best = ranked.groupBy("key").agg(F.min(F.struct("order", "node", "n", "label")).alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    return best.filter("lo <> hi").select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.label").alias("plabel"))
+
+
+def _rest(now: DataFrame, hubs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links of the members outside the class of the hub with all members of the bucket, in blocks.
+
+    A task gets at most about QUERY_BLOCK such members and MEMBER_BLOCK others of one bucket, so a text travels once
+    per block, not once per pair.  A pair that shares several buckets is compared in the first only.
+    """
+    rows = now.join(hubs.select("key", F.col("plabel").alias("main")), "key").withColumn("outside", F.col("label") != F.col("main")).drop("main")
+    sizes = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / MEMBER_BLOCK).cast("int").alias("mbs"), F.ceil(F.count_if("outside") / QUERY_BLOCK).cast("int").alias("qbs"))
+    rows = stage(rows.join(sizes, "key").withColumn("h", F.xxhash64("node")))
+    block = lambda n: F.pmod("h", F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    members = rows.select("key", block("mbs").alias("mb"), every("qbs").alias("qb"), "node", "n", "label", "outside", F.lit(False).alias("asks"))
+    queries = rows.filter("outside").select("key", every("mbs").alias("mb"), block("qbs").alias("qb"), "node", "n", "label", "outside", F.lit(True).alias("asks"))
+    full = members.union(queries).join(texts, "node")
+
+    def compare(key: tuple, group: pa.Table) -> pa.Table:
+        asks = group.column("asks").to_numpy(zero_copy_only=False)
+        node, label, n = (group.column(c).to_numpy() for c in ("node", "label", "n"))
+        outside = group.column("outside").to_numpy(zero_copy_only=False)
+        keys = np.array(group.column("keys").to_pylist(), np.int64)
+        q, m = np.flatnonzero(asks), np.flatnonzero(~asks)
+        out: tuple[list, list] = ([], [])
+        if len(q) and len(m):
+            text = group.column("text")
+            made: dict = {}
+            shingles = lambda r: made[r] if r in made else made.setdefault(r, labelled(text[r].as_py()))
+            for i in q:
+                # Two members outside meet once.
+                fit = (label[m] != label[i]) & (~outside[m] | (node[i] < node[m])) & (np.minimum(n[m], n[i]) >= np.maximum(n[m], n[i]) * threshold)
+                some = m[fit]
+                same = keys[some] == keys[i]
+                here = keys[i][same.argmax(axis=1)] == key[0].as_py() if len(some) else np.zeros(0, bool)
+                if here.any():
+                    mine = shingles(i)
+                    places = {s: k for k, s in enumerate(mine)}
+                    for j in some[here]:
+                        if aligned(places, len(mine), shingles(j), threshold):
+                            out[0].append(min(node[i], node[j])), out[1].append(max(node[i], node[j]))
+        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
+
+    return full.groupBy("key", "mb", "qb").applyInArrow(compare, "a long, b long")
+
+
 def _similar_nodes(docs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     """(node, label) of the distinct texts that have a link; ``reps``: (node, d1, d2, n, keys)."""
     keys = reps.select("node", "n", "d1", "d2", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").count().filter("count > 1").select("key")
     members = stage(keys.join(shared, "key", "left_semi"))
-    texts = stage(_texts_of(docs, members.select("node", "d1", "d2").distinct()))
+    wanted = members.select("node", "d1", "d2").distinct()
+    texts = stage(_texts_of(docs, wanted).join(reps.select("node", "keys"), "node"))
     members = members.select("key", "node", "n")
-    labels = reps.select("node", F.col("node").alias("label")).limit(0)
-    links = compared = None
-    turn = 0
-    while True:
-        now = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        if turn == 0:
-            # The first of each bucket.
-            pivots = members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("p")).select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.node").alias("plabel"))
-        else:
-            degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-            ranked = now.join(degree, "node", "left").withColumn("order", F.struct(-F.coalesce("degree", F.lit(0)), "node"))
-            hubs = ranked.groupBy("key").agg(F.min(F.struct("order", "node", "n", "label")).alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-            mixed = hubs.filter("lo <> hi").select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.label").alias("plabel"))
-            if turn == 1:
-                pivots = mixed
-            else:
-                # Members outside the class of the hub, some more of them each time.
-                rest = now.join(mixed.select("key", F.col("plabel").alias("main")), "key").filter("label <> main")
-                part = F.pmod(F.xxhash64("node"), F.lit(max(1, 64 >> 2 * (turn - 2)))) == 0
-                pivots = rest.filter(part).select("key", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("label").alias("plabel"))
-        sizes = (F.least("n", "pn") >= F.greatest("n", "pn") * threshold) & (F.col("label") != F.col("plabel"))
-        pairs = now.join(pivots, "key").filter(sizes).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        if compared is not None:
-            pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        pairs = stage(pairs)
-        found = stage(linked(pairs, texts, threshold))
-        if turn > 4 and pairs.isEmpty():
-            break
-        links = found if links is None else links.union(found)
-        compared = pairs if compared is None else compared.union(pairs)
-        if turn == 0 or not found.isEmpty():
-            labels = stage(components(links))
-        turn += 1
-    return labels
+    relabel = lambda labels: members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    # The first of each bucket, then the hub, then what is left against all.
+    now = members.withColumn("label", F.col("node"))
+    first = members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("p"))
+    first = first.select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.node").alias("plabel"))
+    links = stage(linked(stage(_stars(now, first, threshold)), texts, threshold))
+    now = stage(relabel(components(links)))
+    links = stage(links.union(linked(stage(_stars(now, _hubs(now, links), threshold)), texts, threshold)))
+    now = stage(relabel(components(links)))
+    links = stage(links.union(_rest(now, _hubs(now, links), texts, threshold)))
+    return components(links)
 
 
 def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
