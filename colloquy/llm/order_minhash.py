@@ -33,7 +33,7 @@ SIMILARITY = 0.8
 PICKED, ROWS, BANDS = 2, 2, 20
 #: Bits of the filter that spares texts without a partner the shuffle; its size is fixed, its errors cost time only.
 FILTER_BITS = 1 << 24
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 QUERY_BLOCK, MEMBER_BLOCK = 64, 256
 
 
