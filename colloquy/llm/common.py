@@ -8,7 +8,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark import cloudpickle
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,4 +108,27 @@ def hash_runs(data: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndar
     return mix(np.add.reduceat(value, first)), first
 
 
+#: Bits of a filter over digests.  The size is fixed: more digests than bits let more rows pass, and cost time only.
+FILTER_BITS = 1 << 24
+
+
+def bit_filter(digests: DataFrame, column: str) -> Broadcast:
+    """A broadcast bit table that has the bit of every digest of the column; 2 MB, whatever the input."""
+    bit = F.pmod(column, F.lit(FILTER_BITS))
+    parts = (
+        digests.groupBy(F.floor(bit / 32768).cast("int").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit % 32768 + 1)).alias("bits"))
+        .collect()  # at most FILTER_BITS / 32768 rows of 4 KB
+    )
+    table = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in parts:
+        table[r.part * 4096 : (r.part + 1) * 4096] = np.frombuffer(r.bits, np.uint8)
+    return digests.sparkSession.sparkContext.broadcast(table)
+
+
+def passes(table: np.ndarray, digests: np.ndarray) -> np.ndarray:
+    """Which digests may be in the filter."""
+    bit = digests % FILTER_BITS
+    return table[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 > 0
+
+
 ship(__name__)

@@ -23,20 +23,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import hash_runs, mix, ship, stage, text_of
+from colloquy.llm.common import bit_filter, hash_runs, mix, passes, ship, stage, text_of
 
 #: Shorter lines are left alone.
 MIN_WORDS = 3
 #: Shorter lines are compared for equality only.
 NEAR_WORDS = 8
 CHUNK = 1 << 22
-#: Bits of the filter that spares lines without a partner the shuffle; its size is fixed, its errors cost time only.
-FILTER_BITS = 1 << 24
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_STOP = np.zeros(256, bool)
+_STOP[[33, 46, 63]] = True
 _R = np.uint64(0x9E3779B97F4A7C15)
 _R_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -77,8 +77,11 @@ class Lines:
         return offsets.astype(np.int32), self.words[np.repeat(self.first[keep] - offsets[:-1], n) + np.arange(offsets[-1])]
 
 
-def lines_of(column: pa.Array) -> Iterator[Lines]:
-    """All lines of an Arrow column of texts, in chunks cut between lines; doc counts the rows of the column."""
+def lines_of(column: pa.Array, sentences: bool = False, word: np.ndarray = ~_SPACE) -> Iterator[Lines]:
+    """All lines of an Arrow column of texts, in chunks cut between lines; doc counts the rows of the column.
+
+    With ``sentences``, white space after . ! or ? ends a line too.  ``word`` tells the bytes of words.
+    """
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)
     size = np.diff(offsets)
@@ -94,7 +97,10 @@ def lines_of(column: pa.Array) -> Iterator[Lines]:
             more = np.flatnonzero(data[b : b + CHUNK] == 10)
             b = b + int(more[0]) + 1 if len(more) else min(len(data), b + CHUNK)
         part = _LOWER[data[a:b]]
-        end = np.flatnonzero(part == 10)
+        ends = part == 10
+        if sentences:
+            ends[1:] |= _SPACE[part[1:]] & _STOP[part[:-1]]
+        end = np.flatnonzero(ends)
         begin = np.concatenate(([0], end[:-1] + 1))
         doc = np.searchsorted(start, a + begin, side="right") - 1
         opens = a + begin == start[doc]
@@ -102,7 +108,7 @@ def lines_of(column: pa.Array) -> Iterator[Lines]:
         point = points + np.concatenate(([0], np.cumsum((part & 0xC0) != 0x80)))
         of_line = np.maximum.accumulate(np.where(opens, index, first_line))
         of_point = np.maximum.accumulate(np.where(opens, point[begin], first_point))
-        words, at = hash_runs(part, ~_SPACE[part])
+        words, at = hash_runs(part, word[part])
         first = np.searchsorted(at, begin)
         n = np.searchsorted(at, end) - first
         yield Lines(doc, index - of_line, point[begin] - of_point, point[end] - of_point, first, n, words)
@@ -135,28 +141,15 @@ def _row_key() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), text_of())
 
 
-def _bit(digest: Column) -> Column:
-    return F.pmod(digest, F.lit(FILTER_BITS))
-
-
 def _words_of(docs: DataFrame, wanted: DataFrame, near_words: int) -> DataFrame:
     """(d1, d2, doc, no, words) of the wanted distinct lines (d1, d2, doc, no); d1 and d2 find their words."""
-    bits = (
-        wanted.groupBy((F.floor(_bit(F.col("d1")) / 32768)).cast("int").alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(_bit(F.col("d1")) % 32768 + 1)).alias("bits"))
-        .collect()  # at most FILTER_BITS / 32768 rows of 4 KB
-    )
-    table = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in bits:
-        table[r.bucket * 4096 : (r.bucket + 1) * 4096] = np.frombuffer(r.bits, np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    shared = bit_filter(wanted, "d1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in lines_of(batch.column(0)):
                 d1, d2 = x.digests()
-                bit = d1 % FILTER_BITS
-                keep = np.flatnonzero((x.n >= near_words) & (shared.value[bit >> 3] >> (bit & 7) & 1 > 0))
+                keep = np.flatnonzero((x.n >= near_words) & passes(shared.value, d1))
                 # One copy of a line in a batch is enough.
                 keep = keep[np.unique(d1[keep], return_index=True)[1]]
                 offsets, words = x.take(keep)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import decontamination, language_id, line_dedup, order_minhash, packing, quality_cascade, secret_scan, suffix_tree_lm
+from colloquy.llm import decontamination, language_id, line_dedup, order_minhash, packing, quality_cascade, secret_scan, substring_dedup, suffix_tree_lm
 from colloquy.llm.common import LOWER, UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,23 @@ def query(sql: str | None = None):
     return register
 
 
+@query(
+    f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?])[\\x20\\x09\\x0B-\\x0D]', '\\1' || chr(10), 'g'), chr(10)) AS u FROM documents),
+    e AS (SELECT r, doc_id, i, u[i] AS t, CAST(sum(length(u[i]) + 1) OVER (PARTITION BY r ORDER BY i) AS BIGINT) - 1 AS z FROM d, unnest(range(1, len(u) + 1)) AS x(i)),
+    w AS (SELECT r, doc_id, i, z - length(t) AS a, z, regexp_extract_all(translate(t, '{UPPER}', '{LOWER}'), '{decontamination.ITEM_WORD}') AS w FROM e),
+    n AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY i) AS no FROM w WHERE len(w) > 0),
+    f AS (SELECT w, min({{'doc': doc_id, 'no': no}}) AS f FROM n GROUP BY w),
+    x AS (SELECT n.*, f.f.doc AS first_doc, no - row_number() OVER (PARTITION BY r ORDER BY no) AS run FROM n JOIN f USING (w) WHERE {{'doc': n.doc_id, 'no': n.no}} > f.f)
+    SELECT doc_id, CAST(arg_min(a, no) FILTER (len(w) >= 4) AS BIGINT) AS start, arg_max(z, no) FILTER (len(w) >= 4) AS "end",
+    max(no) FILTER (len(w) >= 4) - min(no) FILTER (len(w) >= 4) + 1 AS n_units, CAST(sum(len(w)) FILTER (len(w) >= 4) AS BIGINT) AS n_words,
+    arg_min(first_doc, no) FILTER (len(w) >= 4) AS first_doc_id FROM x GROUP BY r, doc_id, run HAVING sum(len(w)) FILTER (len(w) >= 4) >= 15
+    """
+)
+def op1_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.passages(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree_lm.score(table(spark, sf_dir, "documents"))
