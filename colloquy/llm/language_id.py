@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from colloquy.llm.common import held_out, ship, text_of
 
@@ -139,6 +140,18 @@ def identify(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
     (a single language); null texts and texts without a letter are ``und`` with score 0, as is everything if no
     label is there to learn from.  A null doc_id stays null; repeated rows have one result each; other columns are ignored.
     """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), folds).alias("held_out"), letters(text_of()).alias("__letters"))
+    return _predicted(rows, docs, folds, "lang_pred string, score double, bits array<double>")
+
+
+def keep_known(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
+    """The documents with a language, that is not ``und``, with all their columns; a missing lang is filled in."""
+    found = _predicted(docs.withColumn("__letters", letters(text_of())), docs, folds, "__pred string, __score double, __bits array<double>")
+    return found.filter(F.col("__pred") != UNKNOWN).withColumn("lang", F.coalesce("lang", "__pred")).select(*docs.columns)
+
+
+def _predicted(rows: DataFrame, docs: DataFrame, folds: int, added: str) -> DataFrame:
+    """``rows`` with predictions in place of the column ``__letters``, which comes last."""
     texts = references(docs, folds)
     names = sorted(texts)
     seen = np.unique(np.frombuffer(b"".join(b"".join(t) for t in texts.values()), np.uint8))
@@ -148,10 +161,12 @@ def identify(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
     classes = 2 + len(seen)
     model = docs.sparkSession.sparkContext.broadcast([parser(texts[n], class_of, classes) for n in names])
     weight = np.array([math.log2(2 + sum(map(len, texts[n]))) for n in names])
+    schema = StructType([f for f in rows.schema if f.name != "__letters"] + StructType.fromDDL(added).fields)
+    out = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(2)
+            column = batch.column(batch.num_columns - 1)
             offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
             data = class_of[np.frombuffer(column.buffers()[2] or b"", np.uint8)]
             size = np.diff(offsets)
@@ -163,14 +178,10 @@ def identify(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
             else:
                 bits, best, score = np.zeros((len(size), 0)), np.zeros(len(size), int), np.zeros(len(size))
             known = (size > 0) & (len(names) > 0)
-            columns = [
-                batch.column(0), batch.column(1), pa.array([names[b] if k else UNKNOWN for b, k in zip(best, known)], pa.string()),
-                pa.array(np.where(known, score, 0.0)), pa.array(list(bits), pa.list_(pa.float64())),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "lang_pred", "score", "bits"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), folds).alias("held_out"), letters(text_of()).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, bits array<double>")
+            made = [pa.array([names[b] if k else UNKNOWN for b, k in zip(best, known)], pa.string()), pa.array(np.where(known, score, 0.0)), pa.array(list(bits), pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=out)
+
+    return rows.mapInArrow(run, schema)
 
 
 ship(__name__)

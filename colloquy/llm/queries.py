@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import decontamination, language_id, line_dedup, order_minhash, packing, quality_cascade, secret_scan, substring_dedup, suffix_tree_lm
+from colloquy.llm import decontamination, language_id, line_dedup, order_minhash, packing, quality_cascade, quote_threads, secret_scan, substring_dedup, suffix_tree_lm
 from colloquy.llm.common import LOWER, UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,3 +137,40 @@ _ITEM_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LO
 def op8_benchmark_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.withColumn("items", F.sha2(F.array_join("items", ","), 256)).withColumnRenamed("items", "items_sha256")
+
+
+_MARK = r"^([ \t]*>)+"
+
+
+def _plain(text: str) -> str:
+    return f"trim(regexp_replace(lower({text}), '[ \\t\\r\\n>]+', ' ', 'g'))"
+
+
+@query(
+    f"""
+    WITH RECURSIVE m AS (SELECT row_number() OVER () AS r, conv_id, turn, role, text, string_split(coalesce(text, ''), chr(10)) AS u FROM conversations),
+    l AS (SELECT r, conv_id, turn, i, u[i] AS line, coalesce(u[i + 1], '') AS below FROM m, unnest(range(1, len(u) + 1)) AS x(i)),
+    p AS (SELECT r, conv_id, turn, i, line, CASE WHEN regexp_matches(line, 'wrote:[ \t]*$') AND regexp_matches(below, '{_MARK}') THEN -1
+          ELSE length(regexp_replace(regexp_extract(line, '{_MARK}'), '[^>]', '', 'g')) END AS level, {_plain(f"regexp_replace(line, '{_MARK}[ \t]?', '')")} AS unit FROM l),
+    s AS (SELECT r, count(*) FILTER (level > 0) AS n_quoted, coalesce(max(level) FILTER (level > 0), 0) AS max_level,
+          coalesce(regexp_replace(string_agg(line, chr(10) ORDER BY i) FILTER (level = 0), '^\s+|\s+$', '', 'g'), '') AS own FROM p GROUP BY r),
+    o AS (SELECT r, conv_id, turn, role, CASE WHEN n_quoted > 0 THEN own ELSE text END AS own, n_quoted, CAST(max_level AS BIGINT) AS max_level FROM m JOIN s USING (r)),
+    e AS (SELECT conv_id, turn, unnest(list_append(string_split(own, chr(10)), own)) AS t FROM o WHERE own IS NOT NULL AND conv_id IS NOT NULL AND turn IS NOT NULL),
+    g AS (SELECT conv_id, {_plain("t")} AS unit, min(turn) AS f FROM e GROUP BY 1, 2 HAVING unit <> ''),
+    q AS (SELECT *, i - row_number() OVER (PARTITION BY r, level ORDER BY i) AS run FROM p WHERE level > 0),
+    b AS (SELECT conv_id, turn, level, {_plain("string_agg(unit, ' ' ORDER BY i)")} AS unit FROM q GROUP BY r, conv_id, turn, level, run),
+    a AS (SELECT conv_id, turn, level, unit FROM b WHERE unit <> '' UNION SELECT conv_id, turn, level, unit FROM q WHERE unit <> ''),
+    c AS (SELECT a.conv_id, a.turn, level, f, sum(length(a.unit)) AS n FROM a JOIN g ON a.conv_id = g.conv_id AND a.unit = g.unit AND f < a.turn GROUP BY ALL),
+    h AS (SELECT conv_id, turn, arg_min(f, {{'l': level, 'n': -n, 'f': f}}) AS parent_turn FROM c GROUP BY 1, 2),
+    w AS (SELECT unit, min({{'c': conv_id, 't': f}}) AS src FROM g GROUP BY 1),
+    y AS (SELECT a.conv_id, a.turn, min({{'l': level, 'n': -length(a.unit), 's': src}}) AS k FROM a ANTI JOIN h USING (conv_id, turn) JOIN w USING (unit) WHERE src.c <> a.conv_id GROUP BY 1, 2),
+    t AS (SELECT conv_id, turn, parent_turn AS root, 1 AS depth FROM h
+          UNION ALL SELECT t.conv_id, t.turn, h.parent_turn, depth + 1 FROM t JOIN h ON h.conv_id = t.conv_id AND h.turn = t.root),
+    z AS (SELECT conv_id, turn, arg_max(root, depth) AS root, max(depth) AS depth FROM t GROUP BY 1, 2)
+    SELECT conv_id, turn, role, own AS text, n_quoted, max_level, parent_turn, CASE WHEN parent_turn IS NULL THEN k.s.c ELSE conv_id END AS source_conv_id,
+    coalesce(parent_turn, k.s.t) AS source_turn, coalesce(root, turn) AS root_turn, CAST(coalesce(depth, 0) AS BIGINT) AS depth
+    FROM o LEFT JOIN h USING (conv_id, turn) LEFT JOIN y USING (conv_id, turn) LEFT JOIN z USING (conv_id, turn)
+    """
+)
+def op10_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quote_threads.format_chat(table(spark, sf_dir, "conversations"))
