@@ -34,7 +34,9 @@ PICKED, ROWS, BANDS = 2, 2, 20
 #: Bits of the filter that spares texts without a partner the shuffle; its size is fixed, its errors cost time only.
 FILTER_BITS = 1 << 24
 CHUNK = 1 << 20
-QUERY_BLOCK, MEMBER_BLOCK = 64, 256
+QUERY_BLOCK, MEMBER_BLOCK = 256, 512
+#: Shingles that a task keeps at hand while it compares a block.
+KEPT_SHINGLES = 300_000
 
 
 def normal_text(text: Column) -> Column:
@@ -277,7 +279,18 @@ def _rest(now: DataFrame, hubs: DataFrame, texts: DataFrame, threshold: float) -
         if len(q) and len(m):
             text = group.column("text")
             made: dict = {}
-            shingles = lambda r: made[r] if r in made else made.setdefault(r, labelled(text[r].as_py()))
+            kept = 0
+
+            def shingles(r: int) -> list[tuple]:
+                nonlocal kept
+                if r not in made:
+                    if kept > KEPT_SHINGLES:
+                        made.clear()
+                        kept = 0
+                    made[r] = labelled(text[r].as_py())
+                    kept += len(made[r])
+                return made[r]
+
             for i in q:
                 # Two members outside meet once.
                 fit = (label[m] != label[i]) & (~outside[m] | (node[i] < node[m])) & (np.minimum(n[m], n[i]) >= np.maximum(n[m], n[i]) * threshold)
