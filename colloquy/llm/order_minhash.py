@@ -35,8 +35,6 @@ PICKED, ROWS, BANDS = 2, 2, 20
 FILTER_BITS = 1 << 24
 CHUNK = 1 << 20
 QUERY_BLOCK, MEMBER_BLOCK = 256, 512
-#: Shingles that a task keeps at hand while it compares a block.
-KEPT_SHINGLES = 300_000
 
 
 def normal_text(text: Column) -> Column:
@@ -83,8 +81,8 @@ def digests(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return d1, d2, words, n
 
 
-def sketches(words: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket keys (texts x BANDS) and the number of shingles of each text; texts without words have zero keys."""
+def labels(words: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all shingles with and without their occurrence number, text after text, and their number per text."""
     count = np.where(n >= SHINGLE, n - SHINGLE + 1, np.minimum(n, 1))
     owner = np.repeat(np.arange(len(n)), count)
     first = np.cumsum(count) - count
@@ -102,7 +100,13 @@ def sketches(words: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     run = np.maximum.accumulate(np.where(new, np.arange(len(own)), 0)) if len(own) else np.zeros(0, np.int64)
     occurrence = np.empty(len(own), np.uint64)
     occurrence[order] = (np.arange(len(own)) - run).astype(np.uint64)
-    label = mix(shingle + occurrence * np.uint64(0xC2B2AE3D27D4EB4F))
+    return mix(shingle + occurrence * np.uint64(0xC2B2AE3D27D4EB4F)), shingle, count
+
+
+def sketches(words: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket keys (texts x BANDS) and the number of shingles of each text; texts without words have zero keys."""
+    label, shingle, count = labels(words, n)
+    first = np.cumsum(count) - count
     keys = np.zeros((len(n), BANDS), np.uint64)
     has = np.flatnonzero(count)
     if not len(has):
@@ -271,37 +275,33 @@ def _rest(now: DataFrame, hubs: DataFrame, texts: DataFrame, threshold: float) -
 
     def compare(key: tuple, group: pa.Table) -> pa.Table:
         asks = group.column("asks").to_numpy(zero_copy_only=False)
-        node, label, n = (group.column(c).to_numpy() for c in ("node", "label", "n"))
+        node, label_of, n = (group.column(c).to_numpy() for c in ("node", "label", "n"))
         outside = group.column("outside").to_numpy(zero_copy_only=False)
         keys = np.array(group.column("keys").to_pylist(), np.int64)
         q, m = np.flatnonzero(asks), np.flatnonzero(~asks)
         out: tuple[list, list] = ([], [])
         if len(q) and len(m):
-            text = group.column("text")
-            made: dict = {}
-            kept = 0
-
-            def shingles(r: int) -> list[tuple]:
-                nonlocal kept
-                if r not in made:
-                    if kept > KEPT_SHINGLES:
-                        made.clear()
-                        kept = 0
-                    made[r] = labelled(text[r].as_py())
-                    kept += len(made[r])
-                return made[r]
-
+            text = group.column("text").combine_chunks()
+            parts = [labels(*digests(data, offsets)[2:]) for _, _, data, offsets in _texts(text)]
+            label, count = np.concatenate([x[0] for x in parts]), np.concatenate([x[2] for x in parts])
+            end = np.cumsum(count)
+            own = lambda r: label[end[r] - count[r] : end[r]]
+            of_members = np.concatenate([own(r) for r in m])
+            cut = np.cumsum(count[m]) - count[m]
             for i in q:
-                # Two members outside meet once.
-                fit = (label[m] != label[i]) & (~outside[m] | (node[i] < node[m])) & (np.minimum(n[m], n[i]) >= np.maximum(n[m], n[i]) * threshold)
-                some = m[fit]
-                same = keys[some] == keys[i]
-                here = keys[i][same.argmax(axis=1)] == key[0].as_py() if len(some) else np.zeros(0, bool)
-                if here.any():
-                    mine = shingles(i)
-                    places = {s: k for k, s in enumerate(mine)}
-                    for j in some[here]:
-                        if aligned(places, len(mine), shingles(j), threshold):
+                # Two members outside meet once; a pair that shares several buckets meets in the first.
+                fit = (label_of[m] != label_of[i]) & (~outside[m] | (node[i] < node[m])) & (keys[i][(keys[m] == keys[i]).argmax(axis=1)] == key[0].as_py())
+                if not fit.any():
+                    continue
+                # Common shingles bound the alignment, whatever their order; equal hashes can only raise the bound.
+                mine = np.sort(own(i))
+                at = np.minimum(np.searchsorted(mine, of_members), len(mine) - 1)
+                common = np.add.reduceat((mine[at] == of_members).astype(np.int64), cut)
+                fit &= common * (1 + threshold) >= (n[m] + n[i]) * threshold - 1e-6
+                if fit.any():
+                    places = {s: k for k, s in enumerate(labelled(text[i].as_py()))}
+                    for j in m[fit]:
+                        if aligned(places, len(places), labelled(text[j].as_py()), threshold):
                             out[0].append(min(node[i], node[j])), out[1].append(max(node[i], node[j]))
         return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
 
