@@ -29,7 +29,7 @@ from colloquy.llm.common import bit_filter, hash_runs, mix, passes, ship, stage,
 MIN_WORDS = 3
 #: Shorter lines are compared for equality only.
 NEAR_WORDS = 8
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32

@@ -153,7 +153,7 @@ def _plain(text: str) -> str:
     p AS (SELECT r, conv_id, turn, i, line, CASE WHEN regexp_matches(line, 'wrote:[ \t]*$') AND regexp_matches(below, '{_MARK}') THEN -1
           ELSE length(regexp_replace(regexp_extract(line, '{_MARK}'), '[^>]', '', 'g')) END AS level, {_plain(f"regexp_replace(line, '{_MARK}[ \t]?', '')")} AS unit FROM l),
     s AS (SELECT r, count(*) FILTER (level > 0) AS n_quoted, coalesce(max(level) FILTER (level > 0), 0) AS max_level,
-          coalesce(regexp_replace(string_agg(line, chr(10) ORDER BY i) FILTER (level = 0), '^\s+|\s+$', '', 'g'), '') AS own FROM p GROUP BY r),
+          coalesce(regexp_replace(string_agg(line, chr(10) ORDER BY i) FILTER (level = 0), '^\\s+|\\s+$', '', 'g'), '') AS own FROM p GROUP BY r),
     o AS (SELECT r, conv_id, turn, role, CASE WHEN n_quoted > 0 THEN own ELSE text END AS own, n_quoted, CAST(max_level AS BIGINT) AS max_level FROM m JOIN s USING (r)),
     e AS (SELECT conv_id, turn, unnest(list_append(string_split(own, chr(10)), own)) AS t FROM o WHERE own IS NOT NULL AND conv_id IS NOT NULL AND turn IS NOT NULL),
     g AS (SELECT conv_id, {_plain("t")} AS unit, min(turn) AS f FROM e GROUP BY 1, 2 HAVING unit <> ''),

@@ -32,7 +32,7 @@ DIVERGENCE = 1e-8
 WORD_SHARE = 1e-6
 BEGIN, END, BLANK = 0, 1, 32
 END_TOKEN = 1
-CHUNK = 1 << 22
+CHUNK = 1 << 21
 BLOCK = 1024
 
 _POWERS = np.multiply.accumulate(np.full(4096, 0x9E3779B97F4A7C15, np.uint64))
