@@ -17,7 +17,7 @@ HEADLINE = [
     "speaker_counts", "sessionize_events", "turns_context", "split_sessions", "leakage_pairs", "length_distribution",
     "punctuation_rates", "top_bigrams", "catchphrases", "conditional_style", "latency_profile", "emoji_contexts",
     "merge_entities", "lexical_score", "evaluation_report", "memory_versions", "memory_retrieve", "bursts",
-    "session_state", "clean_messages",
+    "quote_target", "clean_messages",
 ]
 
 

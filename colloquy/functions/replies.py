@@ -51,18 +51,30 @@ def drop_artifact_lines(c) -> Column:
     return F.array_join(kept, "\n")
 
 
-def strip_speaker_quotes(c, speaker: str | None = None, rounds: int = 4) -> Column:
-    """Strip speaker labels and matching quotes, also when they are nested."""
+def strip_speaker_quotes(c, speaker: str | None = None) -> Column:
+    """Strip speaker labels and matching quotes, however deeply they are nested."""
     labels = lx.SPEAKER_LABELS + ([re.escape(speaker)] if speaker else [])
     plain = "|".join(labels + lx.ANSWER_LABELS)
     label = rf"(?i)^(?:(?:(?:{plain})[:：]|[\[【(](?:{'|'.join(labels)})[\]】)][:：]?)\s*)+"
-    t = trim(c)
-    for _ in range(rounds):
+
+    def once(t: Column) -> Column:
         t = trim(F.regexp_replace(t, label, ""))
         for opening, closing in lx.QUOTE_PAIRS:
             t = F.regexp_replace(t, rf"(?s)^{opening}(.*){closing}\z", "$1")
-        t = trim(t)
-    return t
+        return trim(t)
+
+    # Each round that changes a text takes at least one of these marks off it; the rounds end at the first that does not.
+    marks = "[:：\\]】)" + "".join(opening for opening, _ in lx.QUOTE_PAIRS) + "]"
+    start = trim(c)
+    state = F.struct(start.alias("t"), F.lit(False).alias("done"))
+
+    def step(acc: Column, _: Column) -> Column:
+        after = F.transform(F.array(acc["t"]), once)[0]
+        return F.when(acc["done"], acc).otherwise(
+            F.transform(F.array(after), lambda t: F.struct(t.alias("t"), (t == acc["t"]).alias("done")))[0]
+        )
+
+    return F.aggregate(F.sequence(F.lit(0), F.regexp_count(start, F.lit(marks))), state, step)["t"]
 
 
 def finish_reply(c) -> Column:

@@ -141,15 +141,17 @@ def sessionize(
     gap_seconds: float = SESSION_GAP_SECONDS,
     width: int | None = None,
 ) -> DataFrame:
-    """Add ``session_no``: a new session starts after a gap longer than ``gap_seconds``."""
+    """Add ``session_no``: a new session starts after a gap longer than ``gap_seconds``.
+
+    Rows without a time come first and never open a session, unless they open the chat.
+    """
     stamp = F.unix_micros(F.col(ts).cast("timestamp"))
-    gaps = scan(messages, [chat], [ts, tie], width=width, lag={"__prev": stamp})
-    far = (stamp - F.col("__prev")) > F.lit(int(gap_seconds * 1_000_000))
-    opens = F.when(F.col("__prev").isNull() | far, 1).otherwise(0)
-    # The first row of a chat has no previous row; later rows without a time keep the session.
+    gaps = scan(messages, [chat], [ts, tie], width=width, lag={"__prev": stamp, "__had": F.lit(True)})
+    far = F.coalesce((stamp - F.col("__prev")) > F.lit(int(gap_seconds * 1_000_000)), F.lit(False))
+    opens = F.when(F.col("__had").isNull() | far, 1).otherwise(0)
     return scan(
         gaps.withColumn("__open", opens), [chat], [ts, tie], width=width, running={"session_no": F.col("__open")}
-    ).drop("__prev", "__open")
+    ).drop("__prev", "__had", "__open")
 
 
 def session_rollup(

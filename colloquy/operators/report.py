@@ -72,6 +72,11 @@ def evaluation_report(
 
 def failure_cases(scored: DataFrame, keys: list[str], order: str = "sample_id", k: int = 15) -> DataFrame:
     """The first ``k`` samples below the bar or with an issue."""
+    return top_k(failures(scored), keys, [F.col(order)], k)
+
+
+def failures(scored: DataFrame) -> DataFrame:
+    """All samples below the bar or with an issue."""
     rows = scored.withColumn("__dsi", weighted_index())
     failed = rows.filter((F.col("__dsi") < FAILURE_BELOW) | (F.size("issues") > 0)).withColumns(
         {
@@ -81,7 +86,7 @@ def failure_cases(scored: DataFrame, keys: list[str], order: str = "sample_id",
             ),
         }
     )
-    return top_k(failed.drop("__dsi"), keys, [F.col(order)], k)
+    return failed.drop("__dsi")
 
 
 def sample_limit(samples: DataFrame, keys: list[str], order: str = "sample_id", k: int | None = None) -> DataFrame:

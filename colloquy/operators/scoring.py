@@ -413,7 +413,8 @@ def judge_heuristic(samples: DataFrame) -> DataFrame:
 
 def blind_assignment(samples: DataFrame, id: str = "sample_id", seed: int = 42) -> DataFrame:
     """Adds ``target_is_a``: which side the true reply is shown on, fixed by id and seed."""
-    return samples.withColumn("target_is_a", F.pmod(F.xxhash64(F.col(id), F.lit(seed)), F.lit(2)) == 0)
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id).cast("string")))
+    return samples.withColumn("target_is_a", F.substring(digest, 32, 1).isin(*"02468ace"))
 
 
 def judge_composite(samples: DataFrame, judgements: DataFrame, id: str = "sample_id") -> DataFrame:

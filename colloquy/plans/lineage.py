@@ -12,6 +12,8 @@ def cut(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        # Only where the session names no folder, as in local tests.
+        if not folder and not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        # A folder of its own only in a local session that names none, as in tests.
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="colloquy-checkpoints-"))
     return df.checkpoint(eager=True)

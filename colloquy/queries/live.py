@@ -96,57 +96,6 @@ def perceived(spark, sf):
     return chat(spark, sf).select("chat_id", "seq", state.perceive("content", INTENTS).alias("p")).select("chat_id", "seq", "p.*")
 
 
-def _felt(spark, sf):
-    """Every kind of event stands for an intent."""
-    e = events(spark, sf)
-    kind = F.col("sender")
-    return e.select(
-        "chat_id", F.col("seq").alias("message_id"), "ts",
-        F.when(kind == "error", "provocation").when(kind == "click", "tease").when(kind == "view", "affection").when(kind == "purchase", "apology").otherwise("complaint").alias("intent"),
-        F.lit(0.1).alias("sentiment"), F.when(kind == "error", 0.8).otherwise(0.1).alias("pressure"), F.when(kind == "view", 0.85).otherwise(0.0).alias("affection"),
-        F.when(kind == "purchase", 0.75).otherwise(0.0).alias("apology_strength"),
-    )
-
-
-def _clamp(x: str) -> str:
-    return f"greatest(0, least(1, {x}))"
-
-
-_STATE = f"""WITH RECURSIVE m AS (SELECT user_id AS chat_id, event_id AS id, ts, event_type AS kind, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
-st AS (SELECT DISTINCT chat_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS id, CAST(NULL AS TIMESTAMP) AS ts, 0.65e0 AS affinity, 0.65e0 AS trust, 0.6e0 AS warmth, 0.05e0 AS irritation, 0.02e0 AS hurt, 0.08e0 AS tension,
-  0.02e0 AS anger, 0.05e0 AS annoyance, 'NORMAL' AS phase, 0e0 AS coldness FROM m
-UNION ALL SELECT chat_id, k, id, ts, affinity, trust, warmth, irritation, hurt, tension, anger, annoyance,
-  CASE WHEN ph = 'RECOVERING' THEN CASE WHEN coldness < 0.25e0 AND hurt < 0.2e0 THEN 'NORMAL' ELSE ph END
-    WHEN coldness > 0.65e0 THEN CASE WHEN hurt > 0.5e0 AND irritation > 0.45e0 THEN 'CONFLICT' ELSE 'COLD' END
-    WHEN irritation > 0.4e0 THEN 'ANNOYED' WHEN coldness > 0.35e0 THEN 'DISTANT' WHEN warmth > 0.7e0 AND affinity > 0.65e0 THEN 'WARM' ELSE 'NORMAL' END, coldness
-FROM (SELECT *, {_clamp('0.5e0 * irritation + 0.35e0 * hurt + 0.2e0 * tension - 0.35e0 * warmth')} AS coldness FROM (
-  SELECT chat_id, k, id, ts, ph, anger, annoyance,
-    {_clamp("0.88e0 * affinity + CASE WHEN kind = 'view' THEN 0.2e0 * 0.85e0 WHEN kind = 'click' AND warmth > 0.5e0 THEN 0.08e0 ELSE 0e0 END")} AS affinity,
-    {_clamp("0.88e0 * trust + CASE kind WHEN 'error' THEN -0.25e0 WHEN 'view' THEN 0.1e0 ELSE 0e0 END")} AS trust,
-    {_clamp("0.88e0 * warmth + CASE kind WHEN 'error' THEN -0.3e0 WHEN 'view' THEN 0.18e0 ELSE 0e0 END")} AS warmth,
-    {_clamp("0.88e0 * irritation + CASE WHEN kind = 'error' THEN 0.35e0 * (1 + 0.8e0) WHEN kind = 'signup' THEN 0.15e0 WHEN kind = 'view' THEN -0.15e0 WHEN kind = 'click' AND warmth <= 0.5e0 THEN 0.1e0 ELSE 0e0 END")} AS irritation,
-    {_clamp("0.88e0 * hurt + CASE kind WHEN 'error' THEN 0.4e0 ELSE 0e0 END")} AS hurt,
-    {_clamp("0.88e0 * tension + CASE kind WHEN 'error' THEN 0.4e0 WHEN 'signup' THEN 0.15e0 WHEN 'view' THEN -0.15e0 ELSE 0e0 END")} AS tension FROM (
-    SELECT chat_id, k, id, ts, kind, affinity, warmth,
-      CASE WHEN kind = 'purchase' AND phase IN ('CONFLICT', 'COLD', 'ANNOYED') THEN 'RECOVERING' ELSE phase END AS ph,
-      CASE WHEN kind = 'purchase' THEN least(1, trust + 0.12e0 * 0.75e0) ELSE trust END AS trust,
-      CASE WHEN kind = 'purchase' THEN hurt * (1 - 0.45e0 * 0.75e0) ELSE hurt END AS hurt, CASE WHEN kind = 'purchase' THEN irritation * (1 - 0.5e0 * 0.75e0) ELSE irritation END AS irritation,
-      CASE WHEN kind = 'purchase' THEN tension * (1 - 0.4e0 * 0.75e0) ELSE tension END AS tension,
-      CASE kind WHEN 'purchase' THEN anger * (1 - 0.6e0 * 0.75e0) WHEN 'error' THEN least(1, anger + 0.45e0) ELSE anger END AS anger,
-      CASE WHEN kind = 'purchase' THEN annoyance * (1 - 0.5e0 * 0.75e0) WHEN kind = 'error' THEN least(1, annoyance + 0.5e0) WHEN kind = 'signup' THEN least(1, annoyance + 0.2e0)
-        WHEN kind = 'click' AND warmth <= 0.5e0 THEN least(1, annoyance + 0.1e0) ELSE annoyance END AS annoyance FROM (
-      SELECT s.chat_id, m.k, m.id, m.ts, m.kind, s.phase, affinity, trust, warmth, irritation * exp(-h / 6) AS irritation, hurt * exp(-h / 24) AS hurt, tension * exp(-h / 4) AS tension,
-        anger * exp(-h / 2) AS anger, annoyance * exp(-h / 3) AS annoyance
-      FROM st s JOIN m ON m.chat_id = s.chat_id AND m.k = s.k + 1, LATERAL (SELECT coalesce(greatest(0, epoch_us(m.ts) - epoch_us(s.ts)) / 3.6e9, 0e0) AS h))))))"""
-_OUT = ["affinity", "trust", "warmth", "irritation", "hurt", "tension", "anger", "annoyance", "coldness"]
-
-
-@query(f"{_STATE} SELECT id AS message_id, phase, {', '.join(f'round({c}, 5) AS {c}' for c in _OUT)} FROM st WHERE k > 0")
-def session_state(spark, sf):
-    out = state.session_state(_felt(spark, sf), ["chat_id"])
-    return out.select("message_id", "phase", *[F.round(c, 5).alias(c) for c in _OUT])
-
-
 _STARTS = "('what', 'why', 'where', 'when', 'who', 'which', 'how', 'is', 'are', 'can', 'could', 'would', 'will', 'do', 'does', 'did')"
 _ASKS = "[?？]|吗|嘛|呢|啥|什么|怎么|如何|哪里|几点|谁"
 _QUESTION = f"(content <> '' AND (regexp_matches(content, '{_ASKS}') OR trim(string_split_regex(lower(content), '\\s+')[1], '!.,;:') IN {_STARTS}))"
@@ -162,9 +111,9 @@ _STOPS = "('吗', '嘛', '呢', '吧', '呀', '啊', '啥', '什么', '怎么',
 _SCORE = f"""(3 * len(list_filter(string_split_regex(q, '\\s+'), lambda w: strlen(w) >= 3 AND w NOT IN {_STOPS} AND contains(r, w)))
   + 3 * len(list_filter(list_transform(range(1, length(tight)), lambda i: substr(tight, i, 2)), lambda w: w NOT IN {_STOPS} AND contains(r, w)))
   + len(list_filter(list_transform(range(1, length(tight) + 1), lambda i: substr(tight, i, 1)), lambda w: w NOT IN {_STOPS} AND contains(r, w))))"""
-# The questions of a turn and the first sentence of the next turn as the reply.
+# The questions of a turn and the whole next turn as the reply.
 _LINK = f"""{CHAT}, qs AS (SELECT chat_id, seq // 1000 AS turn, seq AS id, content FROM chat WHERE {_QUESTION}),
-rp AS (SELECT chat_id, seq // 1000 - 1 AS turn, arg_min(content, seq) AS reply FROM chat GROUP BY ALL),
+rp AS (SELECT chat_id, seq // 1000 - 1 AS turn, string_agg(content, ' ' ORDER BY seq) AS reply FROM chat GROUP BY ALL),
 qr AS (SELECT chat_id, turn, id, lower({_PUNCT.format(x='content')}) AS q, lower({_PUNCT.format(x='reply')}) AS r FROM qs JOIN rp USING (chat_id, turn)),
 qz AS (SELECT *, replace(q, ' ', '') AS tight FROM qr), sc AS (SELECT *, {_SCORE} AS score FROM qz),
 lk AS (SELECT chat_id, turn, arg_max(id, (score, -id)) AS answered_id, count(*) AS n, max(score) AS top FROM sc GROUP BY ALL),
@@ -173,7 +122,8 @@ linked AS (SELECT chat_id, turn, answered_id FROM lk WHERE n >= 2 AND top >= 3 A
 
 def _asked(spark, sf):
     c = chat(spark, sf).select("chat_id", F.floor(F.col("seq") / 1000).alias("turn"), F.col("seq").alias("message_id"), F.col("content").alias("text"))
-    reply = c.groupBy("chat_id", (F.col("turn") - 1).alias("turn")).agg(F.min_by("text", "message_id").alias("reply"))
+    said = F.array_sort(F.collect_list(F.struct("message_id", "text")))  # the sentences of one message
+    reply = c.groupBy("chat_id", (F.col("turn") - 1).alias("turn")).agg(F.array_join(F.transform(said, lambda x: x["text"]), " ").alias("reply"))
     return c, reply
 
 

@@ -277,16 +277,21 @@ def chat_summary(spark, sf):
     return normalize.chat_summary(normalize.mark_target(m.drop("is_target"), normalize.pick_speakers(m)))
 
 
-_SESSIONS = f"""{sql_events()}, gaps AS (SELECT *, ts - lag(ts) OVER (PARTITION BY chat_id ORDER BY ts, seq) AS gap FROM msg),
-sess AS (SELECT *, CAST(sum(CASE WHEN gap IS NULL OR gap > INTERVAL 12 HOUR THEN 1 ELSE 0 END)
-  OVER (PARTITION BY chat_id ORDER BY ts, seq) AS BIGINT) AS session_no FROM gaps)"""
+# Every seventh event has lost its time: such rows come first in their chat and open no session of their own.
+_SESSIONS = f"""{sql_events()}, part AS (SELECT * REPLACE (CASE WHEN seq % 7 <> 0 THEN ts END AS ts) FROM msg),
+gaps AS (SELECT *, ts - lag(ts) OVER w AS gap, row_number() OVER w AS nr FROM part WINDOW w AS (PARTITION BY chat_id ORDER BY ts NULLS FIRST, seq)),
+sess AS (SELECT *, CAST(sum(CASE WHEN nr = 1 OR gap > INTERVAL 12 HOUR THEN 1 ELSE 0 END)
+  OVER (PARTITION BY chat_id ORDER BY ts NULLS FIRST, seq) AS BIGINT) AS session_no FROM gaps)"""
+
+
+def _sessions(spark, sf):
+    some = events(spark, sf).withColumn("ts", F.when(F.col("seq") % 7 != 0, F.col("ts")))
+    return normalize.sessionize(some, gap_seconds=12 * 3600, width=10 * DAY)
 
 
 @query(f"WITH {_SESSIONS} SELECT seq AS event_id, session_no FROM sess")
 def sessionize_events(spark, sf):
-    return normalize.sessionize(events(spark, sf), gap_seconds=12 * 3600, width=10 * DAY).select(
-        F.col("seq").alias("event_id"), "session_no"
-    )
+    return _sessions(spark, sf).select(F.col("seq").alias("event_id"), "session_no")
 
 
 @query(
@@ -294,8 +299,7 @@ def sessionize_events(spark, sf):
   epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS end_us, count(*) AS message_count FROM sess GROUP BY chat_id, session_no"""
 )
 def session_rollup(spark, sf):
-    s = normalize.sessionize(events(spark, sf), gap_seconds=12 * 3600, width=10 * DAY)
-    return normalize.session_rollup(s).select(
+    return normalize.session_rollup(_sessions(spark, sf)).select(
         "chat_id", "session_id", F.unix_micros("start_ts").alias("start_us"), F.unix_micros("end_ts").alias("end_us"), "message_count"
     )
 

@@ -162,9 +162,11 @@ def behavior_score(spark, sf):
 
 
 # Known names and facts of every speaker, made from the parts and the nations.
-_ITEMS = """items AS (SELECT s.speaker, 'entity' AS kind, lower(substr(p_name, 1, 3)) AS label, lower(substr(p_name, 1, 3)) AS value, 'en ' AS contra, FALSE AS negated
-  FROM (SELECT DISTINCT speaker FROM samples) s JOIN part ON p_partkey % 20 = CAST(s.speaker AS BIGINT) % 20
-  UNION SELECT s.speaker, 'fact', n_name, lower(substr(n_name, 1, 2)), NULL, n_nationkey % 2 = 0 FROM (SELECT DISTINCT speaker FROM samples) s, nation)"""
+# What a speaker is known to have said: long words of the first turn as entities, short words of the second as facts.
+_ITEMS = """items AS (SELECT DISTINCT CAST(conv_id AS VARCHAR) AS speaker, 'entity' AS kind, w AS label, w AS value, 'en ' AS contra, FALSE AS negated
+  FROM (SELECT conv_id, unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) AS w FROM conversations WHERE turn = 0)
+  UNION SELECT CAST(conv_id AS VARCHAR), 'fact', w, w, NULL, conv_id % 2 = 0
+  FROM (SELECT conv_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,4}')) AS w FROM conversations WHERE turn = 1))"""
 _GROUND = f"""{_ITEMS}, hit AS (SELECT sample_id, kind, label, contra, negated, contains(lower(candidate), value) AS said, lower(candidate) AS cand
   FROM samples JOIN items USING (speaker) WHERE contains(lower(candidate), value) OR contains(lower(ctx || chr(31) || target), value)),
 ground AS (SELECT sample_id, count(*) FILTER (said) AS grounded, count(*) FILTER (said AND CASE WHEN kind = 'entity' THEN contains(cand, contra) ELSE negated END) AS contradicted,
@@ -176,19 +178,12 @@ con AS (SELECT s.*, grounded, coalesce(contradicted, 0) AS contradicted, coalesc
 
 
 def _items(spark, sf):
-    who = table(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("speaker")).distinct()
-    name = F.lower(F.substring("p_name", 1, 3))
+    c = table(spark, sf, "conversations").withColumn("speaker", F.col("conv_id").cast("string"))
+    word = lambda p: F.explode(F.regexp_extract_all(F.lower("text"), F.lit(p), F.lit(0))).alias("value")
     none = F.lit(None).cast("array<string>")
-    entities = (
-        table(spark, sf, "part").join(who, F.col("p_partkey") % 20 == F.col("speaker").cast("long") % 20)
-        .select("speaker", F.lit("entity").alias("kind"), name.alias("label"), name.alias("value"), F.array(F.lit("en ")).alias("contradictions"), F.lit(False).alias("negated"))
-        .distinct()
-    )
-    nations = table(spark, sf, "nation").select(
-        F.lit("fact").alias("kind"), F.col("n_name").alias("label"), F.lower(F.substring("n_name", 1, 2)).alias("value"), none.alias("contradictions"),
-        (F.col("n_nationkey") % 2 == 0).alias("negated"),
-    )
-    return entities.unionByName(who.join(F.broadcast(nations), F.lit(True)))
+    entities = c.filter("turn = 0").select("speaker", F.lit("entity").alias("kind"), word("[a-z]{5,}"), F.array(F.lit("en ")).alias("contradictions"), F.lit(False).alias("negated"))
+    told = c.filter("turn = 1").select("speaker", F.lit("fact").alias("kind"), word("[a-z]{3,4}"), none.alias("contradictions"), (F.col("conv_id") % 2 == 0).alias("negated"))
+    return entities.union(told).distinct().select("speaker", "kind", F.col("value").alias("label"), "value", "contradictions", "negated")
 
 
 def _scored(spark, sf):
@@ -287,7 +282,7 @@ def _mention(p: str) -> str:
 )
 def issue_counts(spark, sf):
     scored = _scored(spark, sf).withColumn("part", F.col("speaker").cast("long") % 5)
-    return report.issue_counts(report.failure_cases(scored, ["part"], k=2**31 - 1), ["part"])
+    return report.issue_counts(report.failures(scored), ["part"])
 
 
 @query(f"WITH {SAMPLES} SELECT sample_id FROM samples QUALIFY row_number() OVER (PARTITION BY speaker ORDER BY sample_id) <= 15")
@@ -295,9 +290,11 @@ def sample_limit(spark, sf):
     return report.sample_limit(samples(spark, sf), ["speaker"], k=15).select("sample_id")
 
 
-@query()
+@query(
+    f"""WITH {SAMPLES} SELECT sample_id, substr(md5('42:' || sample_id), 32, 1) IN ('0', '2', '4', '6', '8', 'a', 'c', 'e') AS target_is_a FROM samples"""
+)
 def blind_assignment(spark, sf):
-    return scoring.blind_assignment(samples(spark, sf)).groupBy("target_is_a").agg(F.count(F.lit(1)).alias("samples"))
+    return scoring.blind_assignment(samples(spark, sf)).select("sample_id", "target_is_a")
 
 
 @query(

@@ -22,8 +22,8 @@ def fact_tags(spark, sf):
 
 # Lines of documents as notes: the first letter decides heading, 'key: value' or plain text.
 _NOTES = """nl AS (SELECT doc_id AS chat_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents),
-nn AS (SELECT *, CASE WHEN line_no % 5 = 1 THEN '# 关系 ' || substr(s, 1, 5) WHEN line_no % 5 = 2 THEN '地点' || substr(s, 1, 4) || '：' || substr(s, 5, 20)
-  WHEN line_no % 5 = 3 THEN '时间: ' || substr(s, 1, 20) ELSE s END AS line FROM nl),
+nn AS (SELECT *, CASE WHEN line_no % 5 = 1 THEN '# 关系 ' || s WHEN line_no % 5 = 2 THEN '地点' || substr(s, 1, 4) || '：' || substr(s, 5)
+  WHEN line_no % 5 = 3 THEN '时间: ' || s ELSE s END AS line FROM nl),
 nt AS (SELECT chat_id, line_no, trim(line, chr(32) || chr(9) || chr(13)) AS line FROM nn),
 ns AS (SELECT *, last_value(CASE WHEN starts_with(line, '#') THEN regexp_replace(line, '^#+\\s*', '') END IGNORE NULLS) OVER (PARTITION BY chat_id ORDER BY line_no) AS section,
   CASE WHEN instr(line, ':') > 0 THEN instr(line, ':') ELSE instr(line, '：') END AS sep FROM nt WHERE line <> ''),
@@ -35,9 +35,9 @@ def _notes(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("chat_id"), F.posexplode(F.split("text", "\n")).alias("p", "s"))
     n, s = F.col("line_no"), F.col("s")
     line = (
-        F.when(n % 5 == 1, F.concat(F.lit("# 关系 "), F.substring(s, 1, 5)))
-        .when(n % 5 == 2, F.concat(F.lit("地点"), F.substring(s, 1, 4), F.lit("："), F.substring(s, 5, 20)))
-        .when(n % 5 == 3, F.concat(F.lit("时间: "), F.substring(s, 1, 20)))
+        F.when(n % 5 == 1, F.concat(F.lit("# 关系 "), s))
+        .when(n % 5 == 2, F.concat(F.lit("地点"), F.substring(s, 1, 4), F.lit("："), F.expr("substring(s, 5)")))
+        .when(n % 5 == 3, F.concat(F.lit("时间: "), s))
         .otherwise(s)
     )
     lines = d.select("chat_id", (F.col("p") + 1).cast("long").alias("line_no"), "s").withColumn("line", line)
@@ -98,9 +98,9 @@ def timeline_bounds(spark, sf):
     return out.select("chat_id", "event_id", F.date_format(F.col("date_or_period").cast("timestamp"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), "description")
 
 
-# First words of documents as entity names, some of them told by a supplied source.
+# Sources of documents as entities told by their texts, some of them by a supplied source.
 _ENTITIES = """en AS (SELECT doc_id % 10 AS chat_id, doc_id AS ord, upper(substr(source, 1, 1)) || substr(source, 2) || CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE '' END AS name, lang AS type,
-  substr(text, 1, CAST(doc_id % 40 AS INT)) AS description, CASE WHEN doc_id % 97 = 0 THEN 'supplied_context' ELSE 'historical_conversation' END AS source FROM documents)"""
+  text AS description, CASE WHEN doc_id % 97 = 0 THEN 'supplied_context' ELSE 'historical_conversation' END AS source FROM documents)"""
 
 
 def _entities(spark, sf):
@@ -108,7 +108,7 @@ def _entities(spark, sf):
     k = F.col("doc_id")
     name = F.concat(F.upper(F.substring("source", 1, 1)), F.expr("substring(source, 2)"), F.when(k % 3 == 0, " ").otherwise(""))
     return d.select(
-        (k % 10).alias("chat_id"), k.alias("order"), name.alias("name"), F.col("lang").alias("type"), F.expr("substring(text, 1, cast(doc_id % 40 as int))").alias("description"),
+        (k % 10).alias("chat_id"), k.alias("order"), name.alias("name"), F.col("lang").alias("type"), F.col("text").alias("description"),
         F.when(k % 97 == 0, "supplied_context").otherwise("historical_conversation").alias("source"),
     )
 

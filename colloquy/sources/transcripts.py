@@ -11,6 +11,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -87,9 +88,11 @@ def _messages(lines: DataFrame) -> DataFrame:
     """
     block = F.col("block")
     begins = (F.col("head") | F.col("stop")).cast("int")
+    # Lines that follow no head are dropped before the lines of a message are put together.
+    inside = F.when(F.col("head"), True).when(F.col("stop"), False)
     numbered = scan(
-        lines, ["chat_id"], ["block", "place"], chunk=block, running={"line_no": begins}
-    ).filter(~F.col("stop"))
+        lines, ["chat_id"], ["block", "place"], chunk=block, running={"line_no": begins}, last_seen={"inside": inside}
+    ).filter("inside")
     grouped = numbered.groupBy("chat_id", "line_no").agg(
         F.max("head").alias("head"),
         F.max(F.when(F.col("head"), F.struct("ts_raw", "sender", "ts"))).alias("h"),
@@ -234,10 +237,22 @@ def row_messages(rows: DataFrame) -> DataFrame:
     return out.filter(_not_noise(F.col("content")))
 
 
+# A JSON document beyond this size does not fit the type it is parsed to.
+MAX_JSON_BYTES = 128 * 1024 * 1024
+
+
+def _parsed(value: Column) -> Column:
+    """The JSON value of a document, null if it is none; one that is too large to be read is an error, not an empty file."""
+    v = F.try_parse_json(value)
+    size = F.octet_length(value)
+    why = F.concat(F.lit("a JSON document of "), size.cast("string"), F.lit(" bytes is too large; split it or write it as JSON lines"))
+    return F.when(v.isNull() & (size >= MAX_JSON_BYTES), F.raise_error(why).cast("variant")).otherwise(v)
+
+
 def read_chat_export_json(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Export objects; a JSON document cannot be split, so one file is one row."""
     docs = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("chat_id"), F.try_parse_json("value").alias("v")
+        F.col("_metadata.file_path").alias("chat_id"), _parsed(F.col("value")).alias("v")
     )
     return export_messages(docs)
 
@@ -255,7 +270,7 @@ def read_chat_json_rows(spark: SparkSession, path: str | list[str], lines: bool
     if lines:
         return row_messages(json_lines(read_lines(spark, path)))
     docs = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("chat_id"), F.try_parse_json("value").alias("v")
+        F.col("_metadata.file_path").alias("chat_id"), _parsed(F.col("value")).alias("v")
     )
     return row_messages(_array_rows(docs))
 
@@ -389,20 +404,33 @@ def read_transcript_markdown(spark: SparkSession, path: str | list[str]) -> Data
 
 
 def read_transcripts(spark: SparkSession, folder: str) -> DataFrame:
-    """All transcripts of a folder, by file name; other files are tried as JSON lines, Markdown, then text."""
+    """All transcripts of a folder, by file name in either case.
+
+    Other files are read as a JSON document if they start like one and hold messages, else tried as JSON lines,
+    Markdown, then text.  The names of those that start like JSON are looked up when this is called.
+    """
 
     def files(lines: DataFrame, pattern: str, other: bool = False) -> DataFrame:
         hit = has("chat_id", rf"(?i)\.(?:{pattern})\z")
         return lines.filter(~hit if other else hit)
 
     lines = read_lines(spark, folder)
-    whole = spark.read.option("pathGlobFilter", "*.{json,html,htm}").text(folder, wholetext=True).select(
+    whole = spark.read.option("pathGlobFilter", "*.{[jJ][sS][oO][nN],[hH][tT][mM][lL],[hH][tT][mM]}").text(folder, wholetext=True).select(
         F.col("_metadata.file_path").alias("chat_id"), "value"
     )
-    docs = files(whole, "json").withColumn("v", F.try_parse_json("value"))
+    docs = files(whole, "json").withColumn("v", _parsed(F.col("value")))
     pages = files(whole, "html?").select(F.col("chat_id").alias("page"), F.col("value").alias("html"))
     known = "json|jsonl|html?|md|txt|csv|log"
     other = files(lines, known, other=True)
+    # Files of unknown kind that start like JSON may be one document.
+    first = other.filter(trim("line") != "").groupBy("chat_id").agg(F.min_by(trim("line"), F.struct("block", "place")).alias("l"))
+    names = [r.chat_id for r in first.filter(F.substring("l", 1, 1).isin("{", "[")).select("chat_id").collect()]
+    if names:
+        odd = spark.read.text([unquote(n) for n in names], wholetext=True).select(F.col("_metadata.file_path").alias("chat_id"), "value").withColumn("v", _parsed(F.col("value")))
+        holds = F.coalesce(*[F.try_variant_get("v", p, "array<variant>") for p in ("$", "$.messages", "$.data", "$.history")]).isNotNull()
+        odd = odd.filter(holds)
+        docs = docs.unionByName(odd)
+        other = other.join(odd.select("chat_id"), "chat_id", "left_anti")
     markdown = files(lines, "md").unionByName(other)
     from_json_lines = row_messages(json_lines(files(lines, "jsonl").unionByName(other).unionByName(
         files(lines, "json").join(docs.filter(F.col("v").isNull()).select("chat_id").distinct(), "chat_id", "left_semi")

@@ -1,8 +1,7 @@
-"""Perception of messages and the tension state of a session."""
+"""Perception of messages, working memory and counters of a session."""
 
 from __future__ import annotations
 
-import math
 import sys
 from collections.abc import Iterator
 
@@ -19,46 +18,6 @@ from colloquy.plans.ordered import top_k
 # Executors need not have this package installed: its functions travel with the task.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Starting state, decay times in hours, inertia.
-START = {
-    "affinity": 0.65, "trust": 0.65, "warmth": 0.60, "irritation": 0.05, "hurt": 0.02, "tension": 0.08,
-    "anger": 0.02, "annoyance": 0.05, "affection": 0.45, "happiness": 0.55, "embarrassment": 0.05, "excitement": 0.35,
-}
-DECAY_HOURS = {"irritation": 6.0, "hurt": 24.0, "tension": 4.0, "anger": 2.0, "annoyance": 3.0, "excitement": 4.0}
-INERTIA = 0.88
-RELATION = ["affinity", "trust", "warmth", "irritation", "hurt", "tension"]
-# What an apology of strength s leaves: factor 1 - k s.
-APOLOGY_FACTORS = {"hurt": 0.45, "irritation": 0.50, "tension": 0.40, "anger": 0.60, "annoyance": 0.50}
-# Added to the emotions right away, bounded to [0, 1].
-EMOTION = {
-    "provocation": {"anger": 0.45, "annoyance": 0.50},
-    "complaint": {"annoyance": 0.20},
-    "confession": {"embarrassment": 0.65, "annoyance": 0.20},
-    "emotional_crisis": {"annoyance": 0.35, "embarrassment": 0.30, "tension": 0.45},
-    "demand": {"annoyance": 0.25},
-    "affection": {"affection": 0.25, "happiness": 0.20},
-    "warm_tease": {"happiness": 0.15, "embarrassment": 0.12},
-    "cold_tease": {"annoyance": 0.10},
-    "kind": {"happiness": 0.08},
-}
-# Added in the inertia step; terms that depend on the message are added in ``stimulus``.
-STIMULUS = {
-    "provocation": {"hurt": 0.40, "trust": -0.25, "warmth": -0.30, "tension": 0.40},
-    "complaint": {"irritation": 0.15, "tension": 0.15},
-    "attached_complaint": {"irritation": 0.15, "tension": 0.15, "affinity": 0.10, "warmth": 0.05},
-    "confession": {"tension": 0.35, "affinity": 0.12, "warmth": 0.05},
-    "emotional_crisis": {"tension": 0.45, "irritation": 0.20},
-    "demand": {"irritation": 0.15},
-    "affection": {"warmth": 0.18, "trust": 0.10, "irritation": -0.15, "tension": -0.15},
-    "warm_tease": {"affinity": 0.08},
-    "cold_tease": {"irritation": 0.10},
-    "short_ack": {"warmth": -0.02},
-    "kind": {"warmth": 0.06, "affinity": 0.05},
-}
-PHASES = ["NORMAL", "WARM", "DISTANT", "ANNOYED", "COLD", "CONFLICT", "RECOVERING"]
-OUTPUT = [*START, "coldness"]
-
-
 def perceive(text, lexicon: dict[str, list[str]] = lx.INTENTS) -> Column:
     """struct(intent, sentiment, pressure, affection, humor, importance, apology_strength)."""
     t = trim(F.lower(F.coalesce(col(text), F.lit(""))))
@@ -100,135 +59,24 @@ def perceive(text, lexicon: dict[str, list[str]] = lx.INTENTS) -> Column:
     )
 
 
-def _bound(x: float) -> float:
-    return 0.0 if x < 0 else 1.0 if x > 1 else x
-
-
-def next_phase(phase: str, s: dict[str, float], coldness: float) -> str:
-    if phase == "RECOVERING":
-        return "NORMAL" if coldness < 0.25 and s["hurt"] < 0.20 else phase
-    if coldness > 0.65:
-        return "CONFLICT" if s["hurt"] > 0.50 and s["irritation"] > 0.45 else "COLD"
-    if s["irritation"] > 0.40:
-        return "ANNOYED"
-    if coldness > 0.35:
-        return "DISTANT"
-    return "WARM" if s["warmth"] > 0.70 and s["affinity"] > 0.65 else "NORMAL"
-
-
-def advance(s: dict[str, float], phase: str, hours: float, row) -> tuple[dict[str, float], str, float]:
-    """State after one message that comes ``hours`` after the one before."""
-    s = dict(s)
-    for name, tau in DECAY_HOURS.items():
-        s[name] *= math.exp(-max(hours, 0.0) / tau)
-    intent = row.intent
-    if intent == "apology" and row.apology_strength > 0.2:
-        for name, k in APOLOGY_FACTORS.items():
-            s[name] *= 1 - k * row.apology_strength
-        s["trust"] = min(1.0, s["trust"] + 0.12 * row.apology_strength)
-        if phase in ("CONFLICT", "COLD", "ANNOYED"):
-            phase = "RECOVERING"
-    kind = intent
-    if intent == "tease":
-        kind = "warm_tease" if s["warmth"] > 0.5 else "cold_tease"
-    elif intent in ("apology", "question", "chat"):
-        kind = "kind" if row.sentiment > 0.3 else "none"
-    for name, d in EMOTION.get(kind, {}).items():
-        s[name] = _bound(s[name] + d)
-    if kind == "complaint" and row.affection > 0:
-        kind = "attached_complaint"
-    delta = dict(STIMULUS.get(kind, {}))
-    if kind == "provocation":
-        delta["irritation"] = 0.35 * (1 + row.pressure)
-    if kind == "affection":
-        delta["affinity"] = 0.20 * row.affection
-    for name in RELATION:
-        s[name] = _bound(INERTIA * s[name] + delta.get(name, 0.0))
-    cold = _bound(0.50 * s["irritation"] + 0.35 * s["hurt"] + 0.20 * s["tension"] - 0.35 * s["warmth"])
-    return s, next_phase(phase, s, cold), cold
-
-
-def session_state(perceived: DataFrame, keys: list[str], ts: str = "ts", tie: str = "message_id") -> DataFrame:
-    """State after every message (keys, ts, tie, intent, sentiment, pressure, affection, apology_strength).
-
-    The state depends on the whole past of a session, so a session is read in order; partitions are
-    sorted and streamed in batches, and a task holds one state at a time.  Time between messages is
-    event time.
-    """
-    stamp = F.unix_micros(F.col(ts).cast("timestamp"))
-    rows = perceived.select(
-        *keys, tie, stamp.alias("__micros"), "intent", "sentiment", "pressure", F.col("affection").alias("fondness"),
-        "apology_strength",
-    )
-    kind = dict(perceived.dtypes)
-    schema = ", ".join(f"`{c}` {kind[c]}" for c in (*keys, tie)) + ", micros long, intent string, phase string, " + ", ".join(
-        f"{c} double" for c in OUTPUT
-    )
-    names = [*keys, tie, "micros", "intent", "phase", *OUTPUT]
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state, phase, last = None, dict(START), "NORMAL", None
-        for batch in batches:
-            out = []
-            for row in batch.rename(columns={"fondness": "affection", "__micros": "micros"}).itertuples(index=False):
-                key = tuple(getattr(row, k) for k in keys)
-                if key != current:
-                    current, state, phase, last = key, dict(START), "NORMAL", None
-                hours = 0.0 if last is None else (row.micros - last) / 3.6e9
-                state, phase, cold = advance(state, phase, hours, row)
-                last = row.micros
-                out.append((*key, getattr(row, tie), row.micros, row.intent, phase, *state.values(), cold))
-            yield pd.DataFrame(out, columns=names)
-
-    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "__micros", tie)
-    return ordered.mapInPandas(fold, schema)
-
-
-def session_state_stream(
-    perceived: DataFrame, key: str, key_type: str = "long", ts: str = "ts", tie: str = "message_id", watermark: str = "10 minutes"
-) -> DataFrame:
-    """The same on a stream, one row per message; rows older than the state are dropped."""
-    rows = perceived.withWatermark(ts, watermark).select(
-        key, ts, tie, "intent", "sentiment", "pressure", "affection", "apology_strength"
-    )
-    names = [key, tie, "micros", "intent", "phase", *OUTPUT]
-    schema = f"{key} {key_type}, {tie} long, micros long, intent string, phase string, " + ", ".join(f"{c} double" for c in OUTPUT)
-    held = "micros long, phase string, " + ", ".join(f"{c} double" for c in START)
-
-    def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, phase, values = None, "NORMAL", dict(START)
-        if state.exists:
-            last, phase, *numbers = state.get
-            values = dict(zip(START, numbers, strict=True))
-        new = pd.concat(list(frames), ignore_index=True)
-        new["micros"] = new[ts].astype("datetime64[us]").astype("int64")
-        out = []
-        for row in new.sort_values(["micros", tie]).itertuples(index=False):
-            if last is not None and row.micros < last:
-                continue
-            hours = 0.0 if last is None else (row.micros - last) / 3.6e9
-            values, phase, cold = advance(values, phase, hours, row)
-            last = row.micros
-            out.append((group[0], getattr(row, tie), last, row.intent, phase, *values.values(), cold))
-        if last is not None:
-            state.update((last, phase, *values.values()))
-        yield pd.DataFrame(out, columns=names)
-
-    return rows.groupBy(key).applyInPandasWithState(step, schema, held, "append", GroupStateTimeout.NoTimeout)
-
-
 def working_memory(messages: DataFrame, keys: list[str], order: list[str], size: int = 10) -> DataFrame:
     """The newest ``size`` messages per session, ``rank`` 1 being the newest."""
     return top_k(messages, keys, [F.col(c).desc() for c in order], size)
 
 
 def working_memory_stream(
-    messages: DataFrame, key: str, key_type: str = "long", ts: str = "ts", id: str = "message_id", text: str = "text", size: int = 10
+    messages: DataFrame, key: str, key_type: str = "long", ts: str = "ts", id: str = "message_id", text: str = "text", size: int = 10, watermark: str = "1 hour", idle_hours: float = 168.0
 ) -> DataFrame:
-    """The buffer after every batch that brings something for a session (update mode)."""
-    rows = messages.select(key, ts, id, F.coalesce(text, F.lit("")).alias("text"))
+    """The buffer after every batch that brings something for a session (update mode).
+
+    A session that brings nothing for ``idle_hours`` of event time is forgotten.
+    """
+    rows = messages.withWatermark(ts, watermark).select(key, ts, id, F.coalesce(text, F.lit("")).alias("text"))
 
     def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         new = pd.concat(list(frames), ignore_index=True)
         new = pd.DataFrame({"micros": new[ts].astype("datetime64[us]").astype("int64"), "id": new[id], "text": new["text"]})
         if state.exists:
@@ -236,11 +84,13 @@ def working_memory_stream(
         last = new.sort_values(["micros", "id"]).tail(size)
         lists = tuple(last[c].tolist() for c in ("micros", "id", "text"))
         state.update(lists)
+        newest = max(int(lists[0][-1] // 1000), state.getCurrentWatermarkMs())
+        state.setTimeoutTimestamp(newest + int(idle_hours * 3_600_000))
         yield pd.DataFrame({key: [group[0]], "ids": [lists[1]], "texts": [lists[2]]})
 
     return rows.groupBy(key).applyInPandasWithState(
         step, f"{key} {key_type}, ids array<long>, texts array<string>", "micros array<long>, ids array<long>, texts array<string>",
-        "update", GroupStateTimeout.NoTimeout,
+        "update", GroupStateTimeout.EventTimeTimeout,
     )
 
 

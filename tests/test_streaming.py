@@ -68,18 +68,6 @@ def test_bursts_stream_equals_batch(spark, tmp_path):
     assert as_set(got.filter("chat_id <> 99").select(*want.columns)) == as_set(want)
 
 
-def test_session_state_stream_equals_batch(spark, tmp_path):
-    df = messages(spark, 120)
-
-    def felt(rows):
-        return rows.select("chat_id", "message_id", "ts", state.perceive("text").alias("p")).select("chat_id", "message_id", "ts", "p.*")
-
-    want = state.session_state(felt(df), ["chat_id"])
-    source = stream_of(spark, df, tmp_path / "in")
-    got = run(spark, state.session_state_stream(felt(source), "chat_id"), "state_out", "append", tmp_path / "c")
-    assert as_set(got.select(*want.columns)) == as_set(want)
-
-
 def test_working_memory_and_counters(spark, tmp_path):
     df = messages(spark, 120)
     source = stream_of(spark, df, tmp_path / "in")
@@ -111,17 +99,6 @@ def test_stream_supersede(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out/messages")).count() == 120
 
 
-def test_apology_and_decay(spark):
-    rows = [(1, 1, 0, "你滚"), (1, 2, 60, "闭嘴"), (1, 3, 120, "对不起 真的"), (1, 4, 120 + 12 * 3600, "嗯")]
-    df = spark.createDataFrame(rows, "chat_id long, message_id long, t long, text string").select(
-        "chat_id", "message_id", F.timestamp_seconds("t").alias("ts"), state.perceive("text").alias("p")
-    ).select("chat_id", "message_id", "ts", "p.*")
-    out = state.session_state(df, ["chat_id"]).orderBy("message_id").collect()
-    assert out[0]["irritation"] < out[1]["irritation"]
-    assert out[2]["hurt"] < out[1]["hurt"] and out[2]["phase"] == "RECOVERING"
-    assert out[3]["irritation"] < 0.2 * out[2]["irritation"]
-
-
 def test_pseudonym_is_hmac(spark):
     import hashlib
     import hmac
