@@ -4,8 +4,8 @@
 chat into one task.  Here every group is cut into chunks by its order column, so
 a task only ever sees one chunk; what has to cross a chunk border (row count,
 last row, sums) is a small aggregate with one row per chunk, scanned per group
-and joined back.  The join uses the partitioning the window already made, so
-the rows are shuffled once.
+and joined back.  Windows, aggregate and join all use one partitioning by group
+and chunk, so the rows are read and shuffled once (see ``_dealt``).
 """
 
 from __future__ import annotations
@@ -34,6 +34,22 @@ def chunk_of(df: DataFrame, order: str, width: int | None = None) -> Column:
     return F.coalesce(F.floor(value / F.lit(size)).cast("long"), F.lit(-(2**62)))
 
 
+def _dealt(df: DataFrame, by: list[str], chunk: Column) -> DataFrame:
+    """The rows with their chunk, dealt out by group and chunk: the exchange that both branches of a scan share."""
+    return df.withColumn(CHUNK, chunk).repartition(*by)
+
+
+def _touched(df: DataFrame) -> Column:
+    """A value of all columns that is there wherever there is a row.
+
+    Both branches ask for it, so both read the same columns; their exchanges are then the same and Spark runs them
+    once.  Without it each would be pruned to its own columns and read the source again, at every scan of a chain.
+    Callers select the columns they need before they scan.
+    """
+    plain = [c for c, kind in df.dtypes if kind != "variant" and "map<" not in kind]
+    return F.max(F.hash(*plain))
+
+
 def scan(
     df: DataFrame,
     keys: list[str],
@@ -57,14 +73,14 @@ def scan(
     ``last_seen``  last non-null value of an expression up to and including the row.
     """
     lag, lead, running, last_seen = lag or {}, lead or {}, running or {}, last_seen or {}
-    base = df.withColumn(CHUNK, chunk if chunk is not None else chunk_of(df, order[0], width))
-    where = F.struct(*[F.col(c) for c in order])
     by = [*keys, CHUNK]
+    base = _dealt(df, by, chunk if chunk is not None else chunk_of(df, order[0], width))
+    where = F.struct(*[F.col(c) for c in order])
     local = Window.partitionBy(*by).orderBy(*order)
     upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
     # One row per chunk: what later chunks need to know about it.
-    parts = [F.count(F.lit(1)).alias("__n")]
+    parts = [F.count(F.lit(1)).alias("__n"), _touched(df).alias("__touched")]
     if lag:
         parts.append(F.max_by(F.struct(*[e.alias(n) for n, e in lag.items()]), where).alias("__lag"))
     if lead:
@@ -86,11 +102,12 @@ def scan(
     carry += [
         F.last(f"__seen_{n}", ignorenulls=True).over(before).alias(f"__c_seen_{n}") for n in last_seen
     ]
-    edges = base.groupBy(*by).agg(*parts).select(*by, *carry)
+    edges = base.groupBy(*by).agg(*parts).filter("__touched is not null").select(*by, *carry)
 
     rows = base.select(
         "*",
         F.row_number().over(local).alias("__rn"),
+        _touched(df).over(upto).alias("__touched"),
         *[F.lag(F.struct(e.alias("v"))).over(local).alias(f"__l_{n}") for n, e in lag.items()],
         *[F.lead(F.struct(e.alias("v"))).over(local).alias(f"__d_{n}") for n, e in lead.items()],
         *[F.sum(e).over(upto).alias(f"__r_{n}") for n, e in running.items()],
@@ -115,7 +132,7 @@ def scan(
         F.when(F.col(f"__s_{n}").isNotNull(), F.col(f"__s_{n}.v")).otherwise(F.col(f"__c_seen_{n}.v")).alias(n)
         for n in last_seen
     ]
-    return rows.join(edges, by).select(*out)
+    return rows.filter("__touched is not null").join(edges, by).select(*out)
 
 
 def preceding(
@@ -129,16 +146,17 @@ def preceding(
     width: int | None = None,
 ) -> DataFrame:
     """Add an array with ``item`` of up to ``size`` rows before each row, oldest first."""
-    base = df.withColumn(CHUNK, chunk_of(df, order[0], width))
     by = [*keys, CHUNK]
+    base = _dealt(df, by, chunk_of(df, order[0], width))
     local = Window.partitionBy(*by).orderBy(*order)
     newest = Window.partitionBy(*by).orderBy(*[F.col(c).desc_nulls_last() for c in order])
-    # The last rows of every chunk; the rank filter is applied before the shuffle.
+    # The last rows of every chunk.
     tail = (
-        base.select(*by, item.alias("__item"), F.row_number().over(newest).alias("__rn"))
+        base.select("*", item.alias("__item"), F.row_number().over(newest).alias("__rn"))
         .filter(F.col("__rn") <= size)
         .groupBy(*by)
-        .agg(F.array_sort(F.collect_list(F.struct((-F.col("__rn")).alias("o"), "__item"))).alias("__tail"))
+        .agg(F.array_sort(F.collect_list(F.struct((-F.col("__rn")).alias("o"), "__item"))).alias("__tail"), _touched(df).alias("__touched"))
+        .filter("__touched is not null")
     )
     before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(-size, -1)
     carry = tail.select(
@@ -148,7 +166,8 @@ def preceding(
     both = F.concat(F.col("__carry"), F.col("__here"))
     last = F.slice(both, F.greatest(F.size(both) - size + 1, F.lit(1)), F.lit(size))
     return (
-        base.select("*", here.alias("__here"))
+        base.select("*", here.alias("__here"), _touched(df).over(local.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("__touched"))
+        .filter("__touched is not null")
         .join(carry, by)
         .select(*df.columns, last.alias(name))
     )
