@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from colloquy.frames import CHAT, CONVERSATIONS, chat, conversations, events, sql_events, sql_trim, sql_turns, table
 from colloquy.functions import clean
 from colloquy.operators import leakage, normalize, turns
+from colloquy.plans import lineage
 from colloquy.registry import query
 from colloquy.sources import sinks, transcripts
 
@@ -407,8 +408,59 @@ def isolation_report(spark, sf):
     return leakage.isolation_report(clean_rows, pairs)
 
 
-@query()
+_HALF = "CAST('0x' || substr(h, {}, 12) AS HUGEINT)"
+_PRINT = f"""substr(sha256(count(*) || ':' || CAST(coalesce(sum({_HALF.format(1)}), 0) AS VARCHAR) || ':' || CAST(coalesce(sum({_HALF.format(13)}), 0) AS VARCHAR)), 1, 16)"""
+
+
+def _sql_print(name: str, columns: list[str]) -> str:
+    fields = ", ".join(f"'{c}': {c}" for c in sorted(columns))
+    return f"""SELECT '{name}' AS "table", count(*) AS "rows", {_PRINT} AS fingerprint FROM (SELECT sha256(CAST(to_json({{{fields}}}) AS VARCHAR)) AS h FROM {name})"""
+
+
+_PRINTED = {"conversations": ["conv_id", "turn", "role", "text"], "events": ["event_id", "user_id", "event_type"], "labels": ["doc_id", "quality", "toxic"]}
+
+
+@query(" UNION ALL ".join(_sql_print(n, c) for n, c in _PRINTED.items()))
 def table_fingerprints(spark, sf):
-    names = ["conversations", "events", "labels"]
-    parts = [sinks.table_fingerprint(table(spark, sf, n)).withColumn("table", F.lit(n)) for n in names]
+    parts = [sinks.table_fingerprint(table(spark, sf, n).select(*c)).withColumn("table", F.lit(n)) for n, c in _PRINTED.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("""SELECT role AS sender, replace(text, chr(10), ' ') AS content, CASE WHEN turn % 2 = 0 THEN 1715682135 + turn END AS epoch FROM conversations""")
+def transcripts_folder(spark, sf):
+    """Text lines and JSON rows in one folder, read by the kind of each file."""
+    folder = lineage.scratch(spark)
+    t = table(spark, sf, "conversations").withColumn("line", F.replace("text", F.lit("\n"), F.lit(" ")))
+    at = F.date_format(F.timestamp_seconds(F.col("turn") + 1715682135), "yyyy-MM-dd HH:mm:ss")
+    t.filter("turn % 2 = 0").select(F.concat(at, F.lit(" "), "role", F.lit(": "), "line")).write.text(folder)
+    t.filter("turn % 2 = 1").select(F.col("role").alias("author"), F.col("line").alias("body")).write.mode("append").json(folder)
+    return transcripts.read_transcripts(spark, folder).select("sender", "content", F.unix_timestamp("ts").alias("epoch"))
+
+
+@query("SELECT conv_id, turn, role, text, CASE conv_id % 5 WHEN 0 THEN 'test' WHEN 1 THEN 'valid' ELSE 'train' END AS split FROM conversations")
+def split_jsonl(spark, sf):
+    part = F.when(F.col("conv_id") % 5 == 0, "test").when(F.col("conv_id") % 5 == 1, "valid").otherwise("train")
+    rows = table(spark, sf, "conversations").withColumn("split", part)
+    folder = lineage.scratch(spark)
+    sinks.write_split_jsonl(rows, folder)
+    return sinks.read_split_jsonl(spark, folder, rows.schema)
+
+
+@query(
+    """SELECT 'conversations' AS component, count(*) AS "rows", TRUE AS unordered FROM conversations
+UNION ALL SELECT 'labels', count(*), TRUE FROM labels"""
+)
+def profile_manifest(spark, sf):
+    """The fingerprint of a written table is that of its rows in any order."""
+    tables = {n: table(spark, sf, n) for n in ("conversations", "labels")}
+    manifest = sinks.write_profile_tables(tables, lineage.scratch(spark))
+    other = [sinks.table_fingerprint(df.repartition(7, *df.columns[:1])).select(F.lit(n).alias("component"), F.col("fingerprint").alias("again")) for n, df in tables.items()]
+    return manifest.join(other[0].unionByName(other[1]), "component").select("component", "rows", (F.col("fingerprint") == F.col("again")).alias("unordered"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, source AS persona_id, text AS value FROM documents")
+def exported_memories(spark, sf):
+    rows = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("persona_id"), F.col("text").alias("value"))
+    folder = lineage.scratch(spark)
+    sinks.export_memories(rows, folder)
+    return spark.read.schema(rows.schema).json(folder)

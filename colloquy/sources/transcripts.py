@@ -424,17 +424,20 @@ def read_transcripts(spark: SparkSession, folder: str) -> DataFrame:
     other = files(lines, known, other=True)
     # Files of unknown kind that start like JSON may be one document.
     first = other.filter(trim("line") != "").groupBy("chat_id").agg(F.min_by(trim("line"), F.struct("block", "place")).alias("l"))
+    holds = F.coalesce(*[F.try_variant_get("v", p, "array<variant>") for p in ("$", "$.messages", "$.data", "$.history")]).isNotNull()
     names = [r.chat_id for r in first.filter(F.substring("l", 1, 1).isin("{", "[")).select("chat_id").collect()]
     if names:
         odd = spark.read.text([unquote(n) for n in names], wholetext=True).select(F.col("_metadata.file_path").alias("chat_id"), "value").withColumn("v", _parsed(F.col("value")))
-        holds = F.coalesce(*[F.try_variant_get("v", p, "array<variant>") for p in ("$", "$.messages", "$.data", "$.history")]).isNotNull()
         odd = odd.filter(holds)
         docs = docs.unionByName(odd)
         other = other.join(odd.select("chat_id"), "chat_id", "left_anti")
     markdown = files(lines, "md").unionByName(other)
-    from_json_lines = row_messages(json_lines(files(lines, "jsonl").unionByName(other).unionByName(
-        files(lines, "json").join(docs.filter(F.col("v").isNull()).select("chat_id").distinct(), "chat_id", "left_semi")
-    )))
+    # A .json file may hold rows, of which the parser takes the first for the document.
+    rows_only = files(lines, "json").join(docs.filter(F.col("v").isNull() | ~holds).select("chat_id"), "chat_id", "left_semi")
+    said = F.coalesce(*[F.try_variant_get("m", f"$.{n}", "variant") for n in ("content", "text", "message", "body")]).isNotNull()
+    from_json_lines = row_messages(
+        json_lines(files(lines, "jsonl").unionByName(other)).unionByName(json_lines(rows_only).filter(said))
+    )
     rest = markdown.join(from_json_lines.select("chat_id").distinct(), "chat_id", "left_anti")
     from_markdown = markdown_messages(rest)
     as_text = files(lines, "txt|csv|log").unionByName(

@@ -31,8 +31,13 @@ def write_batch(path: str, persona: str = "chat_id"):
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/messages/batch_id={batch_id}")
-        batch_facts(batch, persona).write.mode("overwrite").parquet(f"{path}/facts/batch_id={batch_id}")
+        # Computed once for both writes.
+        batch.persist()
+        try:
+            batch.write.mode("overwrite").parquet(f"{path}/messages/batch_id={batch_id}")
+            batch_facts(batch, persona).write.mode("overwrite").parquet(f"{path}/facts/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
 
     return write
 
