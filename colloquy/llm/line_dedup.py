@@ -235,7 +235,8 @@ def _marked(docs: DataFrame, min_words: int, near_words: int) -> DataFrame:
     near = near_lines(docs, distinct.filter(F.size("keys") > 0), near_words)
     first = F.struct("doc", "no")
     verdict = distinct.drop("keys").join(near, ["d1", "d2"], "left").filter(F.col("copied") | F.col("near").isNotNull())
-    verdict = verdict.select("d1", "d2", F.coalesce("near", first).alias("keeper"), F.when(F.col("near").isNull(), 0).otherwise(1).alias("edits"))
+    # Written, so that the join to all lines has two plain inputs: then Spark splits the partition of a very common line.
+    verdict = stage(verdict.select("d1", "d2", F.coalesce("near", first).alias("keeper"), F.when(F.col("near").isNull(), 0).otherwise(1).alias("edits")))
     gone = table.drop("keys").join(verdict, ["d1", "d2"]).filter(at > F.col("keeper"))
     return gone.select(
         "doc_id", "row_key", "line_no", "start", "end", F.col("n").alias("n_words"),
