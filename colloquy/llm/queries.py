@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.llm import decontamination, language_id, line_dedup, order_minhash, packing, quality_cascade, quote_threads, secret_scan, substring_dedup, suffix_tree_lm
-from colloquy.llm.common import LOWER, UPPER, table
+from colloquy.llm.common import LOWER, UPPER, WORD, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -107,7 +107,25 @@ def op6_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("base_spans", F.sha2("base_spans", 256)).withColumnRenamed("base_spans", "base_sha256")
 
 
-@query()
+@query(
+    f"""
+    WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS u FROM documents),
+    l AS (SELECT doc_id, i - 1 AS no, u[i] AS t, CAST(sum(length(u[i]) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) - 1 AS z FROM d, unnest(range(1, len(u) + 1)) AS x(i)),
+    w AS (SELECT doc_id, no, z - length(t) AS a, z, regexp_extract_all(translate(t, '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM l),
+    k AS (SELECT *, array_to_string(w, ' ') AS s FROM w WHERE len(w) >= 3),
+    f AS (SELECT s, any_value(w) AS w, min({{'doc': doc_id, 'no': no}}) AS first FROM k GROUP BY s),
+    v AS (SELECT s, first, i, md5(array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ')) AS h FROM f, unnest(range(1, len(w) + 1)) AS x(i) WHERE len(w) >= 8),
+    o AS (SELECT s, first, md5(s) AS h FROM f WHERE len(w) >= 8),
+    p AS (SELECT h, i, min(first) AS m FROM v GROUP BY h, i),
+    r AS (SELECT s, m AS near FROM v JOIN p USING (h, i) WHERE m < first
+          UNION ALL SELECT v.s, o.first FROM v JOIN o USING (h) WHERE o.first < v.first
+          UNION ALL SELECT o.s, v.first FROM v JOIN o USING (h) WHERE v.first < o.first),
+    n AS (SELECT s, min(near) AS near FROM r GROUP BY s),
+    e AS (SELECT s, coalesce(near, first) AS keeper, CASE WHEN near IS NULL THEN 0 ELSE 1 END AS edits FROM f LEFT JOIN n USING (s))
+    SELECT doc_id, no AS line_no, a AS start, z AS "end", len(w) AS n_words, keeper.doc AS first_doc_id, keeper.no AS first_line_no, edits
+    FROM k JOIN e USING (s) WHERE {{'doc': doc_id, 'no': no}} > keeper
+    """
+)
 def op7_deletion_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.duplicates(table(spark, sf_dir, "documents"))
 
