@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from colloquy.frames import CHAT, chat, events, sql_turns, table
+from colloquy.frames import CHAT, chat, events, lively, sql_lively, sql_trim, sql_turns, table
+from colloquy.functions.text import trim
 from colloquy.operators import exemplars, facts, turns
 from colloquy.registry import query
 
@@ -191,7 +192,12 @@ _PHASE = _case("c || ' ' || t", {
     "affection": ["爱", "喜欢", "想你"],
 }, "'casual_sharing'")
 _BAD = "[，。！？?!~～、:：]"
-_PAIRS = f"""{CHAT}, {sql_turns('chat')},
+# A lively talk of short messages: three words of a text each, said by two in turn.
+_SHORT = f"""said AS (SELECT conv_id, turn, string_split_regex(trim(text), '\\s+') AS w FROM conversations),
+bit AS (SELECT conv_id, turn, k, array_to_string(w[3 * k + 1:3 * k + 3], ' ') AS s FROM said, unnest(range(0, CAST(ceil(len(w) / 3) AS BIGINT))) AS u(k)),
+chat AS (SELECT conv_id AS chat_id, turn + 1 AS session_no, turn * 1000 + k AS seq, CASE WHEN k % 2 = 0 THEN 'user' ELSE 'assistant' END AS sender,
+  {sql_trim(sql_lively('s'))} AS content, k % 2 = 1 AS is_target FROM bit WHERE {sql_trim('s')} <> '')"""
+_PAIRS = f"""{_SHORT}, {sql_turns('chat')},
 b AS (SELECT chat_id, seq, content AS t, list_reverse(context) AS r FROM turns),
 c0 AS (SELECT *, r[1].sender AS who, coalesce(list_position(list_transform(r, lambda m: m.sender <> r[1].sender), TRUE), 0) AS p FROM b WHERE r[1].sender <> 'assistant'),
 c1 AS (SELECT *, array_to_string(list_transform(list_reverse(CASE WHEN p > 0 THEN r[1:p - 1] ELSE r END), lambda m: m.content), chr(10)) AS c FROM c0),
@@ -200,7 +206,13 @@ pairs AS (SELECT chat_id, seq, who AS counterpart_sender, c AS counterpart_text,
 
 
 def _exemplars(spark, sf):
-    return exemplars.exemplar_pairs(turns.build_turns(chat(spark, sf), ts=None).withColumn("part", F.col("chat_id") % 4), ["chat_id", "part"])
+    c = table(spark, sf, "conversations").withColumn("w", F.split(F.trim("text"), r"\s+"))
+    bits = F.transform(F.sequence(F.lit(0), F.ceil(F.size("w") / 3).cast("int") - 1), lambda k: F.array_join(F.slice("w", k * 3 + 1, F.lit(3)), " "))
+    short = c.select("conv_id", "turn", F.posexplode(bits).alias("k", "s")).filter(trim("s") != "").select(
+        F.col("conv_id").alias("chat_id"), (F.col("turn") + 1).alias("session_no"), (F.col("turn") * 1000 + F.col("k")).alias("seq"),
+        F.when(F.col("k") % 2 == 0, "user").otherwise("assistant").alias("sender"), trim(lively(F.col("s"))).alias("content"), (F.col("k") % 2 == 1).alias("is_target"),
+    )
+    return exemplars.exemplar_pairs(turns.build_turns(short, ts=None).withColumn("part", F.col("chat_id") % 4), ["chat_id", "part"])
 
 
 @query(f"WITH {_PAIRS} SELECT * FROM pairs")
