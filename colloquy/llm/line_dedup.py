@@ -10,7 +10,8 @@ if any earlier line is the same.
 * The others emit every variant with one word deleted, and themselves, as hashed keys.  Equal variants
   deleted at the same place differ by a replaced word; a variant equal to a whole line, by an inserted one.
   So per key the earliest holder is all a line has to meet: the join is linear in the variants, however
-  many lines share a key, and minima are taken before the shuffle.
+  many lines share a key, and minima are taken before the shuffle.  A line is known by its digest; doc_id and
+  line number only rank it, as rows without an id or with a repeated one share them.
 * The edit distance of every pair found is verified on the words.
 """
 
@@ -161,11 +162,11 @@ def _words_of(docs: DataFrame, wanted: DataFrame, near_words: int) -> DataFrame:
 
 
 def variants(lines: DataFrame) -> DataFrame:
-    """(h, m, i, doc, no): every line whole (i = -1) and with word i deleted; m words remain."""
+    """(h, m, i, doc, no, d1, d2): every line whole (i = -1) and with word i deleted; m words remain."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, no, lists = batch.column(0), batch.column(1), batch.column(2)
+            lists = batch.column(4)
             n = np.diff(lists.offsets.to_numpy()).astype(np.int64)
             words = lists.flatten().to_numpy().view(np.uint64)
             first = np.cumsum(n) - n
@@ -177,9 +178,10 @@ def variants(lines: DataFrame) -> DataFrame:
             m = np.concatenate((n, n[owner] - 1)).astype(np.int32)
             i = np.concatenate((np.full(len(n), -1), at - first[owner])).astype(np.int32)
             owner = pa.array(np.concatenate((np.arange(len(n)), owner)))
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(m), pa.array(i), doc.take(owner), no.take(owner)], names=["h", "m", "i", "doc", "no"])
+            line = [batch.column(c).take(owner) for c in range(4)]
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(m), pa.array(i), *line], names=["h", "m", "i", "doc", "no", "d1", "d2"])
 
-    return lines.select("doc", "no", "words").mapInArrow(run, "h long, m int, i int, doc long, no long")
+    return lines.select("doc", "no", "d1", "d2", "words").mapInArrow(run, "h long, m int, i int, doc long, no long, d1 long, d2 long")
 
 
 def within_one(a: list, b: list) -> bool:
@@ -202,17 +204,19 @@ def near_lines(docs: DataFrame, distinct: DataFrame, near_words: int = NEAR_WORD
     wanted = stage(keys.join(shared, "key", "left_semi").select("d1", "d2", "doc", "no").distinct())
     lines = stage(_words_of(docs, wanted, near_words))
     rows = variants(lines)
-    rank = F.struct("doc", "no")
-    per_place = rows.groupBy("h", "m", "i").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("c"))
+    line = F.struct("doc", "no", "d1", "d2")
+    per_place = rows.groupBy("h", "m", "i").agg(F.min(line).alias("best"), F.count(F.lit(1)).alias("c"))
     per_key = per_place.groupBy("h", "m").agg(
         F.min(F.when(F.col("i") < 0, F.col("best"))).alias("whole"), F.min(F.when(F.col("i") >= 0, F.col("best"))).alias("cut"), F.sum("c").alias("c"),
     ).filter("c > 1").drop("c")
     partner = F.when(F.col("i") < 0, F.col("cut")).otherwise(F.least("best", "whole"))
     offers = per_place.drop("c").join(per_key, ["h", "m"]).select("h", "m", "i", partner.alias("near")).filter(F.col("near").isNotNull())
-    pairs = rows.join(offers, ["h", "m", "i"]).filter(F.col("near") < rank).groupBy("doc", "no").agg(F.min("near").alias("near"))
+    earlier = F.struct("near.doc", "near.no") < F.struct("doc", "no")
+    pairs = rows.join(offers, ["h", "m", "i"]).filter(earlier).groupBy("d1", "d2").agg(F.min("near").alias("near"))
     # Verified on the words: hashes only propose.
-    mine, other = lines.alias("a"), lines.select(F.col("doc").alias("odoc"), F.col("no").alias("ono"), F.col("words").alias("owords")).alias("b")
-    both = pairs.join(mine, ["doc", "no"]).join(other, (F.col("near.doc") == F.col("odoc")) & (F.col("near.no") == F.col("ono")))
+    mine = lines.select("d1", "d2", "words")
+    other = lines.select(F.col("d1").alias("o1"), F.col("d2").alias("o2"), F.col("words").alias("owords"))
+    both = pairs.join(mine, ["d1", "d2"]).join(other, (F.col("near.d1") == F.col("o1")) & (F.col("near.d2") == F.col("o2")))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -72,3 +72,19 @@ def test_empty_table(spark):
     twins = spark.createDataFrame([(1, "a b c d"), (2, "x y z\na b c d"), (2, "a b c d\nx y z")], "doc_id long, text string")
     assert sorted((r.doc_id, r.text) for r in ld.remove_lines(twins).collect()) == [(1, "a b c d"), (2, "x y z")]
     assert ld.duplicates(docs.filter(F.lit(False))).count() == 0
+
+
+def test_lines_that_share_id_and_number_are_told_apart(spark):
+    base = [[f"{a}{k}" for a in "abcdefghi"] for k in range(24)]
+    near = lambda k: " ".join([*base[k % 24][:4], "zz", *base[k % 24][5:]])
+    plain = lambda k: " ".join(base[k % 24])
+    rows = [(None, f"{plain(k)}\n{near(k + 5)}") for k in range(12)]
+    rows += [(7, f"{near(k)}\n{plain(k + 1)}\nown{k} p q r s t u v w") for k in range(12, 24)]
+    rows += [(9, f"x{k} y z\nown{k} p q r s t u v") for k in range(12, 24)] + [(9, near(k)) for k in range(24)]
+    lines = sorted(lines_of(rows), key=lambda x: (x[0] or -1, x[1]))
+    want = []
+    for i, no, s, e, w in lines:
+        same = [(j, mo) for j, mo, _, _, v in lines if (j or -1, mo) < (i or -1, no) and (w == v or (min(len(w), len(v)) >= ld.NEAR_WORDS and distance(w, v) <= 1))]
+        want += [(i, no, s, e, len(w), *same[0])] if same else []
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r)[:7] for r in ld.duplicates(docs).collect()), key=str) == sorted(want, key=str) and len(want) == 60
