@@ -3,7 +3,8 @@
 A document longer than the window is first cut into full windows; the rest of it, shorter than a
 window, is placed by best-fit decreasing.  Documents are dealt evenly into blocks of
 ``block_docs``; each block is packed on its own, so no task and no group grows with the input, and
-a block is so large that its few half-empty last windows do not matter.
+a block is so large that its few half-empty last windows do not matter.  The ids are written piece by
+piece, a window at most a row; a block holds row numbers and lengths only, and its places are joined to the pieces.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +26,8 @@ from colloquy.llm.common import ship, stage, text_of
 WINDOW = 1024
 BLOCK_DOCS = 50_000
 END = 0
+#: About so many ids go into one Arrow batch.
+BATCH_IDS = 1 << 20
 
 #: Texts of these characters only go through the faster encoder; it gives the same ids as ``tokenizers``.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-¬®-ɏ]*\Z")
@@ -60,28 +65,35 @@ def token_ids(text: str, path: str) -> np.ndarray:
     return np.array([*ids, END], dtype="<u4")
 
 
-def tokenized(docs: DataFrame, path: str, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
-    """(doc_id, doc_tokens, crcs[, ids]): the length, and crc32 of each full window and of the rest."""
+def tokenized(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
+    """(row, doc_id, doc_tokens, start, ids_crc32, ids): each full window of a document and the rest; row numbers the documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, pieces, held = TaskContext.get().partitionId() << 40, [], 0
+
+        def rows() -> pa.RecordBatch:
+            number, doc, n, start, ids = zip(*pieces)
+            bounds = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(ids).astype(np.int32)))
+            crcs = [zlib.crc32(x.tobytes()) for x in ids]
+            columns = [*(pa.array(x, pa.int64()) for x in (number, doc, n, start, crcs)), lists]
+            return pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "doc_tokens", "start", "ids_crc32", "ids"])
+
         for batch in batches:
-            n, crcs, kept = [], [], []
-            for text in batch.column(1):
+            for doc, text in zip(batch.column(0), batch.column(1)):
                 ids = token_ids(text.as_py(), path)
-                n.append(len(ids))
-                crcs.append([zlib.crc32(ids[i : i + window].tobytes()) for i in range(0, len(ids), window)])
-                if with_ids:
-                    kept.append(ids.astype(np.int32))
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))]
-            names = ["doc_id", "doc_tokens", "crcs"]
-            if with_ids:
-                columns.append(pa.array(kept, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+                for i in range(0, len(ids), window):
+                    pieces.append((row, doc.as_py(), len(ids), i, ids[i : i + window]))
+                    held += len(pieces[-1][-1])
+                    if held >= BATCH_IDS:
+                        yield rows()
+                        pieces, held = [], 0
+                row += 1
+        if pieces:
+            yield rows()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    schema = "doc_id long, doc_tokens long, crcs array<long>" + (", ids array<int>" if with_ids else "")
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, "row long, doc_id long, doc_tokens long, start long, ids_crc32 long, ids array<int>")
 
 
 def best_fit(lengths: list[int], window: int = WINDOW) -> tuple[list[int], list[int], int]:
@@ -124,17 +136,18 @@ def best_fit(lengths: list[int], window: int = WINDOW) -> tuple[list[int], list[
     return number, offset, windows
 
 
-def pack(docs: DataFrame, path: str, window: int = WINDOW, block_docs: int = BLOCK_DOCS, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, window: int = WINDOW, block_docs: int = BLOCK_DOCS, with_ids: bool = True) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids].
 
     ``docs``: (doc_id, text, ...); other columns are ignored.  Null text is empty text, which is one
     piece of one id, the end.  A null doc_id stays null; repeated rows are packed once each.  An empty
     table gives no rows.  A document of n * window ids has n pieces.
     """
-    rows = stage(tokenized(docs, path, window, with_ids))
+    pieces = stage(tokenized(docs, path, window))
+    rows = pieces.filter("start = 0").select("row", "doc_tokens")
     blocks = max(1, -(-rows.count() // block_docs))
     # Dealt by row number: no id, however frequent, fills a block.
-    rows = rows.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
 
     def place(key: tuple, group: pa.Table) -> pa.Table:
         tokens = group.column("doc_tokens").to_numpy()
@@ -146,14 +159,12 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, block_docs: int = BLO
         sequence[tail], start[tail] = number, offset
         full = tokens // window
         first = windows + np.cumsum(full) - full
-        out = group.drop_columns(["block"])
+        out = group.select(["row"])
         for name, values in (("first_full", base + first), ("tail_sequence", base + sequence), ("tail_offset", start)):
             out = out.append_column(name, pa.array(values))
         return out
 
-    kinds = ", ".join(f"{c} {t}" for c, t in rows.dtypes if c != "block")
-    placed = rows.groupBy("block").applyInArrow(place, f"{kinds}, first_full long, tail_sequence long, tail_offset long")
-    pieces = placed.select("*", F.posexplode("crcs").alias("nr", "ids_crc32")).withColumn("start", F.col("nr").cast("long") * window)
+    placed = rows.groupBy("block").applyInArrow(place, "row long, first_full long, tail_sequence long, tail_offset long")
     is_full = F.col("start") + window <= F.col("doc_tokens")
     out = [
         "doc_id",
@@ -161,16 +172,31 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, block_docs: int = BLO
         F.least(F.lit(window).cast("long"), F.col("doc_tokens") - F.col("start")).alias("length"),
         "ids_crc32",
         "doc_tokens",
-        F.when(is_full, F.col("first_full") + F.col("nr")).otherwise(F.col("tail_sequence")).alias("sequence_id"),
+        F.when(is_full, F.col("first_full") + F.floor(F.col("start") / window)).otherwise(F.col("tail_sequence")).alias("sequence_id"),
         F.when(is_full, F.lit(0).cast("long")).otherwise(F.col("tail_offset")).alias("offset"),
     ]
     if with_ids:
-        out.append(F.slice("ids", (F.col("start") + 1).cast("int"), F.lit(window)).alias("ids"))
-    return pieces.select(*out)
+        out.append("ids")
+    return pieces.join(placed, "row").select(*out)
+
+
+def digests(packed: DataFrame) -> DataFrame:
+    """``pack`` without the ids, and ids_crc32 computed from the ids that it gave."""
+    names = [c for c in packed.columns if c != "ids"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(batch.schema.get_field_index("ids"))
+            ends = np.cumsum(pc.list_value_length(lists).to_numpy()).tolist()
+            values = lists.flatten().to_numpy().astype("<u4")
+            crcs = pa.array([zlib.crc32(values[a:b].tobytes()) for a, b in zip([0, *ends], ends)], pa.int64())
+            yield pa.RecordBatch.from_arrays([crcs if c == "ids_crc32" else batch.column(batch.schema.get_field_index(c)) for c in names], names=names)
+
+    return packed.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in packed.dtypes if c != "ids"))
 
 
 def sequences(packed: DataFrame) -> DataFrame:
-    """(sequence_id, ids, doc_ids): the token windows from ``pack(with_ids=True)``, at most one window of ids a group."""
+    """(sequence_id, ids, doc_ids): the token windows from ``pack``, at most one window of ids a group."""
     parts = F.array_sort(F.collect_list(F.struct("offset", "doc_id", "ids")))
     rows = packed.groupBy("sequence_id").agg(parts.alias("parts"))
     return rows.select("sequence_id", F.flatten("parts.ids").alias("ids"), F.col("parts.doc_id").alias("doc_ids"))

@@ -74,7 +74,7 @@ def op4_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.digests(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
 # Either case of ASCII letters only, which (?i) does not promise in every engine.

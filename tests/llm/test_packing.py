@@ -78,3 +78,22 @@ def test_sequences_and_empty_table(spark):
     rows = packing.sequences(packing.pack(docs, PATH, window=16, with_ids=True)).collect()
     assert sum(len(r.ids) for r in rows) == 6 and sorted(d for r in rows for d in r.doc_ids) == [1, 2]
     assert packing.pack(docs.filter(F.lit(False)), PATH).count() == 0
+
+
+def test_stage_returns_the_ids_and_the_query_their_digest(spark, tmp_path):
+    import corpus_pipeline
+    from colloquy.llm.queries import QUERIES
+
+    texts = {1: "one two three " * 900, 2: None, None: "no id"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = corpus_pipeline.packed(spark, docs, str(tmp_path)).collect()
+    query = QUERIES["op5_best_fit_packing"](spark, str(tmp_path))
+    assert query.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    crcs = {(r.doc_id, r.start): r.ids_crc32 for r in query.collect()}
+    for i, t in texts.items():
+        ids = packing.token_ids(t or "", PATH)
+        pieces = sorted((r.start, r.ids) for r in rows if r.doc_id == i)
+        assert sum((x for _, x in pieces), []) == ids.tolist()
+        assert all(crcs[i, a] == zlib.crc32(np.array(x, "<u4").tobytes()) for a, x in pieces)
+    assert len(crcs) == len(rows) > 3
