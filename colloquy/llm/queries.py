@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import decontamination, fill_in_middle, language_id, line_dedup, order_minhash, packing, quality_cascade, quote_threads, secret_scan, substring_dedup, suffix_tree_lm
+from colloquy.llm import decontamination, fill_in_middle, hard_negatives, language_id, line_dedup, order_minhash, packing, quality_cascade, quote_threads, secret_scan, substring_dedup, suffix_tree_lm
 from colloquy.llm.common import LOWER, UPPER, WORD, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -214,3 +214,22 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n", "form", "prefix_chars", "middle_chars", hashed(F.col("output")).alias("output_sha256"),
         hashed(fill_in_middle.restore(F.col("output"), F.col("form"))).alias("restored_sha256"),
     )
+
+
+@query(
+    """
+    WITH u AS (SELECT row_number() OVER () AS r, vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS INT) AS label,
+          list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+          WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    a AS (SELECT * FROM u WHERE vec_id % 100 = 0),
+    s AS (SELECT a.r, a.vec_id AS anchor_id, u.vec_id, a.label = u.label AS same, CAST(list_inner_product(a.v, u.v) AS BIGINT) AS score FROM a JOIN u ON a.r <> u.r),
+    p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) <= 5),
+    n AS (SELECT p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+          row_number() OVER (PARTITION BY p.r, p.vec_id ORDER BY s.score DESC, s.vec_id) AS rank
+          FROM p JOIN s ON s.r = p.r AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score)
+    SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+    """
+)
+def op12_coordinate_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", label), scale=256.0)
