@@ -108,6 +108,16 @@ def hash_runs(data: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndar
     return mix(np.add.reduceat(value, first)), first
 
 
+def hash_pieces(data: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the pieces of bytes that begin at the places ``first`` and end where the next one begins."""
+    if not len(first):
+        return np.zeros(0, np.uint64)
+    part = data[first[0] :]
+    offset = np.arange(len(part)) - np.repeat(first - first[0], np.diff(np.append(first, len(data))))
+    value = (part.astype(np.uint64) + np.uint64(1)) * _POWERS[offset & 4095] * _HIGH[offset >> 12 & 4095]
+    return mix(np.add.reduceat(value, first - first[0]))
+
+
 #: Bits of a filter over digests.  The size is fixed: more digests than bits let more rows pass, and cost time only.
 FILTER_BITS = 1 << 24
 

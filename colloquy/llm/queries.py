@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import decontamination, fill_in_middle, hard_negatives, language_id, line_dedup, order_minhash, packing, quality_cascade, quote_threads, secret_scan, substring_dedup, suffix_tree_lm
+from colloquy.llm import bloom_fingerprints, decontamination, fill_in_middle, hard_negatives, language_id, line_dedup, order_minhash, packing, quality_cascade, quote_threads, secret_scan, substring_dedup, suffix_tree_lm
 from colloquy.llm.common import LOWER, UPPER, WORD, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -233,3 +233,8 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_coordinate_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", label), scale=256.0)
+
+
+@query()
+def op13_bloom_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom_fingerprints.neighbours(table(spark, sf_dir, "documents"))
