@@ -6,8 +6,10 @@ import atexit
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,7 +64,7 @@ def shared_folder(spark: SparkSession) -> str:
 def stage(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and read them from there: cuts lineage, survives lost executors.
 
-    The files are deleted when the session ends.
+    The files are deleted by ``discard``, or when the session ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/colloquy-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
@@ -70,14 +72,39 @@ def stage(df: DataFrame) -> DataFrame:
     if not _written:
         atexit.register(_clear)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.staged_at = path
+    return back
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete the files of staged rows that nothing unfinished reads any more."""
+    for df in staged:
+        _delete(df.sparkSession, df.staged_at)
+        _written[:] = [w for w in _written if w[1] != df.staged_at]
+
+
+def written_so_far() -> int:
+    """A mark for ``discard_from``."""
+    return len(_written)
+
+
+def discard_from(mark: int) -> None:
+    """Delete what was staged since the mark was taken; what reads it must have been written."""
+    for spark, path in _written[mark:]:
+        _delete(spark, path)
+    del _written[mark:]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def _clear() -> None:
     for spark, path in _written:
         try:
-            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session has gone, and its scratch folder with it
             return
 
@@ -122,14 +149,14 @@ def hash_pieces(data: np.ndarray, first: np.ndarray) -> np.ndarray:
 FILTER_BITS = 1 << 24
 
 
-def bit_filter(digests: DataFrame, column: str) -> Broadcast:
-    """A broadcast bit table that has the bit of every digest of the column; 2 MB, whatever the input."""
-    bit = F.pmod(column, F.lit(FILTER_BITS))
+def bit_filter(digests: DataFrame, column: str, bits: int = FILTER_BITS) -> Broadcast:
+    """A broadcast bit table that has the bit of every digest of the column; bits / 8 bytes (2 MB), whatever the input."""
+    bit = F.pmod(column, F.lit(bits))
     parts = (
         digests.groupBy(F.floor(bit / 32768).cast("int").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit % 32768 + 1)).alias("bits"))
-        .collect()  # at most FILTER_BITS / 32768 rows of 4 KB
+        .collect()  # at most bits / 32768 rows of 4 KB
     )
-    table = np.zeros(FILTER_BITS // 8, np.uint8)
+    table = np.zeros(bits // 8, np.uint8)
     for r in parts:
         table[r.part * 4096 : (r.part + 1) * 4096] = np.frombuffer(r.bits, np.uint8)
     return digests.sparkSession.sparkContext.broadcast(table)
@@ -137,8 +164,22 @@ def bit_filter(digests: DataFrame, column: str) -> Broadcast:
 
 def passes(table: np.ndarray, digests: np.ndarray) -> np.ndarray:
     """Which digests may be in the filter."""
-    bit = digests % FILTER_BITS
+    bit = digests % (8 * len(table))
     return table[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 > 0
 
 
+def only(df: DataFrame, columns: list[str], shared: Broadcast) -> DataFrame:
+    """The rows of which one of the (long) columns may be in the filter."""
+    places = [df.columns.index(c) for c in columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for k in places:
+                keep |= passes(shared.value, batch.column(k).to_numpy())
+            yield batch.filter(pa.array(keep))
+
+    return df.mapInArrow(run, df.schema)
+
+
 ship(__name__)

@@ -6,12 +6,12 @@ if any earlier line is the same.
 
 * Equal lines collapse first, by a 128-bit digest; only distinct lines are compared.
 * A line within one edit of another shares its first or its last half with it.  Lines whose halves (under
-  either length the partner may have) nobody else has are out, without loss, before variants are made.
-* The others emit every variant with one word deleted, and themselves, as hashed keys.  Equal variants
-  deleted at the same place differ by a replaced word; a variant equal to a whole line, by an inserted one.
-  So per key the earliest holder is all a line has to meet: the join is linear in the variants, however
-  many lines share a key, and minima are taken before the shuffle.  A line is known by its digest; doc_id and
-  line number only rank it, as rows without an id or with a repeated one share them.
+  either length the partner may have) no different line has are out, without loss, before their words are read.
+* The others, numbered by doc_id and line number, emit every variant with one word deleted, and themselves, as
+  hashed keys; keys of a single line are out again.  Equal variants deleted at the same place differ by a
+  replaced word; a variant equal to a whole line, by an inserted one.  So per key the earliest holder is all a
+  line has to meet: the join is linear in the variants, however many lines share a key, and minima are taken
+  before the shuffle.
 * The edit distance of every pair found is verified on the words.
 """
 
@@ -21,16 +21,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import bit_filter, hash_runs, mix, passes, ship, stage, text_of
+from colloquy.llm.common import bit_filter, discard, hash_runs, mix, only, passes, ship, stage, text_of
 
 #: Shorter lines are left alone.
 MIN_WORDS = 3
 #: Shorter lines are compared for equality only.
 NEAR_WORDS = 8
 CHUNK = 1 << 20
+#: Bits of the filters over halves and variants that more than one line has (8 MB): more of them let more lines pass, and cost time only.
+HALF_BITS = 1 << 26
+#: Ranks before all ids.
+NO_ID = -(1 << 63)
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -142,31 +147,38 @@ def _row_key() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), text_of())
 
 
-def _words_of(docs: DataFrame, wanted: DataFrame, near_words: int) -> DataFrame:
-    """(d1, d2, doc, no, words) of the wanted distinct lines (d1, d2, doc, no); d1 and d2 find their words."""
-    shared = bit_filter(wanted, "d1")
+def _candidates(docs: DataFrame, shared: Broadcast, near_words: int) -> DataFrame:
+    """(d1, d2, doc, no, words) of the lines that share a half with another line, each distinct line once, at its first place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x in lines_of(batch.column(0)):
+            ids = batch.column(0).to_numpy()
+            for x in lines_of(batch.column(1)):
                 d1, d2 = x.digests()
-                keep = np.flatnonzero((x.n >= near_words) & passes(shared.value, d1))
-                # One copy of a line in a batch is enough.
-                keep = keep[np.unique(d1[keep], return_index=True)[1]]
+                keep = np.flatnonzero(x.n >= near_words)
+                keep = keep[passes(shared.value, x.half_keys()[keep]).any(1)]
+                doc = ids[x.doc]
+                # The first of equal lines of a chunk is enough.
+                order = keep[np.lexsort((x.number[keep], doc[keep], d2[keep], d1[keep]))]
+                new = np.ones(len(order), bool)
+                new[1:] = (d1[order[1:]] != d1[order[:-1]]) | (d2[order[1:]] != d2[order[:-1]])
+                keep = order[new]
                 offsets, words = x.take(keep)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(words.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(d1[keep]), pa.array(d2[keep]), lists], names=["d1", "d2", "words"])
+                columns = [pa.array(v[keep].astype(np.int64)) for v in (d1, d2, doc, x.number)]
+                yield pa.RecordBatch.from_arrays([*columns, lists], names=["d1", "d2", "doc", "no", "words"])
 
-    found = docs.select(text_of().alias("text")).mapInArrow(run, "d1 long, d2 long, words array<long>")
-    return wanted.join(found, ["d1", "d2"]).dropDuplicates(["d1", "d2"])
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), text_of().alias("text"))
+    found = rows.mapInArrow(run, "d1 long, d2 long, doc long, no long, words array<long>")
+    return found.groupBy("d1", "d2").agg(F.min(F.struct("doc", "no")).alias("at"), F.any_value("words").alias("words")).select("d1", "d2", "at.doc", "at.no", "words")
 
 
-def variants(lines: DataFrame) -> DataFrame:
-    """(h, m, i, doc, no, d1, d2): every line whole (i = -1) and with word i deleted; m words remain."""
+def variants(lines: DataFrame, shared: Broadcast | None = None) -> DataFrame:
+    """(h, i, id): every line whole (i = -1) and with word i deleted, h the hash of the words left; only those in a filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(4)
+            lists = batch.column(1)
             n = np.diff(lists.offsets.to_numpy()).astype(np.int64)
             words = lists.flatten().to_numpy().view(np.uint64)
             first = np.cumsum(n) - n
@@ -174,14 +186,14 @@ def variants(lines: DataFrame) -> DataFrame:
             owner, at = np.repeat(np.arange(len(n)), n), np.arange(len(words))
             whole = x.prefix(n)
             without = x.forward[at] - x.forward[first[owner]] + (x.forward[first[owner] + n[owner]] - x.forward[at + 1]) * _R_INVERSE
-            h = mix(np.concatenate((whole, without))).view(np.int64)
-            m = np.concatenate((n, n[owner] - 1)).astype(np.int32)
+            left = np.concatenate((n, n[owner] - 1)).astype(np.uint64)
+            h = mix(mix(np.concatenate((whole, without))) + left).view(np.int64)
             i = np.concatenate((np.full(len(n), -1), at - first[owner])).astype(np.int32)
-            owner = pa.array(np.concatenate((np.arange(len(n)), owner)))
-            line = [batch.column(c).take(owner) for c in range(4)]
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(m), pa.array(i), *line], names=["h", "m", "i", "doc", "no", "d1", "d2"])
+            ids = batch.column(0).to_numpy()[np.concatenate((np.arange(len(n)), owner))]
+            keep = slice(None) if shared is None else passes(shared.value, h)
+            yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(i[keep]), pa.array(ids[keep])], names=["h", "i", "id"])
 
-    return lines.select("doc", "no", "d1", "d2", "words").mapInArrow(run, "h long, m int, i int, doc long, no long, d1 long, d2 long")
+    return lines.select("id", "words").mapInArrow(run, "h long, i int, id long")
 
 
 def within_one(a: list, b: list) -> bool:
@@ -197,54 +209,52 @@ def within_one(a: list, b: list) -> bool:
     return max(len(a), len(b)) - i - j <= 1
 
 
-def near_lines(docs: DataFrame, distinct: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
-    """(d1, d2, near): for distinct lines (d1, d2, doc, no, keys) the earliest line within one edit that comes before."""
-    keys = distinct.select("d1", "d2", "doc", "no", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").count().filter("count > 1").select("key")
-    wanted = stage(keys.join(shared, "key", "left_semi").select("d1", "d2", "doc", "no").distinct())
-    lines = stage(_words_of(docs, wanted, near_words))
-    rows = variants(lines)
-    line = F.struct("doc", "no", "d1", "d2")
-    per_place = rows.groupBy("h", "m", "i").agg(F.min(line).alias("best"), F.count(F.lit(1)).alias("c"))
-    per_key = per_place.groupBy("h", "m").agg(
+def near_lines(docs: DataFrame, table: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
+    """(d1, d2, near): for the distinct lines of ``line_table`` the earliest line within one edit that comes before, staged."""
+    halves = table.select("d1", F.explode("keys").alias("key")).groupBy("key").agg(F.min("d1").alias("a"), F.max("d1").alias("b"))
+    shared = bit_filter(halves.filter("a < b"), "key", HALF_BITS)
+    # Numbered in their order, so that a line's number is its rank and variants carry nothing else.
+    lines = stage(_candidates(docs, shared, near_words).sort("doc", "no", "d1", "d2").withColumn("id", F.monotonically_increasing_id()))
+    twice = variants(lines).groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b")
+    rows = variants(lines, bit_filter(twice, "h", HALF_BITS))
+    per_place = rows.groupBy("h", "i").agg(F.min("id").alias("best"), F.count(F.lit(1)).alias("c"))
+    per_key = per_place.groupBy("h").agg(
         F.min(F.when(F.col("i") < 0, F.col("best"))).alias("whole"), F.min(F.when(F.col("i") >= 0, F.col("best"))).alias("cut"), F.sum("c").alias("c"),
     ).filter("c > 1").drop("c")
     partner = F.when(F.col("i") < 0, F.col("cut")).otherwise(F.least("best", "whole"))
-    offers = per_place.drop("c").join(per_key, ["h", "m"]).select("h", "m", "i", partner.alias("near")).filter(F.col("near").isNotNull())
-    earlier = F.struct("near.doc", "near.no") < F.struct("doc", "no")
-    pairs = rows.join(offers, ["h", "m", "i"]).filter(earlier).groupBy("d1", "d2").agg(F.min("near").alias("near"))
-    # Verified on the words: hashes only propose.
-    mine = lines.select("d1", "d2", "words")
-    other = lines.select(F.col("d1").alias("o1"), F.col("d2").alias("o2"), F.col("words").alias("owords"))
-    both = pairs.join(mine, ["d1", "d2"]).join(other, (F.col("near.d1") == F.col("o1")) & (F.col("near.d2") == F.col("o2")))
+    offers = per_place.drop("c").join(per_key, "h").select("h", "i", partner.alias("near")).filter(F.col("near").isNotNull())
+    pairs = stage(rows.join(offers, ["h", "i"]).filter("near < id").groupBy("id").agg(F.min("near").alias("near")))
+    # Verified on the words: hashes only propose.  Lines at one place of rows with one id rank alike.
+    met = only(lines, ["id"], bit_filter(pairs.select(F.explode(F.array("id", "near")).alias("id")), "id"))
+    other = met.select(F.col("id").alias("near"), F.col("doc").alias("odoc"), F.col("no").alias("ono"), F.col("words").alias("owords"))
+    both = pairs.join(met, "id").join(other, "near").filter(F.struct("odoc", "ono") < F.struct("doc", "no"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = [within_one(a.as_py(), b.as_py()) for a, b in zip(batch.column(3), batch.column(4))]
             yield batch.select(["d1", "d2", "near"]).filter(pa.array(good, pa.bool_()))
 
-    checked = both.select("d1", "d2", F.struct("near.doc", "near.no").alias("near"), "words", "owords")
-    verified = checked.mapInArrow(verify, "d1 long, d2 long, near struct<doc: long, no: long>")
-    return verified.groupBy("d1", "d2").agg(F.min("near").alias("near"))
+    checked = both.select("d1", "d2", F.struct(F.col("odoc").alias("doc"), F.col("ono").alias("no")).alias("near"), "words", "owords")
+    near = stage(checked.mapInArrow(verify, "d1 long, d2 long, near struct<doc: long, no: long>"))
+    discard(lines, pairs)
+    return near
 
 
 def _marked(docs: DataFrame, min_words: int, near_words: int) -> DataFrame:
-    null = F.lit(-(1 << 63))
     table = stage(line_table(docs, min_words, near_words))
-    at = F.struct(F.coalesce("doc_id", null).alias("doc"), F.col("line_no").alias("no"))
-    distinct = stage(
-        table.groupBy("d1", "d2").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.any_value("keys").alias("keys"))
-        .select("d1", "d2", "first.doc", "first.no", (F.col("first") != F.col("last")).alias("copied"), "keys")
-    )
-    near = near_lines(docs, distinct.filter(F.size("keys") > 0), near_words)
-    first = F.struct("doc", "no")
-    verdict = distinct.drop("keys").join(near, ["d1", "d2"], "left").filter(F.col("copied") | F.col("near").isNotNull())
+    near = near_lines(docs, table, near_words)
+    at = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.col("line_no").alias("no"))
+    copied = table.groupBy("d1", "d2").agg(F.min(at).alias("first"), F.max(at).alias("last")).filter("first < last").drop("last")
     # Written, so that the join to all lines has two plain inputs: then Spark splits the partition of a very common line.
-    verdict = stage(verdict.select("d1", "d2", F.coalesce("near", first).alias("keeper"), F.when(F.col("near").isNull(), 0).otherwise(1).alias("edits")))
-    gone = table.drop("keys").join(verdict, ["d1", "d2"]).filter(at > F.col("keeper"))
+    verdict = stage(
+        copied.join(near, ["d1", "d2"], "full")
+        .select("d1", "d2", F.coalesce("near", "first").alias("keeper"), F.when(F.col("near").isNull(), 0).otherwise(1).alias("edits"))
+    )
+    discard(near)
+    gone = only(table.drop("keys"), ["d1"], bit_filter(verdict, "d1")).join(verdict, ["d1", "d2"]).filter(at > F.col("keeper"))
     return gone.select(
         "doc_id", "row_key", "line_no", "start", "end", F.col("n").alias("n_words"),
-        F.nullif(F.col("keeper.doc"), null).alias("first_doc_id"), F.col("keeper.no").alias("first_line_no"), "edits",
+        F.nullif(F.col("keeper.doc"), F.lit(NO_ID)).alias("first_doc_id"), F.col("keeper.no").alias("first_line_no"), "edits",
     )
 
 
