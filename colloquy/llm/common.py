@@ -80,20 +80,19 @@ def stage(df: DataFrame) -> DataFrame:
 def discard(*staged: DataFrame) -> None:
     """Delete the files of staged rows that nothing unfinished reads any more."""
     for df in staged:
-        _delete(df.sparkSession, df.staged_at)
-        _written[:] = [w for w in _written if w[1] != df.staged_at]
+        discard_paths(df.sparkSession, {df.staged_at})
 
 
-def written_so_far() -> int:
-    """A mark for ``discard_from``."""
-    return len(_written)
+def staged_paths() -> set[str]:
+    """Where the rows staged so far lie."""
+    return {path for _, path in _written}
 
 
-def discard_from(mark: int) -> None:
-    """Delete what was staged since the mark was taken; what reads it must have been written."""
-    for spark, path in _written[mark:]:
+def discard_paths(spark: SparkSession, paths: set[str]) -> None:
+    """As ``discard``, by path."""
+    for path in paths:
         _delete(spark, path)
-    del _written[mark:]
+    _written[:] = [w for w in _written if w[1] not in paths]
 
 
 def _delete(spark: SparkSession, path: str) -> None:
