@@ -111,3 +111,16 @@ SAMPLES = f"""{CHAT}, {sql_turns('chat')},
 lead_rows AS (SELECT *, lead(content) OVER (PARTITION BY chat_id ORDER BY seq) AS candidate FROM turns),
 samples AS (SELECT chat_id * 1000000 + seq AS sample_id, CAST(chat_id AS VARCHAR) AS speaker, context, content AS target, candidate,
   array_to_string(list_transform(context, lambda c: c.content), ' ') AS ctx FROM lead_rows WHERE candidate IS NOT NULL)"""
+
+
+# The split of ``turns``: whole sessions from three on, else the turns in order.
+SQL_SPLIT = """sess AS (SELECT chat_id, session_no, count(*) AS n FROM turns GROUP BY ALL),
+sess_at AS (SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY session_no) AS place, count(*) OVER (PARTITION BY chat_id) AS ns,
+  sum(n) OVER (PARTITION BY chat_id) AS nt, sum(n) OVER (PARTITION BY chat_id ORDER BY session_no) - n AS before FROM sess),
+sess_v AS (SELECT *, greatest(1, floor(ns * 0.15 :: DOUBLE)) AS v0, greatest(1, floor(ns * (1 - 0.7 :: DOUBLE - 0.15 :: DOUBLE))) AS t0 FROM sess_at),
+sess_w AS (SELECT *, CASE WHEN v0 + t0 >= ns THEN 1 ELSE v0 END AS nv, CASE WHEN v0 + t0 >= ns THEN 1 ELSE t0 END AS nx FROM sess_v),
+split AS (SELECT t.*, CASE WHEN ns >= 3 THEN CASE WHEN place <= greatest(1, ns - nv - nx) THEN 'train'
+    WHEN place <= greatest(1, ns - nv - nx) + nv THEN 'validation' ELSE 'test' END
+  ELSE CASE WHEN before + turn_no <= greatest(1, floor(nt * 0.7 :: DOUBLE)) THEN 'train'
+    WHEN before + turn_no <= greatest(1, floor(nt * 0.7 :: DOUBLE)) + floor(nt * 0.15 :: DOUBLE) THEN 'validation' ELSE 'test' END END AS split
+  FROM turns t JOIN sess_w USING (chat_id, session_no))"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from colloquy.frames import CHAT, chat, events, sql_events, sql_turns
+from colloquy.frames import CHAT, SQL_SPLIT, chat, events, sql_events, sql_turns
 from colloquy.operators import assets, rhythm, style, turns
 from colloquy.registry import query
 
@@ -160,10 +160,10 @@ _TAGS = "list_concat(" + ", ".join(
     f"CASE WHEN regexp_matches(tagged, '(?i)({'|'.join(w)})') THEN {t} ELSE [] END" for t, w in TAGS
 ) + ")"
 _EMOJI_RE = "[😂]|👍🏽?"
-# Target texts of every chat; turns of the first session stand for the train split.
-_ASSETS = f"""{_TURNS}, tx AS (SELECT chat_id, seq, content FROM chat WHERE is_target),
+# Target texts of every chat, and the turns of its train part.
+_ASSETS = f"""{_TURNS}, {SQL_SPLIT}, tx AS (SELECT chat_id, seq, content FROM chat WHERE is_target),
 uses AS (SELECT chat_id, seq, content, unnest(regexp_extract_all(content, '{_EMOJI_RE}')) AS asset, generate_subscripts(regexp_extract_all(content, '{_EMOJI_RE}'), 1) AS nth FROM tx),
-tt AS (SELECT chat_id, content, trim(array_to_string(list_transform(context, lambda c: c.content), ' ') || ' ' || content) AS tagged FROM turns WHERE session_no = 1),
+tt AS (SELECT chat_id, content, trim(array_to_string(list_transform(context, lambda c: c.content), ' ') || ' ' || content) AS tagged FROM split WHERE split = 'train'),
 a1 AS (SELECT chat_id, content, tagged, unnest(regexp_extract_all(content, '{_EMOJI_RE}')) AS asset FROM tt),
 a2 AS (SELECT chat_id, arg_min(content, (seq, nth)) AS content, arg_min(content, (seq, nth)) AS tagged, asset FROM uses
   WHERE (chat_id, asset) NOT IN (SELECT chat_id, asset FROM a1) GROUP BY chat_id, asset),
@@ -175,7 +175,7 @@ sight AS (SELECT *, CASE WHEN len({_TAGS}) > 0 THEN {_TAGS} ELSE ['casual_chat']
 def _tables(spark, sf):
     m = chat(spark, sf)
     texts = m.filter("is_target").withColumn("text", F.col("content"))
-    return texts, turns.build_turns(m, ts=None).filter("session_no = 1")
+    return texts, turns.split_turns(turns.build_turns(m, ts=None)).filter("split = 'train'").drop("split")
 
 
 @query(

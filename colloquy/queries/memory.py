@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from colloquy.frames import CHAT, chat, events, sql_trim, table
 from colloquy.operators import checks
 from colloquy.operators import memory as mem
+from colloquy.plans import lineage
 from colloquy.registry import query
+from colloquy.streaming import tables
 
 NOW = "2024-02-01 00:00:00"
 PREFIXES = [("好的", "preference", "likes"), ("the ", "profile", "location"), ("la", "profile", "name")]
@@ -185,3 +187,27 @@ def table_checks(spark, sf):
 def missing_components(spark, sf):
     present = table(spark, sf, "events").select(F.col("event_type").alias("component")).distinct()
     return checks.missing_components(present, ["view", "click", "error", "style", "rhythm"])
+
+
+@query(f"WITH {_MEM} SELECT id, persona_id, key, value, epoch_us(valid_from) AS valid_from_us, epoch_us(valid_to) AS valid_to_us FROM ver")
+def stream_facts(spark, sf):
+    """Three micro-batches, the second one twice, the third one late throughout: as if all versions had come at once."""
+    folder = lineage.scratch(spark)
+    write = tables.write_batch(folder, facts=lambda batch: batch.drop("nth"))
+    rows = _memories(spark, sf).withColumn("nth", F.when(F.col("id") % 10 == 3, 2).otherwise(F.col("id") % 2))
+    for nth in (0, 1, 1, 2):
+        write(rows.filter(F.col("nth") == nth), nth)
+    return tables.current_facts(spark, folder).select(
+        "id", "persona_id", "key", "value", F.unix_micros("valid_from").alias("valid_from_us"), F.unix_micros("valid_to").alias("valid_to_us")
+    )
+
+
+@query(f"WITH {_MEM} SELECT id, persona_id, key FROM ver WHERE valid_to IS NULL")
+def stream_active(spark, sf):
+    """The active table after two batches, the older versions last."""
+    folder = lineage.scratch(spark)
+    write = tables.write_batch(folder, facts=lambda batch: batch)
+    rows = _memories(spark, sf)
+    write(rows.filter("id % 3 > 0"), 0)
+    write(rows.filter("id % 3 = 0"), 1)
+    return tables.active_table(spark, folder).select("id", "persona_id", "key")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from colloquy.frames import CHAT, CONVERSATIONS, chat, conversations, events, sql_events, sql_trim, sql_turns, table
+from colloquy.frames import CHAT, CONVERSATIONS, SQL_SPLIT, chat, conversations, events, sql_events, sql_trim, sql_turns, table
 from colloquy.functions import clean
 from colloquy.operators import leakage, normalize, turns
 from colloquy.plans import lineage
@@ -331,17 +331,7 @@ _GROUPED = """msg AS (SELECT conv_id // 10 AS chat_id, conv_id AS session_no, co
 
 
 def _sql_split(source: str) -> str:
-    return f"""{source}, {sql_turns('msg')},
-s AS (SELECT chat_id, session_no, count(*) AS n FROM turns GROUP BY ALL),
-p AS (SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY session_no) AS place, count(*) OVER (PARTITION BY chat_id) AS ns,
-  sum(n) OVER (PARTITION BY chat_id) AS nt, sum(n) OVER (PARTITION BY chat_id ORDER BY session_no) - n AS before FROM s),
-v AS (SELECT *, greatest(1, floor(ns * 0.15 :: DOUBLE)) AS v0, greatest(1, floor(ns * (1 - 0.7 :: DOUBLE - 0.15 :: DOUBLE))) AS t0 FROM p),
-w AS (SELECT *, CASE WHEN v0 + t0 >= ns THEN 1 ELSE v0 END AS nv, CASE WHEN v0 + t0 >= ns THEN 1 ELSE t0 END AS nx FROM v),
-split AS (SELECT t.*, CASE WHEN ns >= 3 THEN CASE WHEN place <= greatest(1, ns - nv - nx) THEN 'train'
-    WHEN place <= greatest(1, ns - nv - nx) + nv THEN 'validation' ELSE 'test' END
-  ELSE CASE WHEN before + turn_no <= greatest(1, floor(nt * 0.7 :: DOUBLE)) THEN 'train'
-    WHEN before + turn_no <= greatest(1, floor(nt * 0.7 :: DOUBLE)) + floor(nt * 0.15 :: DOUBLE) THEN 'validation' ELSE 'test' END END AS split
-  FROM turns t JOIN w USING (chat_id, session_no))"""
+    return f"{source}, {sql_turns('msg')}, {SQL_SPLIT}"
 
 
 @query(f"WITH {_sql_split(_GROUPED)} SELECT {_TURN_OUT}, split FROM split")

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from colloquy import lexicons as lx
 from colloquy.functions.text import char_ngrams, col, has, trim
+from colloquy.plans import lineage
 from colloquy.plans.ordered import scan
 
 # Executors need not have this package installed: its functions travel with the task.
@@ -56,12 +58,12 @@ def cut_bursts(micros: np.ndarray, fresh: np.ndarray, window: float, cap: float)
 
 def burst_starts(
     messages: DataFrame, chat: str = "chat_id", ts: str = "ts", id: str = "message_id", command: Column | None = None,
-    window: float = WINDOW_SECONDS, cap: float = CAP_SECONDS, width: int | None = None,
+    window: float = WINDOW_SECONDS, cap: float = CAP_SECONDS, width: int | None = None, part: float | None = None,
 ) -> DataFrame:
     """Add ``burst_id``: id of the first message of the burst.  Commands close a burst and are dropped.
 
-    Pauses split a chat into runs by a chunked scan, so a busy chat spreads over its runs.  Only the
-    cap is a fold; it streams over the runs sorted in each partition and keeps two numbers per run.
+    Pauses split a chat into runs by a chunked scan; runs that the cap cuts are folded in parts of ``part`` seconds,
+    so neither a busy chat nor a run without a pause is held by one task.
     """
     stamp = F.unix_micros(F.col(ts).cast("timestamp"))
     marked = messages.withColumns({"__micros": stamp, "__cmd": F.lit(False) if command is None else command})
@@ -74,35 +76,101 @@ def burst_starts(
     runs = scan(
         seen.withColumn("__open", opens.cast("int")), [chat], [ts, id], width=width, running={"__run": F.col("__open")}
     ).filter(~F.col("__cmd"))
-    # Runs shorter than the cap are bursts as they are; the fold sees only the others.
+    # Runs shorter than the cap are bursts as they are; only the others are folded.
     ends = runs.groupBy(chat, "__run").agg(
         F.min_by(id, F.struct(ts, id)).alias("__first"),
+        F.min("__micros").alias("__from"),
         (F.max("__micros") - F.min("__micros")).alias("__span"),
     )
     placed = runs.join(ends, [chat, "__run"])
     limit = F.lit(int(cap * 1_000_000))
     out = [*messages.columns]
     whole = placed.filter(F.col("__span") < limit).select(*out, F.col("__first").alias("burst_id"))
-    long = placed.filter(F.col("__span") >= limit).select(*out, "__run", "__micros")
-    kind = dict(messages.dtypes)
-    schema = ", ".join(f"`{c}` {kind[c]}" for c in out) + f", burst_id {kind[id]}"
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        run, first, start, closed = None, None, 0, True
-        for batch in batches:
-            burst = []
-            for key, micros, message in zip(
-                zip(batch[chat], batch["__run"], strict=True), batch["__micros"], batch[id], strict=True
-            ):
-                if key != run or closed:
-                    run, first, start, closed = key, message, micros, False
-                elif micros - start >= cap * 1e6:
-                    closed = True
-                burst.append(first)
-            yield batch[out].assign(burst_id=burst)
-
-    sorted_runs = long.repartition(chat, "__run").sortWithinPartitions(chat, "__run", "__micros", id)
-    return whole.unionByName(sorted_runs.mapInPandas(fold, schema))
+    long = lineage.cut(placed.filter(F.col("__span") >= limit).select(*out, "__run", "__micros", "__from"))
+    return whole.unionByName(_long_runs(long, chat, ts, id, window, cap, part).select(*out, "burst_id"))
+
+
+def successors(micros: np.ndarray, cap: int) -> np.ndarray:
+    """For each message of a run in time order, the one that opens the next burst if this one opens a burst; else the length."""
+    closing = np.searchsorted(micros, micros + cap, side="left")
+    return np.minimum(closing + 1, len(micros))
+
+
+def _long_runs(long: DataFrame, chat: str, ts: str, id: str, window: float, cap: float, part: float | None) -> DataFrame:
+    """Add ``burst_id`` to the messages of runs that the cap cuts, however long the runs are.
+
+    A burst and the message after it end within ``reach`` of its start.  So a run is cut into parts of many times that,
+    and a part sees the head of the next one: there it finds, for every message at which the chain of bursts may enter
+    it, the message at which the chain leaves.  The entries that are met from the run's first message are found by
+    pointer doubling over these few; then each part is folded from its own entry.
+    """
+    gap, limit = int(window * 1e6), int(cap * 1e6)
+    reach = limit + 2 * gap
+    size = max(int((part or 0) * 1e6), reach + 1) if part else 16 * reach
+    since = F.col("__micros") - F.col("__from")
+    rows = long.withColumn("__part", F.floor(since / F.lit(size)).cast("long")).withColumn("__head", since - F.col("__part") * size <= reach)
+    last = rows.agg(F.max("__part")).first()[0]  # one number
+    kind = dict(long.dtypes)
+    key = [chat, "__run"]
+    seen = rows.select(*key, "__micros", id, "__head", F.explode(
+        F.when(F.col("__head") & (F.col("__part") > 0), F.array(F.struct(F.col("__part").alias("p"), F.lit(True).alias("own")), F.struct((F.col("__part") - 1).alias("p"), F.lit(False).alias("own"))))
+        .otherwise(F.array(F.struct(F.col("__part").alias("p"), F.lit(True).alias("own"))))
+    ).alias("__at")).select(*key, F.col("__at.p").alias("__part"), F.col("__at.own").alias("__own"), "__micros", id, "__head")
+
+    def edges(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("__micros", "ascending"), (id, "ascending")])
+        own, head = table["__own"].to_numpy(), table["__head"].to_numpy()
+        to = np.append(successors(table["__micros"].to_numpy(), limit), len(own))
+        inside = np.append(own, False)
+        # Own messages come first in time; the chain is followed until it leaves them, in doubling steps.
+        while (step := inside[to] & (to != to[to])).any():
+            to = np.where(step, to[to], to)
+        first = table["__part"][0].as_py() == 0 if len(own) else False
+        entry = np.flatnonzero(own & head) if not first else np.arange(min(1, len(own)))
+        ids, target = table[id].combine_chunks(), to[entry]
+        exits = pa.array(np.where(target < len(own), target, -1)).to_pylist()
+        part_of = table.take(pa.array(entry)).select([chat, "__run", "__part", id])
+        return part_of.append_column("__next", pa.array([None if e < 0 else ids[e].as_py() for e in exits], ids.type))
+
+    edge = f"`{chat}` {kind[chat]}, __run {kind['__run']}, __part long, `{id}` {kind[id]}, __next {kind[id]}"
+    jump = lineage.cut(seen.groupBy(*key, "__part").applyInArrow(edges, edge))
+    met = jump.filter("__part = 0").select(*key, id)
+    jump = jump.select(*key, id, "__next")
+    for done in range(int(last or 0).bit_length()):
+        onward = met.join(jump, [*key, id]).filter("__next is not null").select(*key, F.col("__next").alias(id))
+        met = met.unionByName(onward)
+        further = jump.select(*key, F.col(id).alias("__next"), F.col("__next").alias("__after"))
+        jump = jump.join(further, [*key, "__next"]).select(*key, id, F.col("__after").alias("__next"))
+        if done % 4 == 3:
+            met, jump = lineage.cut(met), lineage.cut(jump)
+    entries = rows.join(met, [*key, id], "left_semi").select(
+        *[F.col(c).alias(c) for c in (*key, "__part")], F.col("__micros").alias("__at"), F.col(id).alias("__entry")
+    )
+
+    columns = [*long.columns, "__part"]
+    schema = ", ".join(f"`{c}` {kind.get(c, 'long')}" for c in columns) + f", burst_id {kind[id]}"
+
+    def fold(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.select(columns).sort_by([("__micros", "ascending"), (id, "ascending")])
+        starts = np.full(left.num_rows, -1)
+        ids = left[id].combine_chunks()
+        for at, entry in zip(right["__at"].to_pylist(), right["__entry"].to_pylist()):
+            micros = left["__micros"].to_numpy()
+            i = int(np.searchsorted(micros, at))
+            while ids[i].as_py() != entry:
+                i += 1
+            to = successors(micros, limit)
+            while i < len(micros):
+                starts[i], i = i, int(to[i])
+        owner = np.maximum.accumulate(starts) if len(starts) else starts
+        # Before the entry a message belongs to a burst of the part before.
+        known = pa.array(np.where(owner < 0, 0, owner), mask=owner < 0)
+        return left.append_column("burst_id", ids.take(known))
+
+    folded = rows.select(*columns).groupBy(*key, "__part").cogroup(entries.groupBy(*key, "__part")).applyInArrow(fold, schema)
+    return scan(
+        folded.withColumnRenamed("burst_id", "__burst"), key, [ts, id], chunk=F.col("__part"), last_seen={"burst_id": F.col("__burst")}
+    )
 
 
 def coalesce_bursts(placed: DataFrame, chat: str = "chat_id", ts: str = "ts", id: str = "message_id", text: str = "text") -> DataFrame:
@@ -126,11 +194,11 @@ def coalesce_bursts(placed: DataFrame, chat: str = "chat_id", ts: str = "ts", id
 
 def bursts(
     messages: DataFrame, window: float = WINDOW_SECONDS, cap: float = CAP_SECONDS, watermark: str = WATERMARK,
-    width: int | None = None,
+    width: int | None = None, part: float | None = None,
 ) -> DataFrame:
     """Bursts of a table or a stream of messages; commands close a burst and are left out."""
     if not messages.isStreaming:
-        placed = burst_starts(messages, command=is_command("text"), window=window, cap=cap, width=width)
+        placed = burst_starts(messages, command=is_command("text"), window=window, cap=cap, width=width, part=part)
         return coalesce_bursts(placed)
     rows = messages.withWatermark("ts", watermark).select(
         "chat_id", "message_id", "ts", F.coalesce("text", F.lit("")).alias("text"), is_command("text").alias("cmd")
@@ -194,21 +262,27 @@ def is_question(text) -> Column:
 def answer_score(question, reply, stopwords: list[str] = lx.ANSWER_STOPWORDS) -> Column:
     """How much of a question shows up in a reply: words and bigrams count 3, characters 1."""
     blanks = " " * len(lx.ANSWER_PUNCTUATION)
-    q, r = [F.lower(F.translate(col(c), lx.ANSWER_PUNCTUATION, blanks)) for c in (question, reply)]
-    tight = F.replace(q, F.lit(" "), F.lit(""))
+    plain = [F.lower(F.translate(col(c), lx.ANSWER_PUNCTUATION, blanks)) for c in (question, reply)]
 
-    def hits(items: Column, extra=None) -> Column:
-        def ok(w: Column) -> Column:
-            base = (w != "") & ~w.isin(stopwords) & F.contains(r, w)
-            return base if extra is None else base & extra(w)
+    def score(q: Column, r: Column) -> Column:
+        tight = F.replace(q, F.lit(" "), F.lit(""))
 
-        return F.size(F.filter(items, ok))
+        def hits(items: Column, extra=None) -> Column:
+            def ok(w: Column) -> Column:
+                base = (w != "") & ~w.isin(stopwords) & F.contains(r, w)
+                return base if extra is None else base & extra(w)
 
-    return (
-        hits(F.split(q, r"\s+"), lambda w: F.octet_length(w) >= 3) * 3
-        + hits(char_ngrams(tight, 2)) * 3
-        + hits(char_ngrams(tight, 1))
-    ).cast("long")
+            return F.size(F.filter(items, ok))
+
+        return (
+            hits(F.split(q, r"\s+"), lambda w: F.octet_length(w) >= 3) * 3
+            + hits(char_ngrams(tight, 2)) * 3
+            + hits(char_ngrams(tight, 1))
+        ).cast("long")
+
+    # Both texts are elements of an array, so they are made once a row and not for every word looked up.
+    both = F.array(F.struct(plain[0].alias("q"), plain[1].alias("r")))
+    return F.get(F.transform(both, lambda t: score(t["q"], t["r"])), F.lit(0))
 
 
 def link_answer(questions: DataFrame, replies: DataFrame, keys: list[str], id: str = "message_id", text: str = "text") -> DataFrame:
@@ -216,20 +290,13 @@ def link_answer(questions: DataFrame, replies: DataFrame, keys: list[str], id: s
 
     ``replies`` has one row (keys, reply) per burst.
     """
-    scored = questions.join(replies, keys).withColumn("__score", answer_score(text, "reply"))
-    best = scored.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("__n"),
-        F.max_by(id, F.struct("__score", (-F.col(id)).alias("i"))).alias("answered_id"),
-        F.max("__score").alias("__top"),
-    )
-    ties = scored.join(best, keys).groupBy(*keys).agg(
-        F.count_if(F.col("__score") == F.col("__top")).alias("__ties"),
-        F.first("__n").alias("__n"),
-        F.first("__top").alias("__top"),
-        F.first("answered_id").alias("answered_id"),
+    scored = questions.join(replies, keys).select(*keys, F.col(id).alias("__id"), answer_score(text, "reply").alias("__score"))
+    of_score = scored.groupBy(*keys, "__score").agg(F.count(F.lit(1)).alias("__ties"), F.min("__id").alias("answered_id"))
+    best = of_score.groupBy(*keys).agg(
+        F.sum("__ties").alias("__n"), F.max("__score").alias("__top"), F.max_by(F.struct("__ties", "answered_id"), "__score").alias("__best")
     )
-    clear = (F.col("__n") >= 2) & (F.col("__top") >= 3) & (F.col("__ties") == 1)
-    return ties.filter(clear).select(*keys, "answered_id")
+    clear = (F.col("__n") >= 2) & (F.col("__top") >= 3) & (F.col("__best.__ties") == 1)
+    return best.filter(clear).select(*keys, "__best.answered_id")
 
 
 def quote_target(

@@ -1,7 +1,10 @@
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from colloquy.operators.memory import supersede
 from colloquy.streaming import live, state, tables
 
 SCHEMA = "chat_id long, message_id long, user_id long, ts timestamp, text string, reply_to_id long"
@@ -84,7 +87,8 @@ def test_working_memory_and_counters(spark, tmp_path):
 def test_stream_supersede(spark, tmp_path):
     df = messages(spark, 120)
     source = stream_of(spark, df, tmp_path / "in")
-    write = tables.write_batch(str(tmp_path / "out"))
+    out = str(tmp_path / "out")
+    write = tables.write_batch(out)
 
     def twice(batch, batch_id):
         write(batch, batch_id)
@@ -93,10 +97,72 @@ def test_stream_supersede(spark, tmp_path):
     query = source.writeStream.foreachBatch(twice).option("checkpointLocation", str(tmp_path / "c")).start()
     query.processAllAvailable()
     query.stop()
-    facts = tables.current_facts(spark, str(tmp_path / "out"))
-    assert facts.count() == df.filter("text like '%喜欢%'").count()
-    assert facts.filter("valid_to is null").groupBy("persona_id", "key").count().filter("count > 1").count() == 0
-    assert spark.read.parquet(str(tmp_path / "out/messages")).count() == 120
+    facts = tables.current_facts(spark, out)
+    want = supersede(tables.batch_facts(df), tables.KEYS)
+    assert as_set(facts.select(want.columns)) == as_set(want) and facts.count() == df.filter("text like '%喜欢%'").count()
+    assert as_set(tables.active_table(spark, out).select(want.columns)) == as_set(want.filter("valid_to is null"))
+    assert tables.committed_messages(spark, out).count() == 120
+
+
+def test_late_versions_and_failed_tries(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "MOST_FOLDERS", 2)
+    rnd = random.Random(4)
+    rows = [(f"i{k:03d}", f"p{rnd.randrange(4)}", rnd.choice("abc"), rnd.randrange(40), k % 7) for k in range(140)]
+    df = spark.createDataFrame(rows, "id string, persona_id string, key string, t long, batch int").withColumn("valid_from", F.timestamp_seconds("t"))
+    out = str(tmp_path / "late")
+    write = tables.write_batch(out, facts=lambda batch: batch.select("id", "persona_id", "key", "valid_from"), buckets=5)
+    real = tables._commit
+    for b in range(7):
+        part = df.filter(F.col("batch") == b)
+        if b == 3:
+            # Everything is written, then the driver is lost before the commit.
+            monkeypatch.setattr(tables, "_commit", lambda *a: 1 / 0)
+            with pytest.raises(ZeroDivisionError):
+                write(part, b)
+            monkeypatch.setattr(tables, "_commit", real)
+            assert tables.committed_messages(spark, out).count() == 60 and tables.current_facts(spark, out).count() == 60
+        write(part, b)
+        write(part, b)
+        want = supersede(df.filter(F.col("batch") <= b).select("id", "persona_id", "key", "valid_from"), tables.KEYS)
+        assert as_set(tables.current_facts(spark, out).select(want.columns)) == as_set(want)
+    write(df.filter(F.lit(False)), 7)
+    assert tables.current_facts(spark, out).count() == 140
+    assert max(map(len, tables.last_commit(spark, out)["closed"].values())) <= 3
+
+
+def test_only_touched_buckets_are_read(spark, tmp_path):
+    out = str(tmp_path / "touched")
+    write = tables.write_batch(out, facts=lambda batch: batch.select("id", "persona_id", "key", "valid_from"), buckets=8)
+    row = lambda i, p, t: spark.createDataFrame([(i, p, "k", t)], "id string, persona_id string, key string, t long").withColumn("valid_from", F.timestamp_seconds("t"))
+    everyone = spark.range(50).select(F.col("id").cast("string").alias("id"), F.concat(F.lit("p"), "id").alias("persona_id"), F.lit("k").alias("key"), F.timestamp_seconds(F.lit(0)).alias("valid_from"))
+    write(everyone, 0)
+    before = tables.last_commit(spark, out)
+    write(row("x", "p1", 9), 1)
+    after = tables.last_commit(spark, out)
+    changed = [b for b in before["active"] if before["active"][b] != after["active"][b]]
+    assert len(changed) == 1 and len(before["active"]) == 8 and tables.active_table(spark, out).count() == 50
+
+
+def test_a_run_without_a_pause_is_folded_in_parts(spark):
+    rnd = random.Random(7)
+    rows, at, k = [], 0.0, 0
+    for chat in (1, 2, 3):
+        at = 0.0
+        for _ in range(900):
+            at += rnd.choice([0.0, 0.0, 0.25, 1.0, 3.0, 3.4]) if chat < 3 else rnd.choice([0.5, 3.0, 3.5, 9.0])
+            rows.append((chat, k, at, "x"))
+            k += 1
+    df = spark.createDataFrame(rows, "chat_id long, message_id long, t double, text string").withColumn("ts", F.timestamp_micros((F.col("t") * 1e6).cast("long")))
+    want = {}
+    for chat in (1, 2, 3):
+        own = [r for r in rows if r[0] == chat]
+        micros = np.array([int(r[2] * 1e6) for r in own])
+        starts = live.cut_bursts(micros, np.zeros(len(own), bool), live.WINDOW_SECONDS, live.CAP_SECONDS)
+        want |= {r[1]: own[s][1] for r, s in zip(own, starts)}
+    for part in (None, 18.0, 40.0):
+        got = {r.message_id: r.burst_id for r in live.burst_starts(df, part=part).collect()}
+        assert got == want
+    assert live.burst_starts(df.filter(F.lit(False))).count() == 0
 
 
 def test_pseudonym_is_hmac(spark):
