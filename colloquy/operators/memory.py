@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from colloquy import lexicons as lx
 from colloquy.functions.text import char_ngrams, col, has, trim
-from colloquy.plans.ordered import scan, top_k
+from colloquy.plans.ordered import CUT, cut_chunks, scan, top_k
 
 TOP = {"L1": 5, "L2": 10}
 HALF_LIFE_DAYS = 30.0
@@ -85,9 +85,8 @@ def supersede(
     versions: DataFrame, keys: list[str], valid_from: str = "valid_from", id: str = "id", width: int | None = None
 ) -> DataFrame:
     """Set ``valid_to`` of every version to the start of the next one with the same keys."""
-    return scan(
-        versions.drop("valid_to"), keys, [valid_from, id], width=width, lead={"valid_to": F.col(valid_from)}
-    )
+    cut = cut_chunks(versions.drop("valid_to"), keys, [valid_from, id], width)
+    return scan(cut, keys, [valid_from, id], chunk=F.col(CUT), lead={"valid_to": F.col(valid_from)}).drop(CUT)
 
 
 def supersede_active(active: DataFrame, arrivals: DataFrame, keys: list[str], valid_from: str = "valid_from", id: str = "id") -> DataFrame:

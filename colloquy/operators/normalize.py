@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions.clean import clean_sender, detect_media_type, is_system_sender, sanitize_message
 from colloquy.functions.text import col, has, trim
-from colloquy.plans.ordered import scan
+from colloquy.plans.ordered import CUT, cut_chunks, scan
 
 SESSION_GAP_SECONDS = 25 * 60
 
@@ -83,7 +83,8 @@ def normalize_messages(raw: DataFrame, chat: str = "chat_id", order: str = "line
 
 def order_messages(messages: DataFrame, chat: str = "chat_id", ts: str = "ts", order: str = "line_no") -> DataFrame:
     """Add ``seq``: 1-based position per chat by time, input order on ties."""
-    return scan(messages, [chat], [ts, order], number="seq")
+    cut = cut_chunks(messages, [chat], [ts, order])
+    return scan(cut, [chat], [ts, order], chunk=F.col(CUT), number="seq").drop(CUT)
 
 
 def speaker_counts(messages: DataFrame, chat: str = "chat_id", sender: str = "sender") -> DataFrame:
@@ -146,12 +147,13 @@ def sessionize(
     Rows without a time come first and never open a session, unless they open the chat.
     """
     stamp = F.unix_micros(F.col(ts).cast("timestamp"))
-    gaps = scan(messages, [chat], [ts, tie], width=width, lag={"__prev": stamp, "__had": F.lit(True)})
+    cut = cut_chunks(messages, [chat], [ts, tie], width)
+    gaps = scan(cut, [chat], [ts, tie], chunk=F.col(CUT), lag={"__prev": stamp, "__had": F.lit(True)})
     far = F.coalesce((stamp - F.col("__prev")) > F.lit(int(gap_seconds * 1_000_000)), F.lit(False))
     opens = F.when(F.col("__had").isNull() | far, 1).otherwise(0)
     return scan(
-        gaps.withColumn("__open", opens), [chat], [ts, tie], width=width, running={"session_no": F.col("__open")}
-    ).drop("__prev", "__had", "__open")
+        gaps.withColumn("__open", opens), [chat], [ts, tie], chunk=F.col(CUT), running={"session_no": F.col("__open")}
+    ).drop("__prev", "__had", "__open", CUT)
 
 
 def session_rollup(

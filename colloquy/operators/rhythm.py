@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions.numbers import beta_mean, sample_confidence
 from colloquy.functions.text import clamp
-from colloquy.plans.ordered import scan
+from colloquy.plans.ordered import CUT, cut_chunks, scan
 
 MINUTE = 60_000
 MAX_LATENCY = 30 * MINUTE
@@ -31,10 +31,11 @@ def reply_gaps(
     """Add ``gap_ms`` and ``prev_is_target`` of the message before, null on the first of a chat."""
     # Milliseconds, as chat exports and live messages carry them.
     stamp = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / 1000).cast("long")
+    cut = cut_chunks(messages, [chat], [ts, tie], width)
     seen = scan(
-        messages, [chat], [ts, tie], width=width, lag={"__prev_ms": stamp, "prev_is_target": F.col("is_target")}
+        cut, [chat], [ts, tie], chunk=F.col(CUT), lag={"__prev_ms": stamp, "prev_is_target": F.col("is_target")}
     )
-    return seen.withColumn("gap_ms", stamp - F.col("__prev_ms")).drop("__prev_ms")
+    return seen.withColumn("gap_ms", stamp - F.col("__prev_ms")).drop("__prev_ms", CUT)
 
 
 def reply_latency(gaps: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ chat into one task.  Here every group is cut into chunks by its order column, so
 a task only ever sees one chunk; what has to cross a chunk border (row count,
 last row, sums) is a small aggregate with one row per chunk, scanned per group
 and joined back.  Windows, aggregate and join all use one partitioning by group
-and chunk, so the rows are read and shuffled once (see ``_dealt``).
+and chunk, so the rows are read and shuffled once (see ``_dealt``).  Chunks of a
+time column are days; where a day is too busy for one task, ``cut_chunks`` cuts it.
 """
 
 from __future__ import annotations
@@ -14,13 +15,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from colloquy.plans import lineage
+
 CHUNK = "__chunk"
+CUT = "__cut"
 ROWS_PER_CHUNK = 100_000
 SECONDS_PER_CHUNK = 86_400
+#: Parts that a busy chunk is cut into.
+QUANTILES = 1024
 
 
-def chunk_of(df: DataFrame, order: str, width: int | None = None) -> Column:
-    """Chunk number of an integer or time column; nulls form the first chunk.
+def chunk_of(df: DataFrame, order: str, width: int | None = None, tie: str | None = None) -> Column:
+    """Chunk number of an integer or time column; nulls come first, cut by ``tie`` if that is an integer.
 
     ``width`` counts units of an integer column, or seconds of a time column.
     """
@@ -31,7 +37,59 @@ def chunk_of(df: DataFrame, order: str, width: int | None = None) -> Column:
         value = F.unix_micros(F.col(order).cast("timestamp"))
     else:
         size, value = int(width or ROWS_PER_CHUNK), F.col(order).cast("long")
-    return F.coalesce(F.floor(value / F.lit(size)).cast("long"), F.lit(-(2**62)))
+    none = F.lit(-(2**62))
+    if tie is not None and _whole(df, tie):
+        none = none + F.coalesce(F.floor(F.col(tie) / F.lit(ROWS_PER_CHUNK)).cast("long"), F.lit(-(2**61)))
+    return F.coalesce(F.floor(value / F.lit(size)).cast("long"), none)
+
+
+def _whole(df: DataFrame, column: str) -> bool:
+    return isinstance(df.schema[column].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
+
+
+def _not_above(borders: Column, value: Column, most: int) -> Column:
+    """How many of the sorted borders (``most`` at most) are not above the value, by binary search."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(most.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get(borders, at + s - 1) <= value, at + s).otherwise(at))
+
+
+def _borders(values: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Sorted quantiles of a whole-number column per group; one that fills several quantiles gets a part of its own."""
+    quantiles = F.percentile_approx(value, [k / QUANTILES for k in range(1, QUANTILES)], 10 * QUANTILES)
+    often = F.filter("q", lambda x, i: (i > 0) & (x == F.get("q", i - 1)))
+    cut = F.array_sort(F.array_distinct(F.concat("q", F.transform(often, lambda x: x + 1))))
+    return values.groupBy(*by).agg(quantiles.alias("q")).select(*by, cut.alias("__borders"))
+
+
+def cut_chunks(df: DataFrame, keys: list[str], order: list[str], width: int | None = None, rows: int | None = None) -> DataFrame:
+    """Add ``CUT``, the chunk of each row for ``scan(chunk=F.col(CUT))``, with busy chunks cut at quantiles.
+
+    Chunks of more than ``rows`` rows (a chat with one busy day) are found by a count when this is called.  They are cut
+    where a quantile sketch of the first order column says so, and where a single value is what fills them, at
+    quantiles of the second, if that is an integer.  If there are none, the plan is that of plain chunks.
+    """
+    limit = rows or ROWS_PER_CHUNK
+    marked = df.withColumn(CUT, chunk_of(df, order[0], width, order[1] if len(order) > 1 else None))
+    by = [*keys, CUT]
+    busy = marked.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit)
+    if busy.isEmpty():
+        return marked
+    kind = df.schema[order[0]].dataType
+    timed = isinstance(kind, (T.TimestampType, T.TimestampNTZType))
+    value = F.unix_micros(F.col(order[0]).cast("timestamp")) if timed else F.col(order[0]).cast("long")
+    values = marked.select(*by, value.alias("__value"), *([F.col(order[1]).cast("long").alias("__tie")] if len(order) > 1 and _whole(df, order[1]) else []))
+    first = lineage.cut(_borders(values.join(busy.select(*by), by, "left_semi"), by, "__value"))
+    part = F.coalesce(_not_above(F.col("__borders"), F.col("__value"), 2 * QUANTILES), F.lit(0))
+    out = marked.withColumn("__value", value).join(first, by, "left").withColumn("__part", part).drop("__borders")
+    tie = F.lit(0)
+    if "__tie" in values.columns:
+        parted = values.join(first, by).withColumn("__part", part)
+        full = parted.groupBy(*by, "__part").agg(F.count(F.lit(1)).alias("__n"), F.count_distinct("__value").alias("__values"))
+        full = full.filter((F.col("__n") > limit) & (F.col("__values") <= 1)).select(*by, "__part")
+        second = lineage.cut(_borders(parted.drop("__borders").join(full, [*by, "__part"], "left_semi"), [*by, "__part"], "__tie"))
+        out = out.join(second, [*by, "__part"], "left")
+        tie = F.coalesce(_not_above(F.col("__borders"), F.col(order[1]).cast("long"), 2 * QUANTILES), F.lit(0))
+    return out.select(*df.columns, F.struct(F.col(CUT).alias("a"), F.col("__part").alias("b"), tie.alias("c")).alias(CUT))
 
 
 def _dealt(df: DataFrame, by: list[str], chunk: Column) -> DataFrame:
@@ -74,7 +132,7 @@ def scan(
     """
     lag, lead, running, last_seen = lag or {}, lead or {}, running or {}, last_seen or {}
     by = [*keys, CHUNK]
-    base = _dealt(df, by, chunk if chunk is not None else chunk_of(df, order[0], width))
+    base = _dealt(df, by, chunk if chunk is not None else chunk_of(df, order[0], width, order[1] if len(order) > 1 else None))
     where = F.struct(*[F.col(c) for c in order])
     local = Window.partitionBy(*by).orderBy(*order)
     upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -147,7 +205,7 @@ def preceding(
 ) -> DataFrame:
     """Add an array with ``item`` of up to ``size`` rows before each row, oldest first."""
     by = [*keys, CHUNK]
-    base = _dealt(df, by, chunk_of(df, order[0], width))
+    base = _dealt(df, by, chunk_of(df, order[0], width, order[1] if len(order) > 1 else None))
     local = Window.partitionBy(*by).orderBy(*order)
     newest = Window.partitionBy(*by).orderBy(*[F.col(c).desc_nulls_last() for c in order])
     # The last rows of every chunk.

@@ -20,7 +20,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from colloquy import lexicons as lx
 from colloquy.functions.text import char_ngrams, col, has, trim
 from colloquy.plans import lineage
-from colloquy.plans.ordered import scan
+from colloquy.plans.ordered import CUT, cut_chunks, scan
 
 # Executors need not have this package installed: its functions travel with the task.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -67,14 +67,15 @@ def burst_starts(
     """
     stamp = F.unix_micros(F.col(ts).cast("timestamp"))
     marked = messages.withColumns({"__micros": stamp, "__cmd": F.lit(False) if command is None else command})
+    marked = cut_chunks(marked, [chat], [ts, id], width)
     seen = scan(
-        marked, [chat], [ts, id], width=width,
+        marked, [chat], [ts, id], chunk=F.col(CUT),
         lag={"__prev": F.col("__micros"), "__prev_cmd": F.col("__cmd")},
     )
     pause = F.col("__micros") - F.col("__prev") >= F.lit(int(window * 1_000_000))
     opens = F.col("__prev").isNull() | pause | F.col("__prev_cmd") | F.col("__cmd")
     runs = scan(
-        seen.withColumn("__open", opens.cast("int")), [chat], [ts, id], width=width, running={"__run": F.col("__open")}
+        seen.withColumn("__open", opens.cast("int")), [chat], [ts, id], chunk=F.col(CUT), running={"__run": F.col("__open")}
     ).filter(~F.col("__cmd"))
     # Runs shorter than the cap are bursts as they are; only the others are folded.
     ends = runs.groupBy(chat, "__run").agg(

@@ -1,10 +1,13 @@
 """Plans read their source once, however many ordered scans are chained."""
 
+import random
 import re
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from colloquy.operators import normalize, turns
+from colloquy.operators import memory, normalize, turns
+from colloquy.plans import ordered
 from colloquy.sources import transcripts
 
 
@@ -39,3 +42,26 @@ def test_lines_are_read_once(spark, tmp_path):
     out.collect()
     plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert len(re.findall(r"FileScan", plan)) <= 2
+
+
+def test_busy_chunks_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "ROWS_PER_CHUNK", 50)
+    monkeypatch.setattr(ordered, "QUANTILES", 64)
+    rnd = random.Random(2)
+    day = 86_400
+    rows = [(1, k, float(rnd.randrange(3 * day)) if k % 9 == 0 else day + rnd.random() * 600) for k in range(1200)]  # one busy day
+    rows += [(2, k, None) for k in range(700)]  # no times at all
+    rows += [(3, k, float(7 if k % 3 else rnd.randrange(20))) for k in range(900)]  # one busy instant
+    rows += [(None, k, float(k)) for k in range(10)]
+    df = spark.createDataFrame(rows, "chat_id long, line_no long, t double").withColumn("ts", F.timestamp_micros((F.col("t") * 1e6).cast("long")))
+    cut = ordered.cut_chunks(df, ["chat_id"], ["ts", "line_no"])
+    sizes = [r["count"] for r in cut.groupBy("chat_id", ordered.CUT).count().collect()]
+    assert max(sizes) <= 100 and sum(sizes) == len(rows)  # quantiles are approximate
+    place = Window.partitionBy("chat_id").orderBy("ts", "line_no")
+    want = {(r.chat_id, r.line_no): r.n for r in df.filter("chat_id is not null").select("*", F.row_number().over(place).alias("n")).collect()}
+    got = {(r.chat_id, r.line_no): r.seq for r in normalize.order_messages(df).filter("chat_id is not null").collect()}
+    assert got == want
+    lead = F.lead("ts").over(place)
+    want = {(r.chat_id, r.line_no): r.n for r in df.filter("chat_id is not null").select("*", lead.alias("n")).collect()}
+    closed = memory.supersede(df.withColumnRenamed("line_no", "id"), ["chat_id"], "ts").filter("chat_id is not null")
+    assert {(r.chat_id, r.id): r.valid_to for r in closed.collect()} == want
