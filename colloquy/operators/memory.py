@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy import lexicons as lx
@@ -16,6 +16,8 @@ from colloquy.plans.ordered import CUT, cut_chunks, scan, top_k
 
 TOP = {"L1": 5, "L2": 10}
 HALF_LIFE_DAYS = 30.0
+#: Buckets of standing a posting list is read in.
+BUCKETS = 64
 MEMORY_JSON = "struct<memories:array<struct<category:string,key:string,value:string,importance_score:double,confidence:double>>>"
 
 
@@ -149,33 +151,56 @@ def memory_score(query, now: Column) -> Column:
     return lexical_relevance(query, "value") * 0.40 + _standing(now)
 
 
-def retrieve_topk(queries: DataFrame, memories: DataFrame, now: Column) -> DataFrame:
-    """Best episodes and active facts for each query (query_id, persona_id, query) at one time.
+def _bucket(standing: Column) -> Column:
+    """Coarse standing; all below 0 and all above the highest share the end buckets."""
+    return F.least(F.greatest(F.floor(standing * BUCKETS), F.lit(0)), F.lit(BUCKETS - 1)).cast("int")
+
+
+def candidate_pairs(queries: DataFrame, usable: DataFrame, now: Column) -> DataFrame:
+    """(query_id, persona_id, layer, id): pairs among which the best of every list are.
 
-    A list can only hold memories that contain a word of the query, or the persona's best ones
-    regardless of the query.  The former are found through the first three characters of each word
-    among the character n-grams of the values, so queries never meet all memories of a persona.
+    The score is the share of a query's words that a memory holds, plus its standing.  The memories of best standing are
+    scored first; the last place they give is the score to beat.  A query's words are put in order, common ones first.
+    A memory whose last word in that order is the j-th holds at most j of them; so the j-th word's postings are needed
+    only down to the standing at which j words still reach the score to beat.  Postings lie in buckets of standing, so
+    those below are not read, however long the list of a common word is.
     """
-    usable = memories.filter((F.col("layer") == "L1") | ((F.col("layer") == "L2") & F.col("valid_to").isNull()))
+    usable = usable.withColumn("standing", _standing(now))
     asked = queries.select("query_id", "persona_id", "query")
-    best = top_k(usable, ["persona_id", "layer"], [_standing(now).desc(), F.col("id")], max(TOP.values())).drop("rank")
-    words = F.filter(F.split(F.lower("query"), r"\s+"), lambda w: F.octet_length(w) > 1)
-    probes = asked.select("query_id", "persona_id", F.explode(F.array_distinct(words)).alias("word"))
-    probes = probes.withColumn("head", F.substring("word", 1, 3))
+    best = top_k(usable, ["persona_id", "layer"], [F.col("standing").desc(), F.col("id")], max(TOP.values())).drop("rank")
+    seen = asked.join(best, "persona_id").withColumn("score", lexical_relevance("query", "value") * 0.40 + F.col("standing"))
+    limit = F.when(F.col("layer") == "L1", TOP["L1"]).otherwise(TOP["L2"])
+    last = top_k(seen, ["query_id", "layer"], [F.col("score").desc(), F.col("id")], max(TOP.values())).filter(F.col("rank") == limit)
+    # A persona with fewer memories has all of them among the best.
+    beat = last.select("query_id", "layer", F.col("score").alias("beat"))
+
+    words = F.filter(F.split(F.lower("query"), r"\s+"), lambda w: w != "")
+    probes = asked.select("query_id", "persona_id", F.size(words).alias("n"), F.explode(F.filter(words, lambda w: F.octet_length(w) > 1)).alias("word"))
+    probes = probes.groupBy("query_id", "persona_id", "n", "word").agg(F.count(F.lit(1)).alias("times")).withColumn("head", F.substring("word", 1, 3))
     text = F.lower("value")
-    heads = F.array_distinct(F.concat(*[char_ngrams(text, n) for n in (1, 2, 3)]))
-    index = usable.select("persona_id", "id", text.alias("text"), F.explode(heads).alias("head"))
-    named = (
-        index.join(probes, ["persona_id", "head"])
-        .filter(F.contains("text", F.col("word")))
-        .select("query_id", "persona_id", "id")
-        .distinct()
+    heads = F.array_distinct(F.concat(*[char_ngrams(text, k) for k in (1, 2, 3)]))
+    index = usable.select("persona_id", "layer", "id", "standing", _bucket(F.col("standing")).alias("bucket"), text.alias("text"), F.explode(heads).alias("head"))
+    wanted = probes.select("persona_id", "head").distinct()
+    index = index.join(wanted, ["persona_id", "head"], "left_semi")
+    held = index.groupBy("persona_id", "head").agg(F.count(F.lit(1)).alias("held"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("held"), "word")
+    most = F.sum("times").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = probes.join(held, ["persona_id", "head"]).withColumn("most", most).join(beat, "query_id")
+    least = F.col("beat") - F.col("most") / F.col("n") * 0.40 - 1e-9
+    reach = placed.withColumn("least", least).select(
+        "query_id", "persona_id", "layer", "head", "word", "least", F.explode(F.sequence(_bucket(F.col("least")), F.lit(BUCKETS - 1))).alias("bucket")
     )
-    pairs = named.union(
-        asked.join(best.select("persona_id", "id"), "persona_id").select("query_id", "persona_id", "id")
-    ).distinct()
+    named = index.join(reach, ["persona_id", "layer", "head", "bucket"]).filter((F.col("standing") >= F.col("least")) & F.contains("text", F.col("word")))
+    keys = ["query_id", "persona_id", "layer", "id"]
+    return named.select(*keys).union(seen.select(*keys)).distinct()
+
+
+def retrieve_topk(queries: DataFrame, memories: DataFrame, now: Column) -> DataFrame:
+    """Best episodes and active facts for each query (query_id, persona_id, query) at one time."""
+    usable = memories.filter((F.col("layer") == "L1") | ((F.col("layer") == "L2") & F.col("valid_to").isNull()))
     scored = (
-        pairs.join(asked.select("query_id", "query"), "query_id")
+        candidate_pairs(queries, usable, now).drop("layer")
+        .join(queries.select("query_id", "query"), "query_id")
         .join(usable, ["persona_id", "id"])
         .withColumn("score", memory_score("query", now))
     )

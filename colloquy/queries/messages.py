@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from colloquy.frames import CHAT, CONVERSATIONS, SQL_SPLIT, chat, conversations, events, sql_events, sql_trim, sql_turns, table
 from colloquy.functions import clean
 from colloquy.operators import leakage, normalize, turns
-from colloquy.plans import lineage
+from colloquy.plans import lineage, ordered
 from colloquy.registry import query
 from colloquy.sources import sinks, transcripts
 
@@ -454,3 +454,24 @@ def exported_memories(spark, sf):
     folder = lineage.scratch(spark)
     sinks.export_memories(rows, folder)
     return spark.read.schema(rows.schema).json(folder)
+
+
+@query(
+    """SELECT 'tg_' || conv_id || '_' || turn AS id, role AS sender, text AS content, row_number() OVER (ORDER BY conv_id, turn) - 1 AS line_no
+FROM conversations WHERE text <> '' QUALIFY turn % 5 <> 4"""
+)
+def large_json_export(spark, sf):
+    """All conversations as one export object in one file, read in pieces as if it were too large to be parsed whole."""
+    t = table(spark, sf, "conversations").filter("text <> ''")
+    item = F.struct(
+        F.concat_ws("_", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.lit("2024-05-14T10:22:00").alias("date"),
+        F.when(F.col("turn") % 5 == 4, "service").otherwise("message").alias("type"), F.col("role").alias("from"), F.col("text").alias("text"),
+        F.struct(F.array(F.lit('} "{')).alias("]")).alias("other"),
+    )
+    numbered = ordered.scan(t.select("conv_id", "turn", F.to_json(item).alias("value")).withColumn("all", F.lit(1)), ["all"], ["conv_id", "turn"], number="n", width=1000)
+    line = F.concat(F.when(F.col("n") == 1, F.lit('{"name": "{all", "made": {"by": [{"a": "]"}]}, "messages": [')).otherwise(F.lit(",")), "value")
+    ends = spark.createDataFrame([(2**62, '], "after": [{"type": "message"}]}')], "n long, value string")
+    folder = lineage.scratch(spark)
+    numbered.select("n", line.alias("value")).unionByName(ends).orderBy("n").select("value").coalesce(1).write.text(folder)
+    out = transcripts.read_chat_export_json(spark, folder, whole_bytes=0)
+    return out.select("id", "sender", "content", "line_no")

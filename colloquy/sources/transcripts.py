@@ -23,6 +23,7 @@ from colloquy.functions import clean
 from colloquy.functions.text import has, trim
 from colloquy.operators.normalize import parse_timestamp
 from colloquy.plans.ordered import scan
+from colloquy.sources.json_pieces import elements, large_files, read_pieces
 
 # Executors need not have this package installed: its functions travel with the task.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -174,9 +175,15 @@ def _not_noise(text: Column) -> Column:
 
 def export_messages(documents: DataFrame) -> DataFrame:
     """(chat_id, v variant) of chat export objects -> messages."""
-    items = documents.select(
-        "chat_id", F.posexplode(F.try_variant_get("v", "$.messages", "array<variant>")).alias("line_no", "m")
-    )
+    return _export_rows(_export_items(documents))
+
+
+def _export_items(documents: DataFrame) -> DataFrame:
+    items = F.posexplode(F.try_variant_get("v", "$.messages", "array<variant>")).alias("line_no", "m")
+    return documents.select("chat_id", items).withColumn("line_no", F.col("line_no").cast("long"))
+
+
+def _export_rows(items: DataFrame) -> DataFrame:
     m = F.col("m")
     parts = F.try_variant_get(m, "$.text", "array<variant>")
     joined = F.array_join(
@@ -237,24 +244,29 @@ def row_messages(rows: DataFrame) -> DataFrame:
     return out.filter(_not_noise(F.col("content")))
 
 
-# A JSON document beyond this size does not fit the type it is parsed to.
+# A JSON document beyond this size does not fit the type it is parsed to, and is read in pieces.
 MAX_JSON_BYTES = 128 * 1024 * 1024
 
 
-def _parsed(value: Column) -> Column:
-    """The JSON value of a document, null if it is none; one that is too large to be read is an error, not an empty file."""
-    v = F.try_parse_json(value)
-    size = F.octet_length(value)
-    why = F.concat(F.lit("a JSON document of "), size.cast("string"), F.lit(" bytes is too large; split it or write it as JSON lines"))
-    return F.when(v.isNull() & (size >= MAX_JSON_BYTES), F.raise_error(why).cast("variant")).otherwise(v)
+def _documents(spark: SparkSession, path: str | list[str], whole_bytes: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """((chat_id, v) of the JSON documents that are parsed whole, (chat_id, name, line_no, m) of those that are too large)."""
+    limit = MAX_JSON_BYTES if whole_bytes is None else whole_bytes
+    whole = spark.read.text(path, wholetext=True).filter(F.col("_metadata.file_size") < limit)
+    docs = whole.select(F.col("_metadata.file_path").alias("chat_id"), F.try_parse_json("value").alias("v"))
+    large = large_files(spark, path, limit)
+    return docs, elements(read_pieces(spark, large)) if large else None
 
 
-def read_chat_export_json(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Export objects; a JSON document cannot be split, so one file is one row."""
-    docs = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("chat_id"), _parsed(F.col("value")).alias("v")
-    )
-    return export_messages(docs)
+def read_chat_export_json(spark: SparkSession, path: str | list[str], whole_bytes: int | None = None) -> DataFrame:
+    """Export objects, one per file; files of ``whole_bytes`` (128 MiB) and more are read in pieces by many tasks."""
+    docs, large = _documents(spark, path, whole_bytes)
+    items = _export_items(docs)
+    return _export_rows(items if large is None else items.unionByName(_large_export(large)))
+
+
+def _large_export(large: DataFrame) -> DataFrame:
+    # A file that is an error has a row without a name, which raises when it is read.
+    return large.filter("name in ('messages', '')").drop("name")
 
 
 def json_lines(lines: DataFrame) -> DataFrame:
@@ -265,14 +277,21 @@ def json_lines(lines: DataFrame) -> DataFrame:
     return numbered.select("chat_id", (F.col("n") - 1).alias("line_no"), F.try_parse_json("j").alias("m"))
 
 
-def read_chat_json_rows(spark: SparkSession, path: str | list[str], lines: bool = False) -> DataFrame:
-    """An array, ``{data: [...]}`` or ``{history: [...]}`` per file; with ``lines`` one object per line."""
+def read_chat_json_rows(spark: SparkSession, path: str | list[str], lines: bool = False, whole_bytes: int | None = None) -> DataFrame:
+    """An array, ``{data: [...]}`` or ``{history: [...]}`` per file, large ones in pieces; with ``lines`` one object per line."""
     if lines:
         return row_messages(json_lines(read_lines(spark, path)))
-    docs = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("chat_id"), _parsed(F.col("value")).alias("v")
-    )
-    return row_messages(_array_rows(docs))
+    docs, large = _documents(spark, path, whole_bytes)
+    items = _array_rows(docs)
+    return row_messages(items if large is None else items.unionByName(_large_rows(large)))
+
+
+def _large_rows(large: DataFrame) -> DataFrame:
+    """The rows of the first of the arrays known that a document has."""
+    place = F.array_position(F.array(F.lit("$"), F.lit("data"), F.lit("history")), F.col("name"))
+    known = large.withColumn("__place", place).filter("__place > 0 or name = ''")
+    first = known.groupBy("chat_id").agg(F.min("__place").alias("__place"))
+    return known.join(first, ["chat_id", "__place"]).select("chat_id", "line_no", "m")
 
 
 def _array_rows(docs: DataFrame) -> DataFrame:
@@ -416,10 +435,13 @@ def read_transcripts(spark: SparkSession, folder: str) -> DataFrame:
 
     lines = read_lines(spark, folder)
     whole = spark.read.option("pathGlobFilter", "*.{[jJ][sS][oO][nN],[hH][tT][mM][lL],[hH][tT][mM]}").text(folder, wholetext=True).select(
-        F.col("_metadata.file_path").alias("chat_id"), "value"
+        F.col("_metadata.file_path").alias("chat_id"), F.col("_metadata.file_size").alias("size"), "value"
     )
-    docs = files(whole, "json").withColumn("v", _parsed(F.col("value")))
-    pages = files(whole, "html?").select(F.col("chat_id").alias("page"), F.col("value").alias("html"))
+    documents = files(whole, "json").filter(F.col("size") < MAX_JSON_BYTES).drop("size")
+    docs = documents.withColumn("v", F.try_parse_json("value"))
+    too_large = [f for f in large_files(spark, folder, MAX_JSON_BYTES) if f.lower().endswith(".json")]
+    large = elements(read_pieces(spark, too_large)) if too_large else None
+    pages = files(whole.drop("size"), "html?").select(F.col("chat_id").alias("page"), F.col("value").alias("html"))
     known = "json|jsonl|html?|md|txt|csv|log"
     other = files(lines, known, other=True)
     # Files of unknown kind that start like JSON may be one document.
@@ -427,13 +449,17 @@ def read_transcripts(spark: SparkSession, folder: str) -> DataFrame:
     holds = F.coalesce(*[F.try_variant_get("v", p, "array<variant>") for p in ("$", "$.messages", "$.data", "$.history")]).isNotNull()
     names = [r.chat_id for r in first.filter(F.substring("l", 1, 1).isin("{", "[")).select("chat_id").collect()]
     if names:
-        odd = spark.read.text([unquote(n) for n in names], wholetext=True).select(F.col("_metadata.file_path").alias("chat_id"), "value").withColumn("v", _parsed(F.col("value")))
+        odd = spark.read.text([unquote(n) for n in names], wholetext=True).select(F.col("_metadata.file_path").alias("chat_id"), "value").withColumn("v", F.try_parse_json("value"))
         odd = odd.filter(holds)
         docs = docs.unionByName(odd)
         other = other.join(odd.select("chat_id"), "chat_id", "left_anti")
     markdown = files(lines, "md").unionByName(other)
     # A .json file may hold rows, of which the parser takes the first for the document.
-    rows_only = files(lines, "json").join(docs.filter(F.col("v").isNull() | ~holds).select("chat_id"), "chat_id", "left_semi")
+    no_document = docs.filter(F.col("v").isNull() | ~holds).select("chat_id")
+    if large is not None:
+        names = spark.read.format("binaryFile").load(folder).filter(F.col("length") >= MAX_JSON_BYTES).select(F.col("_metadata.file_path").alias("chat_id"))
+        no_document = no_document.unionByName(names.join(large.filter("name <> ''").select("chat_id").distinct(), "chat_id", "left_anti"))
+    rows_only = files(lines, "json").join(no_document, "chat_id", "left_semi")
     said = F.coalesce(*[F.try_variant_get("m", f"$.{n}", "variant") for n in ("content", "text", "message", "body")]).isNotNull()
     from_json_lines = row_messages(
         json_lines(files(lines, "jsonl").unionByName(other)).unionByName(json_lines(rows_only).filter(said))
@@ -443,6 +469,8 @@ def read_transcripts(spark: SparkSession, folder: str) -> DataFrame:
     as_text = files(lines, "txt|csv|log").unionByName(
         rest.join(from_markdown.select("chat_id").distinct(), "chat_id", "left_anti")
     )
+    if large is not None:
+        from_json_lines = from_json_lines.unionByName(_export_rows(_large_export(large))).unionByName(row_messages(_large_rows(large)))
     parts = [
         text_messages(as_text),
         from_markdown,
