@@ -115,9 +115,15 @@ def count_phrases(data: np.ndarray, offsets: np.ndarray, tables: list[np.ndarray
 
 
 def references(docs: DataFrame, folds: int = FOLDS) -> dict[str, list[bytes]]:
-    """Bounded reference texts by language, from labelled documents outside the held-out fold."""
-    rows = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"), folds)).select(
-        F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("h"), "doc_id", F.substring(text_of(), 1, SAMPLE_CHARS).alias("text"),
+    """Bounded reference texts by language, from labelled documents outside the held-out fold.
+
+    Each document lends ``SAMPLE_CHARS`` characters from a hashed place of its whole text, so openings that many
+    documents share do not fill the references.
+    """
+    labelled = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"), folds)).withColumn("text", text_of())
+    place = F.pmod(F.xxhash64(F.lit("place"), "doc_id", F.length("text")), F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1))).cast("int") + 1
+    rows = labelled.select(
+        F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("h"), "doc_id", F.substring(F.col("text"), place, F.lit(SAMPLE_CHARS)).alias("text"),
     )
     rows = rows.withColumn("text", letters(F.col("text"))).filter(F.length("text") > 1)
     first = Window.partitionBy("lang").orderBy("h", "doc_id", "text")

@@ -103,7 +103,7 @@ _PATTERNS = [_EITHER + secret_scan.KINDS[0][1].partition("key)")[2].replace("'",
     """
 )
 def op6_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    found = secret_scan.scan(table(spark, sf_dir, "documents")).drop("row_key")
     return found.withColumn("base_spans", F.sha2("base_spans", 256)).withColumnRenamed("base_spans", "base_sha256")
 
 

@@ -79,11 +79,12 @@ def scan(
     docs: DataFrame, repository: str = "doc_id", owner: str = "source",
     max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES,
 ) -> DataFrame:
-    """One row per document: doc_id, n_assign, n_access, n_hex, base_spans, spans, n_live, n_copied.
+    """One row per document: doc_id, row_key, n_assign, n_access, n_hex, base_spans, spans, n_live, n_copied.
 
     spans: kind:start:end by start, then kind, comma-joined; n_live and n_copied count the reported spans whose
     secret is owner-specific or not.  Null text is empty and has none; a null doc_id stays null; repeated rows
-    have one result each; columns other than doc_id, text, repository and owner are ignored.
+    have one result each; columns other than doc_id, text, repository and owner are ignored.  row_key is a hash of id
+    and text, by which ``redact`` tells rows of one id apart.
     """
     found = candidates(docs, repository, owner)
     counts = ownership(found).select("secret", ((F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_repositories)).alias("live"))
@@ -109,13 +110,18 @@ def scan(
     joined = rows.join(found_rows, (F.col("row_key") == F.col("hit_key")) & F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
     empty = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
-    return joined.select("doc_id", zero("n_assign"), zero("n_access"), zero("n_hex"), empty("base_spans"), empty("spans"), zero("n_live"), zero("n_copied"))
+    return joined.select("doc_id", "row_key", zero("n_assign"), zero("n_access"), zero("n_hex"), empty("base_spans"), empty("spans"), zero("n_live"), zero("n_copied"))
 
 
 def redact(docs: DataFrame, spans: DataFrame, mask: str = "[secret]") -> DataFrame:
-    """The documents with the reported spans of ``scan`` masked, other columns as they are."""
-    marks = spans.filter(F.col("spans") != "").select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans")).distinct()
-    joined = docs.join(marks, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    """The documents with the reported spans of their ``scan`` masked, other columns as they are; one row out per row in.
+
+    A row is known by its id and text, so texts that share an id, or have none, keep their own spans, and repeated rows
+    are all masked alike.  A span that begins inside the one before gives no mask of its own.  A null text stays null.
+    """
+    found = spans.filter(F.col("spans") != "").select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key"), F.col("spans").alias("__spans"))
+    marks = found.dropDuplicates(["__id", "__key"])
+    joined = docs.join(marks, (_row_key(docs) == F.col("__key")) & docs["doc_id"].eqNullSafe(F.col("__id")), "left")
     parsed = F.array_sort(F.transform(F.split("__spans", ","), lambda s: F.struct(
         F.split(s, ":")[1].cast("int").alias("start"), F.split(s, ":")[2].cast("int").alias("end"))))
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))

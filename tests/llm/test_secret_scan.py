@@ -38,3 +38,13 @@ def test_scan(spark):
     masked = {r.doc_id: r.text for r in secret_scan.redact(docs, secret_scan.scan(docs)).collect()}
     assert masked[6] == "key [secret] here" and masked[1] is None and masked[3] == "é😀 [secret]' and Token:token:abcdefg"
     assert secret_scan.scan(docs.filter(F.lit(False))).count() == 0
+
+
+def test_redact_with_many_texts_under_one_id(spark):
+    texts = ["password=hunter2222 tail", "nothing secret at all", "see token: abcdefgh and secret=zyxwvuts", "", None, "password=hunter2222 tail"]
+    rows = [(i, t, k) for i in (1, 1, None, None, 2) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame([(i, "a", t, k, "s") for i, t, k in rows], "doc_id long, source string, text string, n int, spans string")
+    want = {0: "[secret] tail", 1: texts[1], 2: "see [secret] and [secret]", 3: "", 4: None, 5: "[secret] tail"}
+    got = secret_scan.redact(docs, secret_scan.scan(docs)).collect()
+    assert sorted((str(r.doc_id), r.n, str(r.text)) for r in got) == sorted((str(i), k, str(want[k])) for i, _, k in rows)
+    assert got[0].spans == "s"
