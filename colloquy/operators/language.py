@@ -7,6 +7,8 @@ taken over value counts, and top lists are cut per partition before they meet.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from colloquy.functions.text import CJK, WS, extract_all, has, join_cjk_spaces,
 from colloquy.plans.ordered import top_k
 
 CJK_CHAR = f"[{CJK}]"
+#: Makes the tokens of a text column.
+Segment = Callable[[str], Column]
 REPEATED_CHAR = r"(.)\1{2,}"
 REPETITION = rf"([{CJK}a-zA-Z])\1{{2,}}|([{CJK}]{{2}})\2+"
 
@@ -153,9 +157,12 @@ def repetition_patterns(texts: DataFrame, keys: list[str], k: int = 10) -> DataF
     return top_items(counted(rows, keys), keys, k)
 
 
-def ngram_rows(texts: DataFrame, keys: list[str], sizes: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """(keys, n, token): every n-gram occurrence; CJK neighbours join without a space."""
-    tokens = texts.select(*keys, tokenize("text").alias("t"))
+def ngram_rows(texts: DataFrame, keys: list[str], sizes: tuple[int, ...] = (1, 2, 3), segment: Segment = tokenize) -> DataFrame:
+    """(keys, n, token): every n-gram occurrence; CJK neighbours join without a space.
+
+    ``segment`` makes the tokens of a text column: the regular expression, or ``functions.segment.segmenter``.
+    """
+    tokens = texts.select(*keys, segment("text").alias("t"))
 
     def cjk(c: Column) -> Column:
         return has(c, CJK_CHAR)
@@ -183,16 +190,16 @@ def ngram_rows(texts: DataFrame, keys: list[str], sizes: tuple[int, ...] = (1, 2
     )
 
 
-def unigrams(texts: DataFrame, keys: list[str]) -> DataFrame:
-    return counted(texts.select(*keys, F.explode(tokenize("text")).alias("token")), keys)
+def unigrams(texts: DataFrame, keys: list[str], segment: Segment = tokenize) -> DataFrame:
+    return counted(texts.select(*keys, F.explode(segment("text")).alias("token")), keys)
 
 
-def unique_words(texts: DataFrame, keys: list[str]) -> DataFrame:
-    return unigrams(texts, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("unique_words"))
+def unique_words(texts: DataFrame, keys: list[str], segment: Segment = tokenize) -> DataFrame:
+    return unigrams(texts, keys, segment).groupBy(*keys).agg(F.count(F.lit(1)).alias("unique_words"))
 
 
-def ngrams(texts: DataFrame, keys: list[str], n: int) -> DataFrame:
-    return counted(ngram_rows(texts, keys, (n,)).drop("n"), keys)
+def ngrams(texts: DataFrame, keys: list[str], n: int, segment: Segment = tokenize) -> DataFrame:
+    return counted(ngram_rows(texts, keys, (n,), segment).drop("n"), keys)
 
 
 def is_vocab(c: Column | str) -> Column:
@@ -205,24 +212,24 @@ def is_vocab(c: Column | str) -> Column:
 
 
 def top_ngrams(
-    texts: DataFrame, keys: list[str], n: int, k: int, stopwords: list[str] | None = None
+    texts: DataFrame, keys: list[str], n: int, k: int, stopwords: list[str] | None = None, segment: Segment = tokenize
 ) -> DataFrame:
-    counts = ngrams(texts, keys, n).filter(is_vocab("token"))
+    counts = ngrams(texts, keys, n, segment).filter(is_vocab("token"))
     if stopwords:
         counts = counts.filter(~F.col("token").isin(stopwords))
     return top_items(counts, keys, k)
 
 
-def top_vocabulary(texts: DataFrame, keys: list[str], stopwords: list[str] = lx.STOPWORDS) -> DataFrame:
-    return top_ngrams(texts, keys, 1, 50, stopwords)
+def top_vocabulary(texts: DataFrame, keys: list[str], stopwords: list[str] = lx.STOPWORDS, segment: Segment = tokenize) -> DataFrame:
+    return top_ngrams(texts, keys, 1, 50, stopwords, segment)
 
 
-def top_bigrams(texts: DataFrame, keys: list[str]) -> DataFrame:
-    return top_ngrams(texts, keys, 2, 30)
+def top_bigrams(texts: DataFrame, keys: list[str], segment: Segment = tokenize) -> DataFrame:
+    return top_ngrams(texts, keys, 2, 30, segment=segment)
 
 
-def top_trigrams(texts: DataFrame, keys: list[str]) -> DataFrame:
-    return top_ngrams(texts, keys, 3, 20)
+def top_trigrams(texts: DataFrame, keys: list[str], segment: Segment = tokenize) -> DataFrame:
+    return top_ngrams(texts, keys, 3, 20, segment=segment)
 
 
 def _phrase_ok(c: str, stopwords: list[str]) -> Column:

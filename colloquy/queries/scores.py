@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from colloquy import lexicons as lx
-from colloquy.frames import SAMPLES, samples, table
-from colloquy.operators import report, scoring
+from colloquy.frames import SAMPLES, SQL_SPLIT, chat, samples, table
+from colloquy.operators import profiles, report, scoring, style, turns
 from colloquy.plans.lineage import cut
+from colloquy.queries import behaviour, talk
 from colloquy.registry import query
 
 SITUATIONS = {"teasing": ["哈哈", "que"], "emotional": ["好的", "ung"], "inquiry": ["怎么", "ver"], "formal": ["喜欢", "des"]}
@@ -309,3 +310,61 @@ def judge_composite(spark, sf):
         (k % 5 / 5).alias("behavior_similarity"), (k % 3 / 3).alias("context_similarity"),
     )
     return scoring.judge_composite(s, judged).select("sample_id", "judge_score", "favoured_or_tie")
+
+
+# Profiles of the speakers' own train turns, in place of the literal ones above.
+_OWN_TEXTS = """own AS (SELECT CAST(chat_id AS VARCHAR) AS sender, chat_id, session_no, seq, content AS said, context,
+  array_to_string(list_transform(context, lambda c: c.content), ' ') AS ctx FROM split WHERE split = 'train'),
+texts AS (SELECT * EXCLUDE (said, context, ctx), regexp_replace(said, '([一-龥])\\s+([一-龥])', '\\1\\2', 'g') AS content FROM own)"""
+_OWN_RATES = ", ".join(
+    f"{talk._share(flag)} AS {name}" for name, flag in {
+        "ellipsis_rate": talk._like("[.]{2,}|…"), "question_rate": talk._like("[?？]"), "exclamation_rate": talk._like("[!！]"), "tilde_rate": talk._like("[~～]"),
+        "repeated_char_rate": talk._TRIPLE, "terminal_punctuation_drop_rate": "NOT " + talk._like("[。！？!?.~～…]$"),
+    }.items()
+)
+_OWN_PHRASES = f"""{talk._named('a', talk._PHRASES, 10)}, {talk._named('b', talk._REPEATED, 5)}, {talk._named('c', talk._FREQUENT, 5)},
+ph AS (SELECT DISTINCT sender, token FROM (SELECT sender, token FROM a UNION ALL SELECT sender, token FROM b UNION ALL SELECT sender, token FROM c) WHERE length(token) BETWEEN 2 AND 15),
+fo AS (SELECT sender, arg_min(said, seq) AS token FROM own WHERE length(said) BETWEEN 1 AND 25 GROUP BY chat_id, session_no, sender),
+{talk._named('op', f"SELECT * FROM fo WHERE length(token) <= 20 AND regexp_matches(token, '(?i)^(?:{talk._OPEN})')", 8)},
+fc AS (SELECT sender, said AS token FROM own QUALIFY row_number() OVER (PARTITION BY chat_id, session_no ORDER BY seq DESC) = 1),
+{talk._named('cl', f"SELECT * FROM fc WHERE length(token) BETWEEN 1 AND 20 AND regexp_matches(token, '(?i)(?:{talk._CLOSE})')", 8)},
+phr AS (SELECT sender, list(token) AS phrases FROM (SELECT sender, token FROM ph UNION ALL SELECT sender, token FROM op UNION ALL SELECT sender, token FROM cl) GROUP BY 1)"""
+
+
+def _own_situation(i: int, name: str, marker: str) -> str:
+    emoji, few, asks = [f"round((count(*) FILTER ({f}) + 1) / (count(*) + 2), 3)" for f in (f"regexp_matches(said, '{behaviour.EMOJI}')", "length(said) <= 15", "regexp_matches(said, '[?？]')")]
+    return f"SELECT sender, {i} AS o, '{name}' AS situation, {emoji} AS e, {few} AS b, {asks} AS q FROM own WHERE {behaviour._m(marker)} GROUP BY sender"
+
+
+_OWN_POLICIES = f"""st AS ({' UNION ALL '.join(_own_situation(i, n, m) for i, (n, m) in enumerate(style.SITUATIONS.items()))}),
+pol AS (SELECT sender, list({{'situation': situation, 'e': e, 'b': b, 'q': q}} ORDER BY o) AS policies FROM st GROUP BY 1)"""
+_OWN = f"""{SAMPLES.replace("samples AS (", "plain AS (")}, {SQL_SPLIT}, {_OWN_TEXTS}, rt AS (SELECT sender, {_OWN_RATES}, round(quantile_cont(length(content), 0.5), 2) AS median_length FROM texts GROUP BY 1),
+{talk._SENT}, {talk._TOKENS}, {talk._named('w', talk._gram(1) + f" WHERE t[i] NOT IN {tuple(talk.STOP)}", 50)}, voc AS (SELECT sender, list(token) AS vocabulary FROM w GROUP BY 1),
+{_OWN_PHRASES}, {_OWN_POLICIES},
+samples AS (SELECT plain.*, rt.* EXCLUDE (sender), vocabulary, coalesce(phrases, []) AS phrases, coalesce(policies, []) AS policies FROM plain LEFT JOIN rt ON speaker = rt.sender
+  LEFT JOIN voc ON speaker = voc.sender LEFT JOIN phr ON speaker = phr.sender LEFT JOIN pol ON speaker = pol.sender)"""
+_OWN_LEX = _LEX.replace(f"s IN {tuple(VOCABULARY)}", "list_contains(vocabulary, s)").replace(str(PHRASES), "phrases").replace(
+    "CASE WHEN len(tok) > 0 THEN", "CASE WHEN len(tok) > 0 AND coalesce(len(vocabulary), 0) > 0 THEN"
+)
+_OWN_GAPS = " + ".join(f"abs(CAST(c_{f} AS INT) - {r})" for r, f in _FLAG.items())
+_OWN_STYLE = _STYLE.replace(_GAPS, _OWN_GAPS).replace("abs(length(candidate) - 60) / greatest(length(candidate), 60)", "abs(length(candidate) - median_length) / greatest(length(candidate), median_length)")
+_FIT = "list_filter(policies, lambda p: (s_teasing AND p.situation = 'joking') OR (s_emotional AND p.situation IN ('venting', 'emotional')) OR (s_inquiry AND p.situation IN ('inquiry', 'question')))[1]"
+_OWN_BEHAVE = _BEHAVE
+for _i, _k in enumerate("ebq"):
+    _OWN_BEHAVE = _OWN_BEHAVE.replace(_policy(_i), f"{_FIT}.{_k}")
+
+
+@query(
+    f"""WITH {_OWN}, {_OWN_LEX}, {_OWN_STYLE}, {_OWN_BEHAVE} SELECT sample_id, lexical, style, behavior, round(vocab_fidelity, 6) AS vocab_fidelity,
+  round(distribution_similarity, 6) AS distribution_similarity, round(policy_match, 6) AS policy_match FROM beh"""
+)
+def score_samples(spark, sf):
+    """Every sample against the profile of its own speaker, made from the train part of the speaker's turns."""
+    split = turns.split_turns(turns.build_turns(chat(spark, sf), ts=None))
+    train = split.filter("split = 'train'").withColumn("speaker", F.col("chat_id").cast("string"))
+    own = profiles.speaker_profiles(
+        train, phrases=talk.PHRASES, stopwords=talk.STOP, openings=talk.OPENINGS, closings=talk.CLOSINGS, markers=behaviour.MARKERS, phrase_stopwords=[],
+    )
+    parts = ["vocab_fidelity", "distribution_similarity", "policy_match"]
+    out = profiles.score_samples(samples(spark, sf), own, "speaker", SITUATIONS, BEHAVIOR, LEAK)
+    return _rounded(out, parts).select("sample_id", "lexical", "style", "behavior", *parts)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from colloquy.frames import CHAT, TEXTS, chat, conversations, sql_trim
+from colloquy.functions.segment import segmenter
 from colloquy.operators import language
 from colloquy.registry import query
 
@@ -120,6 +121,17 @@ def top_unigrams(spark, sf):
     return language.top_vocabulary(_texts(spark, sf), KEY, STOP)
 
 
+# No word of this dictionary begins inside another, so the cheapest path is the leftmost match.
+DICTIONARY = {"哈哈": 9.0, "好的": 5.0, "喜欢": 4.0, "晚安": 3.0, "怎么": 2.0, "今天": 2.0, "我们": 3.0}
+_WORDS = _TOKENS.replace("'[一-龥]|", f"'{'|'.join(DICTIONARY)}|[一-龥]|")
+
+
+@query(f"WITH {BASE}, {_WORDS}, {_top(_gram(1), 50)}")
+def segmented_vocabulary(spark, sf):
+    """Words by a dictionary instead of single CJK characters."""
+    return language.top_vocabulary(_texts(spark, sf), KEY, [], segmenter(DICTIONARY))
+
+
 @query(f"WITH {BASE}, {_TOKENS} SELECT sender, count(DISTINCT token) AS unique_words FROM ({_gram(1)}) GROUP BY 1")
 def unique_words(spark, sf):
     return language.unique_words(_texts(spark, sf), KEY)
