@@ -16,6 +16,7 @@ from colloquy.functions.numbers import rate, round_half
 from colloquy import lexicons as lx
 from colloquy.functions import clean
 from colloquy.functions.text import CJK, WS, extract_all, has, join_cjk_spaces, sentences, tokenize, trim
+from colloquy.plans import lineage
 from colloquy.plans.ordered import top_k
 
 CJK_CHAR = f"[{CJK}]"
@@ -336,9 +337,17 @@ def fingerprint(
     session: list[str] | None = None,
     content: str = "content",
     particles: list[str] = lx.PARTICLES,
+    phrases: dict[str, str] = lx.PHRASES,
+    stopwords: list[str] = lx.STOPWORDS,
+    phrase_stopwords: list[str] = lx.STOPWORDS,
+    openings: list[str] = lx.OPENINGS,
+    closings: list[str] = lx.CLOSINGS,
 ) -> DataFrame:
-    """One row per group with lengths, rates and top lists as structs; groups without text get zeros."""
-    texts = base_texts(messages, content)
+    """One row per group with lengths, rates and top lists as structs; groups without text get zeros.
+
+    The texts are cleaned once and written to the checkpoint folder; what is counted reads them from there.
+    """
+    texts = lineage.cut(base_texts(messages, content).select(*keys, "text"))
     groups = messages.select(*keys).distinct()
 
     def top(df: DataFrame, name: str, item: str = "token") -> DataFrame:
@@ -357,10 +366,10 @@ def fingerprint(
         style_rates(texts, keys, particles),
         unique_words(texts, keys),
         top(repetition_patterns(texts, keys), "repetitions"),
-        top(top_vocabulary(texts, keys), "top_vocabulary"),
+        top(top_vocabulary(texts, keys, stopwords), "top_vocabulary"),
         top(top_bigrams(texts, keys), "top_bigrams"),
         top(top_trigrams(texts, keys), "top_trigrams"),
-        catchphrases(texts, keys).groupBy(*keys).agg(
+        catchphrases(texts, keys, phrases, phrase_stopwords).groupBy(*keys).agg(
             F.transform(F.array_sort(F.collect_list(F.struct("source", "rank", "phrase"))), lambda e: e["phrase"]).alias(
                 "catchphrases"
             )
@@ -368,11 +377,34 @@ def fingerprint(
     ]
     if session:
         parts += [
-            top(openers(messages, keys, session, content=content), "openers"),
-            top(closers(messages, keys, session, content=content), "closers"),
+            top(openers(messages, keys, session, content=content, words=openings), "openers"),
+            top(closers(messages, keys, session, content=content, words=closings), "closers"),
         ]
     out = groups
     for part in parts:
         out = out.join(part, keys, "left")
     zeros = {c: 0.0 for c, kind in out.dtypes if kind == "double"} | {"sample_size": 0, "unique_words": 0}
     return out.fillna(zeros)
+
+
+def metric_rows(fingerprints: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, metric, value) of ``fingerprint`` rows: ``message_length.p90``, ``top_bigrams.1.<token>`` and so on.
+
+    The value of a list entry is its count, that of a catchphrase its place.
+    """
+
+    def entry(name: Column, value: Column) -> Column:
+        return F.struct(name.alias("metric"), value.cast("double").alias("value"))
+
+    def rows(c: str, kind: str) -> Column:
+        if kind == "array<string>":
+            return F.transform(c, lambda p, i: entry(F.concat_ws(".", F.lit(c), i + 1, p), i + 1))
+        if kind.startswith("array"):
+            return F.transform(c, lambda e, i: entry(F.concat_ws(".", F.lit(c), i + 1, e["token"]), e["count"]))
+        if kind.startswith("struct"):
+            return F.array(*[entry(F.lit(f"{c}.{f.name}"), F.col(f"{c}.{f.name}")) for f in fingerprints.schema[c].dataType])
+        return F.array(entry(F.lit(c), F.col(c)))
+
+    parts = [rows(c, kind) for c, kind in fingerprints.dtypes if c not in keys]
+    filled = [F.coalesce(p, F.array().cast("array<struct<metric:string,value:double>>")) for p in parts]
+    return fingerprints.select(*keys, F.inline(F.concat(*filled))).filter("value is not null")

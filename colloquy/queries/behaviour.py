@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from colloquy.frames import CHAT, SQL_SPLIT, chat, events, sql_events, sql_turns
 from colloquy.operators import assets, rhythm, style, turns
-from colloquy.registry import query
+from colloquy.registry import REGISTRY, query
 
 KEY = ["chat_id"]
 MARKERS = {
@@ -150,9 +150,16 @@ def latency_by_length(spark, sf):
     return rhythm.latency_by_length(rhythm.reply_latency(_gaps(spark, sf)).withColumn("content", text), KEY)
 
 
-@query()
+@query(
+    f"""SELECT p.*, d.* EXCLUDE (chat_id), {', '.join(f"{b}_{m}" for b in rhythm.BUCKETS for m in ('median_ms', 'p90_ms'))}
+FROM ({REGISTRY['latency_profile'].sql}) p LEFT JOIN ({REGISTRY['double_messages'].sql}) d USING (chat_id)
+LEFT JOIN (SELECT chat_id, {', '.join(f"max({m}) FILTER (bucket = '{b}') AS {b}_{m}" for b in rhythm.BUCKETS for m in ('median_ms', 'p90_ms'))}
+  FROM ({REGISTRY['latency_by_length'].sql}) GROUP BY 1) l USING (chat_id)"""
+)
 def rhythm_table(spark, sf):
-    return rhythm.rhythm_table(events(spark, sf, 3))
+    m = F.col("seq") % 3
+    text = F.when(m == 0, F.col("content")).when(m == 1, F.repeat("content", 4)).otherwise(F.repeat("content", 9))
+    return rhythm.rhythm_table(events(spark, sf, 3).withColumn("content", text))
 
 
 TAGS = [(["joking"], ["哈哈"]), (["agreement"], ["好的"]), (["tired_night", "tired_sleep"], ["晚安"]), (["asking"], ["怎么"])]

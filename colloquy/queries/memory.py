@@ -161,10 +161,12 @@ def recent_logs(spark, sf):
     return mem.recent_logs(table(spark, sf, "events").select("event_id", "event_type"), "event_id", 50)
 
 
-@query("SELECT event_id, floor(((event_id % 10) * 0.3 :: DOUBLE + 0.7 :: DOUBLE * (event_id % 7)) * 1000 + 0.5) / 1000 AS importance FROM events")
+_FACTORS = {10: 0.30, 7: 0.15, 9: 0.15, 8: 0.15, 6: 0.15, 5: 0.10}
+
+
+@query(f"SELECT event_id, floor(({' + '.join(f'(event_id % {k}) * {w} :: DOUBLE' for k, w in _FACTORS.items())}) * 1000 + 0.5) / 1000 AS importance FROM events")
 def importance6(spark, sf):
-    a, b = F.col("event_id") % 10, F.col("event_id") % 7
-    score = mem.importance6([a, b, b, b, b, b])
+    score = mem.importance6([F.col("event_id") % k for k in _FACTORS])
     return table(spark, sf, "events").select("event_id", (F.floor(score * 1000 + 0.5) / 1000).alias("importance"))
 
 

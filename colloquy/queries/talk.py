@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from colloquy.frames import CHAT, TEXTS, chat, conversations, sql_trim
 from colloquy.functions.segment import segmenter
 from colloquy.operators import language
-from colloquy.registry import query
+from colloquy.registry import REGISTRY, query
 
 KEY = ["sender"]
 # Words of the enlivened prose that stand for particles, phrases, openings and closings.
@@ -201,9 +201,35 @@ def closers(spark, sf):
     return language.closers(chat(spark, sf), KEY, ["chat_id", "session_no"], words=CLOSINGS)
 
 
-@query()
+def _metric(name: str, column: str, sql: str) -> str:
+    return f"""SELECT sender, '{name}' AS metric, CAST("{column}" AS DOUBLE) AS value FROM ({sql})"""
+
+
+def _list(name: str, sql: str) -> str:
+    return f"""SELECT sender, '{name}.' || rank || '.' || token, CAST("count" AS DOUBLE) FROM ({sql})"""
+
+
+_STATS = ["sample_size", "min", "max", "mean", "median", "p90", "std_dev"]
+_PARTS = {"unique_words": REGISTRY["unique_words"].sql}
+_PARTS |= dict.fromkeys(["sample_size", *language.PUNCTUATION_RATES, "terminal_punctuation_drop_rate"], REGISTRY["punctuation_rates"].sql)
+_PARTS |= dict.fromkeys(["capitalization_rate", "bilingual_mix_rate", "number_rate"], REGISTRY["habit_rates"].sql)
+_PARTS |= dict.fromkeys(["single_line_rate", "multi_line_rate", "bullet_like_rate"], REGISTRY["structure_rates"].sql)
+_PARTS["overall_particle_rate"] = f"WITH {BASE} SELECT sender, {_share(_like('|'.join(PARTICLES)))} AS overall_particle_rate FROM texts GROUP BY 1"
+_LISTS = {"repetitions": "repetition_patterns", "top_vocabulary": "top_unigrams", "top_bigrams": "top_bigrams", "top_trigrams": "top_trigrams", "openers": "openers", "closers": "closers"}
+
+
+@query(
+    " UNION ALL ".join([
+        *[_metric(f"{name}.{c}", c, REGISTRY[q].sql) for name, q in (("message_length", "length_distribution"), ("sentence_length", "sentence_distribution")) for c in _STATS],
+        *[_metric(c, c, sql) for c, sql in _PARTS.items()],
+        *[_list(name, REGISTRY[q].sql.replace("WHERE is_target AND", "WHERE")) for name, q in _LISTS.items()],
+        f"""SELECT sender, 'catchphrases.' || k || '.' || phrase, CAST(k AS DOUBLE) FROM (SELECT *, row_number() OVER (PARTITION BY sender ORDER BY source, rank) AS k FROM ({REGISTRY['catchphrases'].sql}))""",
+    ])
+)
 def fingerprint(spark, sf):
-    """All of the above in one row per role."""
-    m = conversations(spark, sf).withColumn("is_target", F.lit(True))
-    out = language.fingerprint(m, KEY, ["chat_id", "session_no"])
-    return out.select(*[F.to_json(c).alias(c) if k.startswith(("struct", "array")) else F.col(c) for c, k in out.dtypes])
+    """All of the above in one table, every speaker being a target."""
+    m = chat(spark, sf).withColumn("is_target", F.lit(True))
+    out = language.fingerprint(
+        m, KEY, ["chat_id", "session_no"], particles=PARTICLES, phrases=PHRASES, stopwords=STOP, phrase_stopwords=[], openings=OPENINGS, closings=CLOSINGS
+    )
+    return language.metric_rows(out, KEY)
