@@ -21,15 +21,14 @@ DATE_HEADER = (
 )
 _MEDIA_WORDS = [w for ws in lx.MEDIA_TOKENS.values() for w in ws] + lx.OTHER_MEDIA_TOKENS
 MEDIA_TOKEN = rf"(?i)\[{_alt(_MEDIA_WORDS)}\]"
-_NOTICES = lx.NOTICES + ["邀请.*加入了群聊"]
 # A look at the first character spares trying every notice at every place of a long text.
-_NOTICE = "(?=[" + "".join(sorted({w[0] if w[0] != "\\" else w[:2] for w in _NOTICES})) + "])" + _alt(_NOTICES)
+_NOTICE = "(?=[" + "".join(sorted({w[0] if w[0] != "\\" else w[:2] for w in lx.NOTICES})) + "])" + _alt(lx.NOTICES)
 NOTICE = "(?i)" + _NOTICE
 _STARTS = "^" + _alt(lx.ANNOUNCEMENT_STARTS)
 _ANNOUNCE = [
     rf"^{_alt(lx.ANNOUNCEMENT_LABELS)}[:：\s]",
-    rf"^{lx.GROUP_SELF}(?![的得地有人为])",
     rf"^{lx.GROUP_SELF}\s*[“\"''『「\[【(（<《]",
+    rf"^{lx.GROUP_SELF}(?![的得地有人为])",
     _STARTS,
     rf"(?:^|\n)\s*{_alt(lx.ANNOUNCEMENT_LINE_LABELS)}[:：]",
 ]

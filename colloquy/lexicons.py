@@ -29,9 +29,8 @@ ANNOUNCEMENT_LINE_LABELS = ["我是群聊", "群公告", "群规", "群主提醒
 POLLUTION_LABELS = ["群公告", "群规", "群主提醒", "本群须知", "系统通知", "系统消息"]
 POLLUTION_STARTS = ["系统通知", "系统消息", "群主提醒", "本群须知", "公告"]
 NOTICES = [
-    "撤回了一条消息",
-    "加入了群聊", "移出了群聊", "移出群聊", "退出群聊", "退出群",
-    "扫描.*二维码加入群聊",
+    "撤回了一条消息", "你撤回了一条消息",
+    "加入了群聊", "移出了群聊", "移出群聊", "退出群聊", "退出群", "邀请.*加入了群聊", "扫描.*二维码加入群聊",
     "拍了拍", "对方正在输入",
     "你已添加了.*现在可以开始聊天了", "以上是打招呼内容", "开启了朋友验证",
     r"\[(?:通话时长\s*\d{1,2}:\d{1,2}|语音通话|视频通话)\]",
