@@ -95,6 +95,12 @@ def discard_paths(spark: SparkSession, paths: set[str]) -> None:
     _written[:] = [w for w in _written if w[1] not in paths]
 
 
+def read_from(df: DataFrame) -> str | None:
+    """Where a table comes from that is read as it is; None for rows that something makes."""
+    plan = df._jdf.queryExecution().analyzed()
+    return plan.relation().location().rootPaths().mkString(",") if plan.nodeName() == "LogicalRelation" else None
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -48,3 +48,22 @@ def test_stages(spark, tmp_path):
         for p in pieces:
             assert p.ids_crc32 == zlib.crc32(tokens[p.start : p.start + p.length].tobytes())
         assert sum(p.length for p in pieces) == len(tokens) == pieces[0].doc_tokens
+
+
+def test_files_of_a_finished_stage_are_deleted(spark, tmp_path):
+    from colloquy.llm.common import staged_paths
+
+    rows = [(i, f"some words of document {i} that nobody else has at all", "en", "s", 10) for i in range(20)] + [(20, None, None, None, None), (None, "", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    before, at, left = staged_paths(), spark.read.parquet(str(tmp_path / "documents.parquet")), []
+    for name, step in corpus_pipeline.STAGES:
+        step(spark, at, str(tmp_path)).write.parquet(str(tmp_path / name))
+        left.append(staged_paths() - before)
+        at = spark.read.parquet(str(tmp_path / name))
+    assert left[1] and not left[1] & left[2] and not left[2] & left[3] and at.count() > 0
+    empty = tmp_path / "none"
+    docs.limit(0).write.parquet(str(empty / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(empty / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
