@@ -4,7 +4,7 @@ Language ID drops texts without a language; line deduplication takes repeated li
 document of each class of near copies; decontamination drops documents with benchmark passages; the rest is packed.
 
 A stage takes the written rows of the stage before.  So whatever that one had staged on its way is deleted when the
-next one begins.
+next one begins; if its rows were not written and read again, it stays until the session ends.
 """
 
 from __future__ import annotations
@@ -17,18 +17,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.llm import decontamination, language_id, line_dedup, order_minhash, packing
-from colloquy.llm.common import discard, discard_paths, stage, staged_paths, table
+from colloquy.llm.common import discard, discard_paths, read_from, stage, staged_paths, table
 
 Step = Callable[[SparkSession, DataFrame, str], DataFrame]
 _left: set[str] = set()
 
 
 def _after(step: Step) -> Step:
-    """The step, deleting first what the step before it left."""
+    """The step, deleting first what the step before it left, if ``docs`` is a written table."""
 
     @wraps(step)
     def tidied(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        if step.__name__ != "known_language":
+        source = read_from(docs)
+        if step.__name__ != "known_language" and source and not any(path in source for path in _left):
             discard_paths(spark, set(_left))
         _left.clear()
         before = staged_paths()
