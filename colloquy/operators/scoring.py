@@ -10,8 +10,11 @@ more than that.
 
 from __future__ import annotations
 
+import sys
 from functools import reduce
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +24,9 @@ from colloquy.functions.numbers import ratio, round_half
 from colloquy.functions.text import PICTOGRAPH, char_ngrams, clamp, col, count_of, has, trim, words
 from colloquy.operators.style import context_text
 
+# Executors need not have this package installed: its functions travel with the task.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 NGRAM_WEIGHTS = {1: 0.35, 2: 0.35, 3: 0.30}
 STYLE_RATES = {
     "ellipsis_rate": "ellipsis",
@@ -291,30 +297,77 @@ def behavior_score(
     ).drop("__s", "__t", "__c", "__context")
 
 
+#: Samples and items that one automaton meets.
+SAMPLES_A_BLOCK, ITEMS_A_BLOCK = 4096, 50_000
+
+
+def _in_blocks(rows: DataFrame, scope: str, size: int, name: str) -> DataFrame:
+    """Add ``name``, a block by hash such that blocks of a scope hold about ``size`` rows, and ``name``_n, their number."""
+    counts = rows.groupBy(scope).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(f"{name}_n"))
+    return rows.join(counts, scope).withColumn(name, F.pmod(F.xxhash64(F.col("__key")), F.col(f"{name}_n")).cast("int"))
+
+
+def found_items(texts: DataFrame, items: DataFrame, id: str, scope: str) -> DataFrame:
+    """(id, __key, in_said): items whose value occurs in ``said`` or ``around`` of a sample of their scope.
+
+    ``items``: (scope, __key long, value).  A scope's items and samples are dealt into blocks of bounded size; each pair of
+    blocks builds one Aho-Corasick automaton and reads its texts once, so what leaves it is in proportion to the hits.
+    """
+    left = _in_blocks(texts.withColumn("__key", F.col(id)), scope, SAMPLES_A_BLOCK, "__s").drop("__key")
+    right = _in_blocks(items, scope, ITEMS_A_BLOCK, "__i")
+    numbers = left.groupBy(scope).agg(F.max("__s_n").alias("__s_n")).join(right.groupBy(scope).agg(F.max("__i_n").alias("__i_n")), scope)
+    each = lambda n, name: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(name)
+    left = left.drop("__s_n").join(numbers.select(scope, "__i_n"), scope).select(scope, id, "around", "said", "__s", each("__i_n", "__i"))
+    right = right.drop("__i_n").join(numbers.select(scope, "__s_n"), scope).select(
+        F.col(scope).alias("__scope"), "__key", "value", F.col("__i").alias("__b"), each("__s_n", "__a")
+    )
+    kind = dict(texts.dtypes)[id]
+
+    def meet(samples: pa.Table, known: pa.Table) -> pa.Table:
+        import ahocorasick
+
+        out = {"id": [], "key": [], "in_said": []}
+        if samples.num_rows and known.num_rows:
+            automaton, keys = ahocorasick.Automaton(), {}
+            for key, value in zip(known["__key"].to_pylist(), known["value"].to_pylist()):
+                keys.setdefault(value, []).append(key)
+            for value, own in keys.items():
+                automaton.add_word(value, own)
+            automaton.make_automaton()
+            for sample, around, said in zip(*(samples[c].to_pylist() for c in (id, "around", "said"))):
+                # Equal values share one list, so a list stands for its value.
+                now = {own[0]: own for _, own in automaton.iter(said)}
+                before = {own[0]: own for _, own in automaton.iter(around) if own[0] not in now}
+                for found, flag in ((now, True), (before, False)):
+                    for own in found.values():
+                        for key in own:
+                            for c, v in zip(out, (sample, key, flag)):
+                                out[c].append(v)
+        return pa.table([pa.array(out["id"], samples[id].type), pa.array(out["key"], pa.int64()), pa.array(out["in_said"], pa.bool_())], names=[id, "__key", "in_said"])
+
+    pairs = left.groupBy(scope, "__s", "__i").cogroup(right.groupBy("__scope", "__a", "__b"))
+    return pairs.applyInArrow(meet, f"`{id}` {kind}, __key long, in_said boolean")
+
+
 def grounding(samples: DataFrame, items: DataFrame, id: str = "sample_id", scope: str = "speaker") -> DataFrame:
     """What each sample says of known entities and facts.
 
     ``items``: (scope, kind 'entity' or 'fact', label, value, contradictions array<string>, negated boolean).
-    An item meets a sample through the first three characters of its value, found among the character
-    n-grams of the texts, so samples and items of a scope are never paired as a whole.
     """
-    texts = samples.repartition(id).select(
+    texts = samples.select(
         id,
         scope,
         F.lower(F.concat_ws("\x1f", context_text("context"), "target")).alias("around"),
         F.lower(F.coalesce("candidate", F.lit(""))).alias("said"),
     )
-    both = F.concat_ws("\x1f", "around", "said")
-    heads = F.array_distinct(F.concat(*[char_ngrams(both, n) for n in (1, 2, 3)]))
-    probes = texts.select(id, scope, F.explode(heads).alias("head"))
     value = F.lower("value")
     known = items.filter(F.coalesce("value", F.lit("")) != "").select(
-        scope, "kind", "label", value.alias("value"), "contradictions", "negated", F.substring(value, 1, 3).alias("head")
+        scope, "kind", "label", value.alias("value"), "contradictions", "negated",
+        F.xxhash64(scope, "kind", "label", value, "contradictions", "negated").alias("__key"),
     )
-    # Grams that start no item drop out before anything is joined back to the texts.
-    met = probes.join(known, [scope, "head"]).drop("head", scope).join(texts.select(id, "around", "said"), id)
-    in_said = F.contains("said", F.col("value"))
-    hits = met.filter(in_said | F.contains("around", F.col("value")))
+    met = found_items(texts, known.select(scope, "__key", "value").distinct(), id, scope)
+    hits = met.join(known.drop(scope, "value"), "__key").join(texts.select(id, "said"), id)
+    in_said = F.col("in_said")
     wrong = F.filter(
         F.coalesce("contradictions", F.array().cast("array<string>")), lambda c: F.contains(F.col("said"), F.lower(c))
     )

@@ -162,12 +162,11 @@ def behavior_score(spark, sf):
     return _rounded(out, parts).select("sample_id", "behavior", "identity_leak", *parts, "context_alignment")
 
 
-# Known names and facts of every speaker, made from the parts and the nations.
-# What a speaker is known to have said: long words of the first turn as entities, short words of the second as facts.
+# What a speaker is known to have said: long words of the even turns as entities, short words of the odd ones as facts.
 _ITEMS = """items AS (SELECT DISTINCT CAST(conv_id AS VARCHAR) AS speaker, 'entity' AS kind, w AS label, w AS value, 'en ' AS contra, FALSE AS negated
-  FROM (SELECT conv_id, unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) AS w FROM conversations WHERE turn = 0)
+  FROM (SELECT conv_id, unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) AS w FROM conversations WHERE turn % 2 = 0)
   UNION SELECT CAST(conv_id AS VARCHAR), 'fact', w, w, NULL, conv_id % 2 = 0
-  FROM (SELECT conv_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,4}')) AS w FROM conversations WHERE turn = 1))"""
+  FROM (SELECT conv_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,4}')) AS w FROM conversations WHERE turn % 2 = 1))"""
 _GROUND = f"""{_ITEMS}, hit AS (SELECT sample_id, kind, label, contra, negated, contains(lower(candidate), value) AS said, lower(candidate) AS cand
   FROM samples JOIN items USING (speaker) WHERE contains(lower(candidate), value) OR contains(lower(ctx || chr(31) || target), value)),
 ground AS (SELECT sample_id, count(*) FILTER (said) AS grounded, count(*) FILTER (said AND CASE WHEN kind = 'entity' THEN contains(cand, contra) ELSE negated END) AS contradicted,
@@ -182,8 +181,8 @@ def _items(spark, sf):
     c = table(spark, sf, "conversations").withColumn("speaker", F.col("conv_id").cast("string"))
     word = lambda p: F.explode(F.regexp_extract_all(F.lower("text"), F.lit(p), F.lit(0))).alias("value")
     none = F.lit(None).cast("array<string>")
-    entities = c.filter("turn = 0").select("speaker", F.lit("entity").alias("kind"), word("[a-z]{5,}"), F.array(F.lit("en ")).alias("contradictions"), F.lit(False).alias("negated"))
-    told = c.filter("turn = 1").select("speaker", F.lit("fact").alias("kind"), word("[a-z]{3,4}"), none.alias("contradictions"), (F.col("conv_id") % 2 == 0).alias("negated"))
+    entities = c.filter("turn % 2 = 0").select("speaker", F.lit("entity").alias("kind"), word("[a-z]{5,}"), F.array(F.lit("en ")).alias("contradictions"), F.lit(False).alias("negated"))
+    told = c.filter("turn % 2 = 1").select("speaker", F.lit("fact").alias("kind"), word("[a-z]{3,4}"), none.alias("contradictions"), (F.col("conv_id") % 2 == 0).alias("negated"))
     return entities.union(told).distinct().select("speaker", "kind", F.col("value").alias("label"), "value", "contradictions", "negated")
 
 

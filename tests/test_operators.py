@@ -206,3 +206,17 @@ def test_replies(spark):
     rows = [("<think>a</think>\n\"User: 你好。\"",), ('```json\n{"reply": "hey."}\n```',), ("作为AI，我不能。好呀",), ("Ann：「嗯」",), ("a\nb\nc",), ("我是aix",)]
     got = [r[0] for r in spark.createDataFrame(rows, "s string").select(replies.clean_reply("s", "Ann")).collect()]
     assert got == ["你好", "hey", "好呀", "嗯", "a b", "我是aix"]
+
+
+def test_items_are_found_whatever_their_blocks(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "SAMPLES_A_BLOCK", 7)
+    monkeypatch.setattr(scoring, "ITEMS_A_BLOCK", 5)
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abé喜") for _ in range(rnd.randint(1, 3)))
+    samples = [(k, f"s{k % 3}", " ".join(word() for _ in range(4)), " ".join(word() for _ in range(3))) for k in range(90)]
+    items = [(f"s{rnd.randrange(4)}", k, word()) for k in range(60)]
+    texts = spark.createDataFrame(samples, "sample_id long, speaker string, around string, said string")
+    known = spark.createDataFrame(items, "speaker string, __key long, value string")
+    got = {tuple(r) for r in scoring.found_items(texts, known, "sample_id", "speaker").collect()}
+    assert got == {(i, k, v in said) for i, s, around, said in samples for t, k, v in items if s == t and (v in said or v in around)}
+    assert scoring.found_items(texts, known.filter("false"), "sample_id", "speaker").count() == 0
