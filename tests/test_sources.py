@@ -207,22 +207,21 @@ def test_documents_in_pieces(spark, tmp_path):
     rnd = random.Random(6)
     odd = ["}", "{", "]", "[", '"', "\\", "a", "é", "😀", "\n", ":", ",", '\\"}', '{"sender": "x"}']
     say = lambda: "".join(rnd.choice(odd) for _ in range(rnd.randrange(12)))
-    rows = [{"sender": say() or "s", "content": "c " + say(), "deep": [{"x": {say(): [say(), {}]}}, 1, None]} for _ in range(120)]
+    rows = [{"sender": say() or "s", "content": "c " + say(), "deep": [{"x": {say(): [say(), {}]}}, 1, None]} for _ in range(60)]
     export = {"name": say(), "about": {"messages": [{"type": "message", "id": 1, "text": "no"}]}, "messages": [{"type": "message", "id": k, "from": r["sender"], "text": r["content"], "more": r["deep"]} for k, r in enumerate(rows)], "last": [say(), {"a": []}]}
     files = {"array": rows, "data": {"history": rows[:3], "data": rows}, "history": {"x": {"data": rows[:2]}, "history": rows}, "none": {"data": []}, "empty": []}
-    for indent in (None, 1):
-        folder = tmp_path / f"rows{indent}"
-        folder.mkdir()
-        for name, value in files.items():
-            (folder / f"{name}.json").write_text(json.dumps(value, indent=indent, ensure_ascii=indent is None) + "\n" * bool(indent))
-        spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
-        try:
-            whole = got(tr.read_chat_json_rows(spark, str(folder)), "chat_id", "line_no", "id", "sender", "content")
-            pieces = tr.read_chat_json_rows(spark, str(folder), whole_bytes=0)
-            assert got(pieces, "chat_id", "line_no", "id", "sender", "content") == whole and len(whole) == 360
-            write(tmp_path, f"e{indent}.json", json.dumps(export, indent=indent))
-            path = str(tmp_path / f"e{indent}.json")
-            assert json_pieces.read_pieces(spark, path).rdd.getNumPartitions() > 4
-            assert got(tr.read_chat_export_json(spark, path, whole_bytes=0), "id", "sender", "content") == got(tr.read_chat_export_json(spark, path), "id", "sender", "content")
-        finally:
-            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    folder = tmp_path / "rows"
+    folder.mkdir()
+    for name, value in files.items():
+        (folder / f"{name}.json").write_text(json.dumps(value, ensure_ascii=False))
+    write(tmp_path, "export.json", json.dumps(export, indent=1) + "\n")
+    path = str(tmp_path / "export.json")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        whole = got(tr.read_chat_json_rows(spark, str(folder)), "chat_id", "line_no", "id", "sender", "content")
+        pieces = tr.read_chat_json_rows(spark, str(folder), whole_bytes=0)
+        assert got(pieces, "chat_id", "line_no", "id", "sender", "content") == whole and len(whole) == 3 * len(rows)
+        assert json_pieces.read_pieces(spark, path).rdd.getNumPartitions() > 4
+        assert got(tr.read_chat_export_json(spark, path, whole_bytes=0), "id", "sender", "content") == got(tr.read_chat_export_json(spark, path), "id", "sender", "content")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
