@@ -7,6 +7,14 @@ retained if its next-symbol distribution diverges from that of its longest retai
 mixes its counts with the distribution of that suffix (Witten-Bell), down to an add-half root.  Texts
 are scored by the longest retained suffix of what stands before each symbol; the tree is laid out as an
 automaton, so that many texts walk through it side by side.
+
+Above the bytes stands a state whose symbols are whole words.  It knows every word of the training part, so it
+grows with the corpus; its table is joined to the texts' words, and only a frequent head is broadcast.  A word has
+WORD_WEIGHT of its share of all words, and what the tree gives its bytes for the rest, which is all an unknown one has:
+
+    P(w) = (1 - WORD_WEIGHT) * tree(w) + WORD_WEIGHT * c(w) / N * (1 - stop before w) / stop after w
+
+``stop`` is what the tree gives a blank or an end, so that the probabilities of all words and stops add up to one.
 """
 
 from __future__ import annotations
@@ -32,8 +40,10 @@ DIVERGENCE = 1e-8
 WORD_SHARE = 1e-6
 BEGIN, END, BLANK = 0, 1, 32
 END_TOKEN = 1
+#: What the state of whole words weighs beside the tree.
+WORD_WEIGHT = 0.5
 CHUNK = 1 << 21
-BLOCK = 1024
+BLOCK = 256
 
 _POWERS = np.multiply.accumulate(np.full(4096, 0x9E3779B97F4A7C15, np.uint64))
 _HIGH = np.multiply.accumulate(np.full(4096, _POWERS[-1], np.uint64))
@@ -57,13 +67,18 @@ def symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, start, start + size
 
 
+def inside(s: np.ndarray) -> np.ndarray:
+    """Whether a symbol belongs to a word."""
+    return (s != BEGIN) & (s != END) & (s != BLANK)
+
+
 def chunks(s: np.ndarray) -> Iterator[tuple[int, int]]:
     """Ranges of about CHUNK symbols that cut no word."""
     a = DEPTH
     while a < len(s):
         b = min(len(s), a + CHUNK)
-        while b < len(s) and s[b - 1] > BLANK:
-            more = np.flatnonzero(s[b : b + CHUNK] <= BLANK)
+        while b < len(s) and inside(s[b - 1]):
+            more = np.flatnonzero(~inside(s[b : b + CHUNK]))
             b = b + int(more[0]) + 1 if len(more) else min(len(s), b + CHUNK)
         yield a, b
         a = b
@@ -77,21 +92,21 @@ def grams(s: np.ndarray, a: int, b: int) -> np.ndarray:
     return out[s[a:b] != BEGIN]
 
 
-def word_hashes(s: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of [a, b), and where they start."""
+def word_hashes(s: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of [a, b), where they start, and where they end."""
     part = s[a:b]
-    inside = (part != BEGIN) & (part != END) & (part != BLANK)
-    first = np.flatnonzero(inside & ~np.concatenate(([False], inside[:-1])))
+    word = np.concatenate(([False], inside(part), [False]))
+    first, last = np.flatnonzero(word[1:] & ~word[:-1])[: b - a], np.flatnonzero(word[:-1] & ~word[1:])
     if not len(first):
-        return np.zeros(0, np.int64), first
+        return np.zeros(0, np.int64), first, last
     origin = np.zeros(len(part), np.int64)
     origin[first] = first
     offset = np.arange(len(part)) - np.maximum.accumulate(origin)
     value = (part.astype(np.uint64) + np.uint64(1)) * _POWERS[offset & 4095] * _HIGH[offset >> 12 & 4095]
-    value[~inside] = 0
+    value[~word[1:-1]] = 0
     h = np.add.reduceat(value, first)
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return (h ^ (h >> np.uint64(29))).view(np.int64), first + a
+    return (h ^ (h >> np.uint64(29))).view(np.int64), first + a, last + a
 
 
 def counted(texts: DataFrame) -> DataFrame:
@@ -162,27 +177,36 @@ class Tree:
                 parent = base[d] + np.searchsorted(contexts, longer >> np.uint64(8))
                 step[parent, self.class_of[(longer & np.uint64(255)).astype(np.int64)]] = base[d + 1] + np.arange(len(longer))
         self.step = step.ravel()
-        self.log10p = np.log10(np.concatenate(rows)).astype(np.float32).ravel()
+        p = np.concatenate(rows)
+        self.log10p = np.log10(p).astype(np.float32).ravel()
+        self.stop = np.clip(p[:, self.class_of[BLANK]] + p[:, self.class_of[END]], 1e-12, 1 - 1e-12)
         self.states = made
 
-    def scores(self, s: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """log10 probability of each text of ``symbols``.  Blocks start DEPTH symbols early, which settles the node."""
-        c, k = self.class_of[s], self.classes
-        size = end - start + 1
-        blocks = -(-size // BLOCK)
-        owner = np.repeat(np.arange(len(size)), blocks)
-        nr = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-        left = np.minimum(BLOCK, size[owner] - nr * BLOCK)
-        order = np.argsort(-left, kind="stable")
-        owner, left, at = owner[order], left[order], (start[owner] + nr * BLOCK)[order]
-        node, sums = np.zeros(len(owner), np.int32), np.zeros(len(owner))
-        for t in range(-DEPTH, left[0] if len(left) else 0):
-            alive = len(left) if t < 0 else int(np.searchsorted(-left, -t, side="left"))
-            symbol = c[at[:alive] + t]
+    def walk(self, s: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """The state used for each symbol of [a, b) and the symbol's log10 probability (0 for a begin).
+
+        Blocks walk side by side from DEPTH symbols early, which settles the node, also past the end of a text.
+        """
+        k, lanes = self.classes, -(-(b - a) // BLOCK)
+        c = np.zeros(DEPTH + lanes * BLOCK, np.uint8)
+        c[: DEPTH + b - a] = self.class_of[s[a - DEPTH : b]]
+        early = BLOCK * np.arange(lanes)
+        column = np.ascontiguousarray(c[DEPTH:].reshape(lanes, BLOCK).T)
+        used, node = np.empty((BLOCK, lanes), np.int32), np.zeros(lanes, np.int32)
+        for t in range(-DEPTH, BLOCK):
             if t >= 0:
-                sums[:alive] += self.log10p[self.row[node[:alive]] * k + symbol]
-            node[:alive] = self.step[node[:alive] * k + symbol]
-        return np.bincount(owner, sums, len(size))
+                used[t] = self.row[node]
+            node = self.step[node * k + (c[early + DEPTH + t] if t < 0 else column[t])]
+        used = np.ascontiguousarray(used.T).ravel()[: b - a]
+        log10p = self.log10p[used * k + c[DEPTH : DEPTH + b - a]].astype(np.float64)
+        log10p[s[a:b] == BEGIN] = 0
+        return used, log10p
+
+    def gains(self, used: np.ndarray, log10p: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """For each word [first, last): log10 of what its share of all words is to be multiplied by, over the tree's own."""
+        bounds = np.stack([first, last], 1).ravel()
+        of_tree = np.add.reduceat(log10p, bounds)[::2] if len(first) else np.zeros(0)
+        return np.log10((1 - self.stop[used[first]]) / self.stop[used[last]]) - of_tree
 
 
 def grow(counts: DataFrame) -> Tree:
@@ -225,12 +249,14 @@ def score(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), folds).alias("held_out"), normal_text(text_of()).alias("text"))
     counts = stage(counted(rows.filter(~F.col("held_out"))))
     words = counts.filter(F.col("kind") == 0)
-    n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    spoken = F.sum(F.when(F.col("key") != END_TOKEN, F.col("n")))
+    n, v, spoken = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(spoken, F.lit(1))).first()
     often = words.filter(F.col("n") >= F.lit(WORD_SHARE * n)).select("key", "n").toArrow()  # at most 1 / WORD_SHARE rows
     key = often.column("key").to_numpy()
     order = np.argsort(key)
     model = spark.sparkContext.broadcast((grow(counts), key[order], often.column("n").to_numpy()[order]))
     norm = float(np.log10(n + 0.1 * (v + 1)))
+    rest, weight = float(np.log10(1 - WORD_WEIGHT)), float(np.log10(WORD_WEIGHT / spoken))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, key, count = model.value
@@ -241,53 +267,51 @@ def score(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
                 continue
             s, start, end = symbols(batch.column(2))
             docs_n = len(start)
-            tokens, known, base = np.ones(docs_n, np.int64), np.zeros(docs_n, np.int64), np.zeros(docs_n)
-            of_doc, hashes, times = [], [], []
+            tokens, known, base, score = np.ones(docs_n, np.int64), np.zeros(docs_n, np.int64), np.zeros(docs_n), np.zeros(docs_n)
+            of_doc, hashes, left = [np.arange(docs_n)], [np.full(docs_n, END_TOKEN)], [np.full(docs_n, np.nan)]  # one end per text
+            place = np.searchsorted(key, END_TOKEN)
+            if place < len(key) and key[place] == END_TOKEN:
+                known, base = known + 1, base + log[place]
+                of_doc, hashes, left = [], [], []
             for a, b in chunks(s):
-                h, at = word_hashes(s, a, b)
-                doc = np.searchsorted(start, at, side="right") - 1
+                used, log10p = tree.walk(s, a, b)
+                some = np.arange(np.searchsorted(end, a), np.searchsorted(start, b))
+                score[some] += np.add.reduceat(log10p, np.maximum(start[some], a) - a)
+                h, first, last = word_hashes(s, a, b)
+                gain = tree.gains(used, log10p, first - a, last - a)
+                doc = np.searchsorted(start, first, side="right") - 1
                 place = np.minimum(np.searchsorted(key, h), max(0, len(key) - 1))
                 hit = key[place] == h if len(key) else np.zeros(len(h), bool)
                 tokens += np.bincount(doc, minlength=docs_n)
                 known += np.bincount(doc[hit], minlength=docs_n)
                 base += np.bincount(doc[hit], log[place[hit]], docs_n)
-                pair = np.stack([doc[~hit], h[~hit]], 1)
-                pair, c = _distinct(pair)
-                of_doc.append(pair[:, 0]), hashes.append(pair[:, 1]), times.append(c)
-            owner, h, c = (np.concatenate(x) for x in (of_doc, hashes, times))
-            # One end per text.
-            owner, h, c = np.concatenate([owner, np.arange(docs_n)]), np.concatenate([h, np.full(docs_n, END_TOKEN)]), np.concatenate([c, np.ones(docs_n, np.int64)])
-            place = np.searchsorted(key, END_TOKEN)
-            if place < len(key) and key[place] == END_TOKEN:
-                known, base = known + 1, base + log[place]
-                owner, h, c = owner[:-docs_n], h[:-docs_n], c[:-docs_n]
+                mixed = weight + np.log10(count[place[hit]]) + gain[hit]
+                mixed = np.maximum(mixed, rest) + np.log10(1 + 10 ** -np.abs(mixed - rest))
+                score += np.bincount(doc[hit], mixed, docs_n)
+                of_doc.append(doc[~hit]), hashes.append(h[~hit]), left.append(gain[~hit])
+            owner, h, gain = (np.concatenate([*x, np.zeros(0, t)]) for x, t in ((of_doc, np.int64), (hashes, np.int64), (left, np.float64)))
             order = np.argsort(owner, kind="stable")
             lists = np.searchsorted(owner[order], np.arange(docs_n + 1)).astype(np.int32)
-            rare = [pa.ListArray.from_arrays(pa.array(lists), pa.array(x[order])) for x in (h, c)]
-            columns = [pa.array(part + row + np.arange(docs_n)), batch.column(0), batch.column(1), *map(pa.array, (tokens, known, base, tree.scores(s, start, end))), *rare]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare", "times"])
+            rare = [pa.ListArray.from_arrays(pa.array(lists), pa.array(x[order])) for x in (h, gain.astype(np.float32))]
+            columns = [pa.array(part + row + np.arange(docs_n)), batch.column(0), batch.column(1), *map(pa.array, (tokens, known, base, score)), *rare]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare", "gain"])
             row += docs_n
 
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>, times array<long>"
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>, gain array<float>"
     found = stage(rows.mapInArrow(run, schema))
     # Rarer words meet their counts by a shuffle; none has more than WORD_SHARE of all rows in training.
-    rare = found.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
+    rare = found.select("row", F.explode(F.arrays_zip("rare", "gain")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.gain").cast("double").alias("gain"))
     looked_up = rare.join(words.select("key", F.col("n").alias("c")), "key", "left")
     log10p = F.log10(F.coalesce(F.col("c"), F.lit(0)) + 0.1) - F.lit(norm)
-    more = looked_up.groupBy("row").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("k"), F.sum(F.col("times") * log10p).alias("b"))
-    return found.drop("rare", "times").join(more, "row", "left").select(
+    mixed = F.lit(weight) + F.log10("c") + F.col("gain")
+    mixed = F.greatest(mixed, F.lit(rest)) + F.log10(1 + F.pow(F.lit(10.0), -F.abs(mixed - F.lit(rest))))
+    # An end has no gain.
+    mixed = F.when(F.isnan("gain"), 0.0).when(F.col("c").isNull(), rest).otherwise(mixed)
+    more = looked_up.groupBy("row").agg(F.count("c").alias("k"), F.sum(log10p).alias("b"), F.sum(mixed).alias("m"))
+    return found.drop("rare", "gain").join(more, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("b", F.lit(0.0))).alias("base_score"), "score",
+        (F.col("base") + F.coalesce("b", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("m", F.lit(0.0))).alias("score"),
     )
 
 
-def _distinct(pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct rows and their numbers."""
-    pair = pair[np.lexsort((pair[:, 1], pair[:, 0]))]
-    new = np.ones(len(pair), bool)
-    new[1:] = (pair[1:] != pair[:-1]).any(axis=1)
-    at = np.flatnonzero(new)
-    return pair[at], np.diff(np.append(at, len(pair)))
-
-
 ship(__name__)

@@ -15,8 +15,8 @@ def tokens(t):
     return re.findall(r"[^\x20\x09-\x0D]+", low) + ["\0end"]
 
 
-def brute_tree_score(train, text, d_max=lm.DEPTH):
-    """The same model straight from its definition, over strings of symbols."""
+def brute_score(train, text, d_max=lm.DEPTH):
+    """The same model straight from its definition, over strings of symbols and whole words."""
     seq = lambda t: [lm.BEGIN] * d_max + [max(2, b) for b in " ".join(tokens(t)[:-1]).encode()] + [lm.END]
     pair, total = Counter(), 0
     for t in train:
@@ -47,7 +47,18 @@ def brute_tree_score(train, text, d_max=lm.DEPTH):
     assert all(abs(sum(v.values()) - sum(p0.values())) < 1e-6 for v in dist.values())
     s = seq(text)
     used = lambda i: next(tuple(s[i - d : i]) for d in range(d_max, -1, -1) if tuple(s[i - d : i]) in dist)
-    return sum(math.log10(dist[used(i)][s[i]]) for i in range(d_max, len(s)))
+    out = sum(math.log10(dist[used(i)][s[i]]) for i in range(d_max, len(s)))
+    said = Counter(w for t in train for w in tokens(t)[:-1])
+    stop = lambda i: dist[used(i)][lm.BLANK] + dist[used(i)][lm.END]
+    i = d_max
+    for w in tokens(text)[:-1]:
+        end = i + len(w.encode())
+        of_tree = sum(math.log10(dist[used(j)][s[j]]) for j in range(i, end))
+        known = said[w] / max(1, sum(said.values())) * (1 - stop(i)) / stop(end)
+        # log10 of ((1 - weight) * tree + weight * known) / tree
+        out += math.log10(1 - lm.WORD_WEIGHT + (lm.WORD_WEIGHT * 10 ** (math.log10(known) - of_tree) if known else 0))
+        i = end + 1
+    return out
 
 
 def test_score_equals_the_definition(spark, monkeypatch):
@@ -72,7 +83,30 @@ def test_score_equals_the_definition(spark, monkeypatch):
         base = sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)
         r = got[(i, len(w), round(base, 6))]
         assert r.n_known == sum(c[x] > 0 for x in w) and r.train_tokens == n and r.held_out == held(i)
-        assert abs(r.score - brute_tree_score(train, t)) < 1e-3 * max(1, len(w))
+        assert abs(r.score - brute_score(train, t)) < 1e-3 * max(1, len(w))
+
+
+def test_known_words_count_however_rare(spark):
+    """A word of the training part is likelier than one that is not, though both are made of the same bytes."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(14))
+    said, new = [word() for _ in range(300)], [word() for _ in range(300)]
+    held = next(i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 10 == 0)
+    rest = [i for i in range(200, 220) if zlib.crc32(str(i).encode()) % 10]
+    rows = [(i, " ".join(said)) for i in rest] + [(held, " ".join(said)), (held, " ".join(new))]
+    got = [r.score for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).filter("held_out").collect()]
+    assert len(got) == 2 and max(got) - min(got) > 300 * 3
+
+
+def test_words_with_control_characters_stay_whole_at_chunk_ends(monkeypatch):
+    monkeypatch.setattr(lm, "CHUNK", 5)
+    import pyarrow as pa
+
+    s, _, _ = lm.symbols(pa.array(["ab\x07cd\x1fef gh \x0eij", "", "kl"]))
+    whole = lm.word_hashes(s, lm.DEPTH, len(s))
+    parts = [lm.word_hashes(s, a, b) for a, b in lm.chunks(s)]
+    for i in range(3):
+        assert np.concatenate([p[i] for p in parts]).tolist() == whole[i].tolist()
 
 
 def test_empty_tables_and_blocks(spark):
