@@ -9,7 +9,7 @@ tasks.  The block a line comes from is its chunk for the ordered scans.
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from urllib.parse import unquote
 
@@ -22,6 +22,7 @@ from colloquy import lexicons as lx
 from colloquy.functions import clean
 from colloquy.functions.text import has, trim
 from colloquy.operators.normalize import parse_timestamp
+from colloquy.plans import lineage
 from colloquy.plans.ordered import scan
 from colloquy.sources.json_pieces import elements, large_files, read_pieces
 
@@ -53,9 +54,28 @@ NOT_A_SPEAKER = "(?i)conversation|chat|section|notice"
 RULER = rf"^[-=_]{{3,}}\s*\[?{_YMD}.*[-=_]{{3,}}\z"
 
 
-def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(chat_id, block, place, line) of text files; (block, place) orders the lines of a file."""
-    lines = spark.read.text(path)
+# Kinds of transcript files by the end of their name, in either case.
+KINDS = {"json": ["json"], "rows": ["jsonl"], "page": ["html", "htm"], "markdown": ["md"], "text": ["txt", "csv", "log"]}
+
+
+def _ends(kind: str | None = None) -> str:
+    """Pattern of the names of a kind, or of any known kind."""
+    ends = KINDS[kind] if kind else [e for ends in KINDS.values() for e in ends]
+    return rf"(?i)\.(?:{'|'.join(ends)})\z"
+
+
+def _glob(kind: str) -> str:
+    return "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in e) for e in KINDS[kind]) + "}"
+
+
+def read_lines(spark: SparkSession, path: str | list[str], kind: str | None = None, known: bool = True) -> DataFrame:
+    """(chat_id, block, place, line) of text files; (block, place) orders the lines of a file.
+
+    Only files of one kind are opened if it is given, and only those of no known kind if not ``known``.
+    """
+    lines = spark.read.options(**({"pathGlobFilter": _glob(kind)} if kind else {})).text(path)
+    if not known:
+        lines = lines.filter(~F.col("_metadata.file_path").rlike(_ends()))
     return lines.select(
         F.col("_metadata.file_path").alias("chat_id"),
         F.col("_metadata.file_block_start").alias("block"),
@@ -422,64 +442,95 @@ def read_transcript_markdown(spark: SparkSession, path: str | list[str]) -> Data
     return markdown_messages(read_lines(spark, path))
 
 
+def _manifest(spark: SparkSession, folder: str) -> dict[str, tuple[int, int]]:
+    """Number of files and largest size for each kind of file in a folder; "other" is what no kind claims."""
+    kind = F.coalesce(*[F.when(F.col("path").rlike(_ends(k)), F.lit(k)) for k in KINDS], F.lit("other"))
+    files = spark.read.format("binaryFile").load(folder).select("path", "length")
+    rows = files.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.max("length").alias("largest")).collect()
+    return {r.kind: (r.n, r.largest) for r in rows}
+
+
 def read_transcripts(spark: SparkSession, folder: str) -> DataFrame:
     """All transcripts of a folder, by file name in either case.
 
     Other files are read as a JSON document if they start like one and hold messages, else tried as JSON lines,
-    Markdown, then text.  The names of those that start like JSON are looked up when this is called.
+    Markdown, then text.  A count of the files by kind comes first, and only kinds that are there are planned, each over
+    its own files.  Where the content has to decide, it is looked up when this is called, and the names of the files
+    are kept as a table, so that no reader repeats the plan of the one before.  A folder without files gives no rows.
     """
-
-    def files(lines: DataFrame, pattern: str, other: bool = False) -> DataFrame:
-        hit = has("chat_id", rf"(?i)\.(?:{pattern})\z")
-        return lines.filter(~hit if other else hit)
-
-    lines = read_lines(spark, folder)
-    whole = spark.read.option("pathGlobFilter", "*.{[jJ][sS][oO][nN],[hH][tT][mM][lL],[hH][tT][mM]}").text(folder, wholetext=True).select(
-        F.col("_metadata.file_path").alias("chat_id"), F.col("_metadata.file_size").alias("size"), "value"
-    )
-    documents = files(whole, "json").filter(F.col("size") < MAX_JSON_BYTES).drop("size")
-    docs = documents.withColumn("v", F.try_parse_json("value"))
-    too_large = [f for f in large_files(spark, folder, MAX_JSON_BYTES) if f.lower().endswith(".json")]
-    large = elements(read_pieces(spark, too_large)) if too_large else None
-    pages = files(whole.drop("size"), "html?").select(F.col("chat_id").alias("page"), F.col("value").alias("html"))
-    known = "json|jsonl|html?|md|txt|csv|log"
-    other = files(lines, known, other=True)
-    # Files of unknown kind that start like JSON may be one document.
-    first = other.filter(trim("line") != "").groupBy("chat_id").agg(F.min_by(trim("line"), F.struct("block", "place")).alias("l"))
-    holds = F.coalesce(*[F.try_variant_get("v", p, "array<variant>") for p in ("$", "$.messages", "$.data", "$.history")]).isNotNull()
-    names = [r.chat_id for r in first.filter(F.substring("l", 1, 1).isin("{", "[")).select("chat_id").collect()]
-    if names:
-        odd = spark.read.text([unquote(n) for n in names], wholetext=True).select(F.col("_metadata.file_path").alias("chat_id"), "value").withColumn("v", F.try_parse_json("value"))
-        odd = odd.filter(holds)
-        docs = docs.unionByName(odd)
-        other = other.join(odd.select("chat_id"), "chat_id", "left_anti")
-    markdown = files(lines, "md").unionByName(other)
-    # A .json file may hold rows, of which the parser takes the first for the document.
-    no_document = docs.filter(F.col("v").isNull() | ~holds).select("chat_id")
-    if large is not None:
-        names = spark.read.format("binaryFile").load(folder).filter(F.col("length") >= MAX_JSON_BYTES).select(F.col("_metadata.file_path").alias("chat_id"))
-        no_document = no_document.unionByName(names.join(large.filter("name <> ''").select("chat_id").distinct(), "chat_id", "left_anti"))
-    rows_only = files(lines, "json").join(no_document, "chat_id", "left_semi")
-    said = F.coalesce(*[F.try_variant_get("m", f"$.{n}", "variant") for n in ("content", "text", "message", "body")]).isNotNull()
-    from_json_lines = row_messages(
-        json_lines(files(lines, "jsonl").unionByName(other)).unionByName(json_lines(rows_only).filter(said))
-    )
-    rest = markdown.join(from_json_lines.select("chat_id").distinct(), "chat_id", "left_anti")
-    from_markdown = markdown_messages(rest)
-    as_text = files(lines, "txt|csv|log").unionByName(
-        rest.join(from_markdown.select("chat_id").distinct(), "chat_id", "left_anti")
-    )
-    if large is not None:
-        from_json_lines = from_json_lines.unionByName(_export_rows(_large_export(large))).unionByName(row_messages(_large_rows(large)))
-    parts = [
-        text_messages(as_text),
-        from_markdown,
-        export_messages(docs.select("chat_id", "v")),
-        row_messages(_array_rows(docs.select("chat_id", "v"))),
-        from_json_lines,
-        extract_messages_html(pages, "page", "html"),
-    ]
+    found = _manifest(spark, folder)
+    parts = []
+
+    def names(rows: DataFrame) -> DataFrame:
+        return lineage.cut(rows.select("chat_id").distinct())
+
+    if "text" in found:
+        parts.append(text_messages(read_lines(spark, folder, "text")))
+    if "page" in found:
+        whole = spark.read.option("pathGlobFilter", _glob("page")).text(folder, wholetext=True)
+        parts.append(extract_messages_html(whole.select(F.col("_metadata.file_path").alias("page"), F.col("value").alias("html")), "page", "html"))
+    if "rows" in found:
+        parts.append(row_messages(json_lines(read_lines(spark, folder, "rows"))))
+    if "json" in found:
+        parts += _json_files(spark, folder, found["json"][1], names)
+    tried = read_lines(spark, folder, "markdown") if "markdown" in found else None
+    if "other" in found:
+        other, more = _other_files(spark, folder, names)
+        parts += more
+        tried = other if tried is None else tried.unionByName(other)
+    if tried is not None:
+        markdown = markdown_messages(tried)
+        hit = names(markdown)
+        parts.append(markdown)
+        if hit.count() < found.get("markdown", (0, 0))[0] + found.get("other", (0, 0))[0]:
+            parts.append(text_messages(tried.join(hit, "chat_id", "left_anti")))
+    if not parts:
+        parts.append(text_messages(read_lines(spark, folder, "text")))
     out = parts[0].select(*RAW)
     for part in parts[1:]:
         out = out.unionByName(part.select(*RAW))
     return out
+
+
+def _holds() -> Column:
+    """Whether a JSON document ``v`` holds messages."""
+    return F.coalesce(*[F.try_variant_get("v", p, "array<variant>") for p in ("$", "$.messages", "$.data", "$.history")]).isNotNull()
+
+
+def _json_files(spark: SparkSession, folder: str, largest: int, names: Callable[[DataFrame], DataFrame]) -> list[DataFrame]:
+    """Messages of the .json files: documents, those too large to be parsed whole, and files that hold rows."""
+    whole = spark.read.option("pathGlobFilter", _glob("json")).text(folder, wholetext=True)
+    whole = whole.filter(F.col("_metadata.file_size") < MAX_JSON_BYTES)
+    docs = whole.select(F.col("_metadata.file_path").alias("chat_id"), F.try_parse_json("value").alias("v"))
+    parts = [export_messages(docs), row_messages(_array_rows(docs))]
+    # A .json file may hold rows, of which the parser takes the first for the document.
+    no_document = docs.filter(F.col("v").isNull() | ~_holds())
+    if largest >= MAX_JSON_BYTES:
+        large = [f for f in large_files(spark, folder, MAX_JSON_BYTES) if f.lower().endswith(".json")]
+        pieces = elements(read_pieces(spark, large))
+        parts += [_export_rows(_large_export(pieces)), row_messages(_large_rows(pieces))]
+        files = spark.read.format("binaryFile").option("pathGlobFilter", _glob("json")).load(folder).filter(F.col("length") >= MAX_JSON_BYTES)
+        files = files.select(F.col("_metadata.file_path").alias("chat_id"))
+        no_document = no_document.select("chat_id").unionByName(files.join(names(pieces.filter("name <> ''")), "chat_id", "left_anti"))
+    no_document = names(no_document)
+    if no_document.count():
+        said = F.coalesce(*[F.try_variant_get("m", f"$.{n}", "variant") for n in ("content", "text", "message", "body")]).isNotNull()
+        lines = read_lines(spark, folder, "json").join(no_document, "chat_id", "left_semi")
+        parts.append(row_messages(json_lines(lines).filter(said)))
+    return parts
+
+
+def _other_files(spark: SparkSession, folder: str, names: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, list[DataFrame]]:
+    """(lines of the files of no known kind that are not JSON, messages of those that are)."""
+    lines = read_lines(spark, folder, known=False)
+    # Files that start like JSON may be one document.
+    first = lines.filter(trim("line") != "").groupBy("chat_id").agg(F.min_by(trim("line"), F.struct("block", "place")).alias("l"))
+    likely = [r.chat_id for r in first.filter(F.substring("l", 1, 1).isin("{", "[")).select("chat_id").collect()]
+    parts, rest = [], lines
+    if likely:
+        odd = spark.read.text([unquote(n) for n in likely], wholetext=True)
+        odd = odd.select(F.col("_metadata.file_path").alias("chat_id"), F.try_parse_json("value").alias("v")).filter(_holds())
+        parts = [export_messages(odd), row_messages(_array_rows(odd))]
+        rest = lines.join(names(odd), "chat_id", "left_anti")
+    rows = row_messages(json_lines(rest))
+    return rest.join(names(rows), "chat_id", "left_anti"), [*parts, rows]

@@ -65,3 +65,23 @@ def test_busy_chunks_are_cut(spark, monkeypatch):
     want = {(r.chat_id, r.line_no): r.n for r in df.filter("chat_id is not null").select("*", lead.alias("n")).collect()}
     closed = memory.supersede(df.withColumnRenamed("line_no", "id"), ["chat_id"], "ts").filter("chat_id is not null")
     assert {(r.chat_id, r.id): r.valid_to for r in closed.collect()} == want
+
+
+def test_a_folder_of_all_kinds_has_a_small_plan(spark, tmp_path):
+    """Readers stand side by side: a kind that is there costs its own reader, one that is not costs nothing."""
+    files = {
+        "a.txt": "2026-05-14 10:22:15 Ann: hi", "b.md": "**Ann**: hi", "c.md": "14/05/2026, 10:25 - Bob: dash", "d.json": '{"messages": []}',
+        "e.json": '{"sender": "Ann", "content": "a"}', "f.jsonl": '{"sender": "Ann", "content": "a"}', "g.html": "<p></p>", "h.chat": '[{"content": "b"}]', "i.chat": "Ann: x",
+    }
+    for name, text in files.items():
+        (tmp_path / "all").mkdir(exist_ok=True)
+        (tmp_path / "all" / name).write_text(text)
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "a.txt").write_text(files["a.txt"])
+    (tmp_path / "none").mkdir()
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    whole = transcripts.read_transcripts(spark, str(tmp_path / "all"))
+    assert plan(whole).count("Exchange") < 100
+    assert {r.chat_id.rsplit("/", 1)[1] for r in whole.collect()} == set(files) - {"d.json", "g.html"}
+    assert plan(transcripts.read_transcripts(spark, str(tmp_path / "one"))).count("FileScan") <= 2
+    assert transcripts.read_transcripts(spark, str(tmp_path / "none")).count() == 0
