@@ -103,3 +103,43 @@ def session_counters(messages: DataFrame, keys: list[str], ts: str = "ts", id: s
     return rows.groupBy(*keys).agg(
         F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count(F.lit(1)).alias("message_count")
     )
+
+
+def session_counters_stream(
+    messages: DataFrame, keys: list[str], ts: str = "ts", id: str = "message_id", watermark: str = "10 minutes", idle_hours: float = 168.0
+) -> DataFrame:
+    """The counters of each session that a batch brings something for (update mode).
+
+    A message id counts once.  Messages older than the watermark are dropped, so a session keeps only the ids that are
+    not; a message without a time or an id is dropped.  A session that brings nothing for ``idle_hours`` of event time is
+    forgotten, and starts anew should it come back.
+    """
+    kinds = dict(messages.dtypes)
+    rows = messages.withWatermark(ts, watermark).filter(F.col(ts).isNotNull() & F.col(id).isNotNull())
+    rows = rows.select(*keys, ts, F.unix_micros(ts).alias("micros"), F.col(id).alias("id"))
+
+    def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        late = max(0, state.getCurrentWatermarkMs()) * 1000
+        first, last, n, micros, ids = state.get if state.exists else (None, None, 0, [], [])
+        seen = {i: t for t, i in zip(micros, ids, strict=True) if t >= late}
+        changed = False
+        for frame in frames:
+            for t, i in zip(frame["micros"].tolist(), frame["id"].tolist(), strict=True):
+                if t >= late and i not in seen:
+                    seen[i], n, changed = t, n + 1, True
+                    first, last = (t, t) if first is None else (min(first, t), max(last, t))
+        if n:
+            state.update((first, last, n, list(seen.values()), list(seen)))
+            state.setTimeoutTimestamp(max(last // 1000, state.getCurrentWatermarkMs()) + int(idle_hours * 3_600_000))
+        if changed:
+            yield pd.DataFrame({**{k: [v] for k, v in zip(keys, group, strict=True)}, "first": [first], "last": [last], "message_count": [n]})
+
+    of_keys = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    counted = rows.groupBy(*keys).applyInPandasWithState(
+        step, f"{of_keys}, first long, last long, message_count long",
+        f"first long, last long, n long, micros array<long>, ids array<{kinds[id]}>", "update", GroupStateTimeout.EventTimeTimeout,
+    )
+    return counted.select(*keys, F.timestamp_micros("first").alias("first_ts"), F.timestamp_micros("last").alias("last_ts"), "message_count")

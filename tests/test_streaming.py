@@ -174,3 +174,29 @@ def test_pseudonym_is_hmac(spark):
         assert [r["p"] for r in got] == [
             "user_" + hmac.new(salt.encode(), str(i).encode(), hashlib.sha256).hexdigest()[:12] for i in range(3)
         ]
+
+
+def test_idle_sessions_are_forgotten(spark, tmp_path):
+    """Counters equal the batch's, replayed messages count once, and the state shrinks when sessions fall silent."""
+    df = messages(spark, 200, 4)
+    folder, late = tmp_path / "in", 30 * 86_400
+    source = stream_of(spark, df.unionByName(df.filter("message_id % 3 = 0")), folder, 3)
+    query = (
+        state.session_counters_stream(source, ["chat_id"], watermark="1 hour", idle_hours=24.0)
+        .writeStream.format("memory").queryName("idle_out").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).start()
+    )
+    try:
+        query.processAllAvailable()
+        latest = spark.table("idle_out").groupBy("chat_id").agg(F.max_by(F.struct("first_ts", "last_ts", "message_count"), "message_count").alias("x")).select("chat_id", "x.*")
+        assert as_set(latest) == as_set(state.session_counters(df, ["chat_id"]))
+        sessions = lambda: query.lastProgress["stateOperators"][0]["numRowsTotal"]
+        assert sessions() == 4
+        for i in range(2):
+            rows = [(9, 10_000 + i, 9, 1_700_000_000.0 + late + i, "later")]
+            new = spark.createDataFrame(rows, "chat_id long, message_id long, user_id long, t double, text string")
+            new = new.select("chat_id", "message_id", "user_id", F.timestamp_micros((F.col("t") * 1e6).cast("long")).alias("ts"), "text", F.lit(None).cast("long").alias("reply_to_id"))
+            new.coalesce(1).write.mode("append").parquet(str(folder))
+            query.processAllAvailable()
+        assert sessions() == 1
+    finally:
+        query.stop()
