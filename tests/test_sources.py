@@ -1,6 +1,7 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from colloquy.operators.facts import parse_notes
@@ -225,3 +226,18 @@ def test_documents_in_pieces(spark, tmp_path):
         assert got(tr.read_chat_export_json(spark, path, whole_bytes=0), "id", "sender", "content") == got(tr.read_chat_export_json(spark, path), "id", "sender", "content")
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_a_package_that_breaks_off_leaves_the_one_before(spark, tmp_path):
+    path = str(tmp_path / "package")
+    with pytest.raises(ValueError, match="no package"):
+        sinks.read_profile_tables(spark, path)
+    one = {"a": spark.range(3), "b": spark.range(5)}
+    sinks.write_profile_tables(one, path, kind="first")
+    broken = {"a": spark.range(7), "b": spark.range(2).select(F.raise_error(F.lit("lost")).cast("long").alias("id"))}
+    with pytest.raises(Exception, match="lost"):
+        sinks.write_profile_tables(broken, path, kind="second")
+    assert {n: t.count() for n, t in sinks.read_profile_tables(spark, path).items()} == {"a": 3, "b": 5}
+    manifest = sinks.write_profile_tables({"a": spark.range(0)}, path, note="third")
+    assert [(r.component, r.rows, r.note, r.package) for r in manifest.collect()] == [("a", 0, "third", 2)]
+    assert {n: t.count() for n, t in sinks.read_profile_tables(spark, path).items()} == {"a": 0}
