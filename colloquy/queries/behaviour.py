@@ -237,13 +237,28 @@ def emoji_by_context(spark, sf):
     return assets.emoji_by_context(assets.emoji_table(texts, train, KEY, rules=TAGS), KEY)
 
 
+# As for emojis, of texts in which "ou" stands for a sticker.
+_MARKED = "replace(content, 'ou', '[sticker:ou]')"
+_STICKERS = (
+    _ASSETS.replace(_EMOJI_RE, "(?i)\\[sticker[^\\]]*\\]")
+    .replace("tx AS (SELECT chat_id, seq, content FROM chat", f"tx AS (SELECT chat_id, seq, {_MARKED} AS content FROM chat")
+    .replace("FROM split WHERE split = 'train'", f"FROM (SELECT * REPLACE ({_MARKED} AS content) FROM split) WHERE split = 'train'")
+)
+
+
 @query(
-    f"""WITH {CHAT}, t AS (SELECT chat_id, seq, replace(content, 'ou', '[sticker:ou]') AS x FROM chat WHERE is_target),
-u AS (SELECT chat_id, unnest(regexp_extract_all(x, '(?i)\\[sticker[^\\]]*\\]')) AS asset FROM t)
-SELECT chat_id, asset, count(*) AS raw_count, round(count(*) / any_value(n), 4) AS frequency FROM u JOIN (SELECT chat_id, count(*) AS n FROM t GROUP BY 1) USING (chat_id) GROUP BY ALL"""
+    f"""WITH {_STICKERS}, t AS (SELECT chat_id, count(*) AS n FROM tx GROUP BY 1), u AS (SELECT chat_id, asset, count(*) AS raw_count FROM uses GROUP BY ALL),
+c AS (SELECT chat_id, asset, tag, count(*) AS k FROM (SELECT chat_id, asset, unnest(tags) AS tag FROM sight) GROUP BY ALL),
+s AS (SELECT *, CAST(round(10000 * round(k / sum(k) OVER (PARTITION BY chat_id, asset), 4)) AS BIGINT) AS share FROM c),
+m AS (SELECT chat_id, asset, string_agg(tag || ':' || share, ' ' ORDER BY tag) AS contexts FROM s GROUP BY ALL)
+SELECT chat_id, asset, raw_count, round(raw_count / n, 4) AS frequency,
+  CAST(CASE WHEN raw_count <= 1 THEN 0.6 WHEN raw_count <= 3 THEN 0.75 WHEN raw_count <= 10 THEN 0.88 ELSE 0.95 END AS DOUBLE) AS confidence, contexts
+FROM u JOIN t USING (chat_id) LEFT JOIN m USING (chat_id, asset)"""
 )
 def sticker_table(spark, sf):
+    """The context distribution is shown as tag:share in ten-thousandths."""
     texts, train = _tables(spark, sf)
-    mark = F.replace("content", F.lit("ou"), F.lit("[sticker:ou]"))
-    train = train.withColumn("target_message", F.replace("target_message", F.lit("ou"), F.lit("[sticker:ou]")))
-    return assets.sticker_table(texts.withColumn("text", mark), train, KEY).select("chat_id", "asset", "raw_count", "frequency")
+    mark = lambda c: F.replace(c, F.lit("ou"), F.lit("[sticker:ou]"))
+    found = assets.sticker_table(texts.withColumn("text", mark("content")), train.withColumn("target_message", mark("target_message")), KEY, rules=TAGS)
+    shares = F.transform(F.map_entries("context_distribution"), lambda e: F.concat(e["key"], F.lit(":"), F.round(e["value"] * 10000).cast("long").cast("string")))
+    return found.select("chat_id", "asset", "raw_count", "frequency", "confidence", F.array_join(F.array_sort(shares), " ").alias("contexts"))

@@ -29,3 +29,12 @@ def test_retrieval_equals_all_pairs_with_a_word_everybody_holds(spark):
     assert pairs < all_pairs / 4
     common = memory.candidate_pairs(queries.filter("query = 'common'"), usable, now).count()
     assert common <= 70  # three personas, no more than the best of each list and its ties in a bucket
+
+
+def test_memories_of_a_persona_in_order(spark):
+    rows = [(1, "p0", "L1", 3), (2, "p1", "L1", 4), (3, "p0", "L2", 2), (4, None, "L1", 0), (5, "p0", "L1", 1), (6, "p0", None, None)]
+    memories = spark.createDataFrame(rows, "id long, persona_id string, layer string, created_at long").repartition(3)
+    ids = lambda **by: [r.id for r in memory.query_memories(memories, **by).collect()]
+    assert ids(persona="p0") == [6, 5, 3, 1] and ids(persona="p0", layer="L1") == [5, 1]
+    assert ids(layer="L1") == [4, 5, 1, 2]
+    assert ids(persona="nobody") == [] and len(ids()) == 6
