@@ -243,7 +243,7 @@ def score(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
     ``docs``: (doc_id, text, ...).  Documents of the held-out fold teach nothing.  Null text is empty, whose only token
     is the end; a null doc_id reads as empty text for the fold and stays null; repeated rows have one result each
     (and count as often as they stand there); other columns are ignored.  With nothing to learn from, the tree is
-    an even distribution over symbols.
+    an even distribution over symbols, and every word is an unknown one.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), folds).alias("held_out"), normal_text(text_of()).alias("text"))
