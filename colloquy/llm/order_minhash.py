@@ -1,18 +1,21 @@
-"""Near-duplicate classes by Order MinHash over five-word shingles, verified by banded alignment.
+"""Near-duplicate classes by Order MinHash over five-word shingles, verified by banded alignment of the words.
 
-Shingles carry their occurrence number, so all shingles of a document differ.  Two documents are linked if their
-common labelled shingles, kept in order, make up ``SIMILARITY`` of all: M / (a + b - M), M being the length
-of the longest common subsequence.  A class is a connected component of links.
+Two documents are linked if the words that an alignment matches make up ``SIMILARITY`` of all: M / (a + b - M), a and b
+being their numbers of words and M the length of the longest common subsequence.  A class is a connected component of
+links.  Candidates share a sketch of labelled shingles: a shingle carries its occurrence number, so all of one
+document differ.
 
 * Texts with equal words collapse first; only distinct ones are compared.
 * Order MinHash: each hash function picks the ``PICKED`` least labelled shingles and keeps them in text
-  order; ``ROWS`` such sketches make a bucket key, and there are ``BANDS`` keys.  A pair at the threshold
-  misses all of them with a probability of about 3e-5, more similar pairs with far less.
+  order; ``ROWS`` such sketches make a bucket key, and there are ``BANDS`` keys.  A pair that has 0.8 of its
+  shingles in common misses all of them with a probability of about 3e-5.  A replaced word takes five shingles with it:
+  pairs with 3 / 5 / 8 % of their words replaced here and there are missed by some 0.04 / 3 / 30 in a hundred.
 * In a bucket nobody meets everybody: members meet the first one, then the one with most links; only members
   still outside the class of that hub then meet the members of other classes, in blocks.  So groups of copies cost a
   few comparisons each, and no link between classes is lost.
-* The alignment looks only inside the band that the threshold leaves: places more than
-  (a + b) (1 - t) / (1 + t) apart cannot both stand in an alignment that is good enough.
+* The alignment looks only inside the band that the threshold leaves: words more than
+  (a + b) (1 - t) / (1 + t) places apart cannot be matched by an alignment that is good enough.  A row of the band is
+  one long integer, so a word costs a few operations on it.
 """
 
 from __future__ import annotations
@@ -26,14 +29,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import hash_runs, mix, ship, stage, text_of
+from colloquy.llm.common import bit_filter, hash_runs, mix, passes, ship, stage, text_of
 
 SHINGLE = 5
 SIMILARITY = 0.8
 PICKED, ROWS, BANDS = 2, 2, 20
-#: Bits of the filter that spares texts without a partner the shuffle; its size is fixed, its errors cost time only.
-FILTER_BITS = 1 << 24
 CHUNK = 1 << 20
+#: Words found this often or less are looked up place by place, more frequent ones keep a row of bits.
+SELDOM = 64
 QUERY_BLOCK, MEMBER_BLOCK = 256, 512
 
 
@@ -81,16 +84,16 @@ def digests(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return d1, d2, words, n
 
 
-def labels(words: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all shingles with and without their occurrence number, text after text, and their number per text."""
-    count = np.where(n >= SHINGLE, n - SHINGLE + 1, np.minimum(n, 1))
+def labels(words: np.ndarray, n: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all shingles of ``size`` words with and without their occurrence number, text after text, and their number per text."""
+    count = np.where(n >= size, n - size + 1, np.minimum(n, 1))
     owner = np.repeat(np.arange(len(n)), count)
     first = np.cumsum(count) - count
     start = np.repeat(np.cumsum(n) - n, count) + np.arange(len(owner)) - np.repeat(first, count)
-    length = np.minimum(n, SHINGLE)[owner]
-    padded = np.concatenate((words, np.zeros(SHINGLE, np.uint64)))
+    length = np.minimum(n, size)[owner]
+    padded = np.concatenate((words, np.zeros(size, np.uint64)))
     shingle = np.zeros(len(owner), np.uint64)
-    for k in range(SHINGLE):
+    for k in range(size):
         shingle = np.where(k < length, mix(shingle * np.uint64(0x9E3779B97F4A7C15) + padded[start + k]), shingle)
     # Occurrence numbers: place in the run of equal shingles of the same text.
     own = shingle ^ mix(owner.astype(np.uint64) + np.uint64(1))
@@ -103,14 +106,14 @@ def labels(words: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return mix(shingle + occurrence * np.uint64(0xC2B2AE3D27D4EB4F)), shingle, count
 
 
-def sketches(words: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket keys (texts x BANDS) and the number of shingles of each text; texts without words have zero keys."""
+def sketches(words: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Bucket keys (texts x BANDS); texts without words have zero keys."""
     label, shingle, count = labels(words, n)
     first = np.cumsum(count) - count
     keys = np.zeros((len(n), BANDS), np.uint64)
     has = np.flatnonzero(count)
     if not len(has):
-        return keys.view(np.int64), count
+        return keys.view(np.int64)
     cut, far = first[has], np.uint64(0xFFFFFFFFFFFFFFFF)
     seeds = mix(np.arange(1, 1 + BANDS * ROWS, dtype=np.uint64)).reshape(BANDS, ROWS)
     for band in range(BANDS):
@@ -127,22 +130,22 @@ def sketches(words: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             for p in np.sort(np.stack(places, 1), axis=1).T:  # in text order
                 keys[has, band] = mix(keys[has, band] * np.uint64(0xC2B2AE3D27D4EB4F) + np.where(p < 0, np.uint64(1), shingle[p]))
         keys[has, band] = mix(keys[has, band] + np.uint64(band))
-    return keys.view(np.int64), count
+    return keys.view(np.int64)
 
 
 def sketch_table(docs: DataFrame) -> DataFrame:
-    """(node, doc_id, row_key, d1, d2, n, keys): node numbers the rows; d1, d2 stand for the words of the text."""
+    """(node, doc_id, row_key, d1, d2, n, keys): node numbers the rows; d1, d2 stand for the n words of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node = TaskContext.get().partitionId() << 40
         for batch in batches:
             for a, b, data, offsets in _texts(batch.column(2)):
                 d1, d2, words, n = digests(data, offsets)
-                keys, count = sketches(words, n)
+                keys = sketches(words, n)
                 size = np.arange(b - a + 1, dtype=np.int32) * BANDS
                 columns = [
                     pa.array(node + np.arange(b - a)), batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(d1), pa.array(d2),
-                    pa.array(count.astype(np.int64)), pa.ListArray.from_arrays(pa.array(size), pa.array(keys.ravel())),
+                    pa.array(n.astype(np.int64)), pa.ListArray.from_arrays(pa.array(size), pa.array(keys.ravel())),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["node", "doc_id", "row_key", "d1", "d2", "n", "keys"])
                 node += b - a
@@ -157,22 +160,13 @@ def _row_key() -> Column:
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, text) of the wanted (node, d1, d2): the normal texts, found by their digests."""
-    bit = F.pmod("d1", F.lit(FILTER_BITS))
-    bits = (
-        wanted.groupBy(F.floor(bit / 32768).cast("int").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit % 32768 + 1)).alias("bits"))
-        .collect()  # at most FILTER_BITS / 32768 rows of 4 KB
-    )
-    table = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in bits:
-        table[r.bucket * 4096 : (r.bucket + 1) * 4096] = np.frombuffer(r.bits, np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    shared = bit_filter(wanted, "d1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in _texts(batch.column(0)):
                 d1, d2, _, _ = digests(data, offsets)
-                at = d1 % FILTER_BITS
-                keep = np.flatnonzero(shared.value[at >> 3] >> (at & 7) & 1)
+                keep = np.flatnonzero(passes(shared.value, d1))
                 keep = keep[np.unique(d1[keep], return_index=True)[1]]  # one copy is enough
                 yield pa.RecordBatch.from_arrays([pa.array(d1[keep]), pa.array(d2[keep]), batch.column(0).take(pa.array(a + keep))], names=["d1", "d2", "text"])
 
@@ -180,28 +174,53 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(found, ["d1", "d2"]).dropDuplicates(["d1", "d2"]).select("node", "text")
 
 
-def labelled(text: str) -> list[tuple]:
-    """The shingles of a normal text, each with its occurrence number."""
-    words = text.split(" ")
-    seen: dict = {}
-    out = []
-    for i in range(max(1, len(words) - SHINGLE + 1)):
-        s = tuple(words[i : i + SHINGLE])
-        seen[s] = k = seen.get(s, -1) + 1
-        out.append((s, k))
-    return out
+def words_of(text: str) -> list[str]:
+    """The words of a normal text; a text without any is one word."""
+    return [text] if text.startswith("\t") else text.split(" ")
+
+
+def places_of(words: list[str]) -> dict[str, list[int]]:
+    """Where each word stands."""
+    places: dict[str, list[int]] = {}
+    for i, w in enumerate(words):
+        places.setdefault(w, []).append(i)
+    return places
 
 
-def aligned(places: dict, a: int, b: list[tuple], threshold: float) -> float:
-    """Similarity of two documents if it reaches the threshold, else 0; places: of the shingles of the first."""
+def aligned(places: dict[str, list[int]], a: int, b: list[str], threshold: float) -> float:
+    """Similarity of two documents if it reaches the threshold, else 0; places: of the ``a`` words of the first.
+
+    Row j of the alignment is a run of bits for the places lo <= i < hi of the band; a bit is 0 where the longest
+    common subsequence with the first j words grows by one.  Bits below the band do not change any more.
+    """
     band = int((a + len(b)) * (1 - threshold) / (1 + threshold) + 1e-9)
-    tails: list[int] = []
-    for j, s in enumerate(b):
-        i = places.get(s)
-        if i is not None and -band <= i - j <= band:
-            at = bisect_left(tails, i)
-            tails[at : at + 1] = [i]
-    m = len(tails)
+    lo, hi = 0, min(a, band)
+    row, m = (1 << hi) - 1, 0
+    common: dict[str, tuple[int, int, int]] = {}  # of frequent words: bits, the place of the lowest, places taken up
+    for j, w in enumerate(b):
+        if j > band and lo < a:
+            m += not row & 1
+            row >>= 1
+            lo += 1
+        if hi < min(a, j + band + 1):
+            row |= 1 << (hi - lo)
+            hi += 1
+        at = places.get(w)
+        if at is None:
+            continue
+        if len(at) <= SELDOM:
+            match = sum(1 << (i - lo) for i in at if lo <= i < hi)
+        else:
+            match, base, taken = common.get(w, (0, 0, 0))
+            match >>= lo - base
+            end = bisect_left(at, hi, taken)
+            for i in at[bisect_left(at, lo, taken, end) : end]:
+                match |= 1 << (i - lo)
+            common[w] = match, lo, end
+        if match:
+            hit = row & match
+            row = (row + hit | row & ~match) & ((1 << (hi - lo)) - 1)
+    m += hi - lo - row.bit_count()
     similarity = m / (a + len(b) - m)
     return similarity if similarity >= threshold else 0.0
 
@@ -210,13 +229,14 @@ def linked(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """(a, b) of the pairs whose texts reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, places = None, {}
+        last, first, places = None, [], {}
         for batch in batches:
             good = []
             for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
                 if a != last:
-                    last, places = a, {s: i for i, s in enumerate(labelled(x.as_py()))}
-                good.append(aligned(places, len(places), labelled(y.as_py()), threshold) > 0)
+                    last, first = a, words_of(x.as_py())
+                    places = places_of(first)
+                good.append(aligned(places, len(first), words_of(y.as_py()), threshold) > 0)
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
@@ -282,7 +302,7 @@ def _rest(now: DataFrame, hubs: DataFrame, texts: DataFrame, threshold: float) -
         out: tuple[list, list] = ([], [])
         if len(q) and len(m):
             text = group.column("text").combine_chunks()
-            parts = [labels(*digests(data, offsets)[2:]) for _, _, data, offsets in _texts(text)]
+            parts = [labels(*digests(data, offsets)[2:], 1) for _, _, data, offsets in _texts(text)]
             label, count = np.concatenate([x[0] for x in parts]), np.concatenate([x[2] for x in parts])
             end = np.cumsum(count)
             own = lambda r: label[end[r] - count[r] : end[r]]
@@ -293,15 +313,16 @@ def _rest(now: DataFrame, hubs: DataFrame, texts: DataFrame, threshold: float) -
                 fit = (label_of[m] != label_of[i]) & (~outside[m] | (node[i] < node[m])) & (keys[i][(keys[m] == keys[i]).argmax(axis=1)] == key[0].as_py())
                 if not fit.any():
                     continue
-                # Common shingles bound the alignment, whatever their order; equal hashes can only raise the bound.
+                # Common words bound the alignment, whatever their order; equal hashes can only raise the bound.
                 mine = np.sort(own(i))
                 at = np.minimum(np.searchsorted(mine, of_members), len(mine) - 1)
                 common = np.add.reduceat((mine[at] == of_members).astype(np.int64), cut)
                 fit &= common * (1 + threshold) >= (n[m] + n[i]) * threshold - 1e-6
                 if fit.any():
-                    places = {s: k for k, s in enumerate(labelled(text[i].as_py()))}
+                    first = words_of(text[i].as_py())
+                    places = places_of(first)
                     for j in m[fit]:
-                        if aligned(places, len(places), labelled(text[j].as_py()), threshold):
+                        if aligned(places, len(first), words_of(text[j].as_py()), threshold):
                             out[0].append(min(node[i], node[j])), out[1].append(max(node[i], node[j]))
         return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
 
@@ -332,8 +353,8 @@ def _similar_nodes(docs: DataFrame, reps: DataFrame, threshold: float) -> DataFr
 def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """One row per document: doc_id, class_id (least doc_id of its class), class_size, stays (one document a class).
 
-    Null text is empty; texts without a word are alike only if equal; texts of fewer than five words are one
-    shingle.  A null doc_id ranks before all others and is a class_id of null; repeated rows are members
+    Null text is empty; texts without a word are alike only if equal, as are texts of fewer than five words, which are
+    one shingle.  A null doc_id ranks before all others and is a class_id of null; repeated rows are members
     of one class, of which one row stays; other columns are ignored.
     """
     return _classes(docs, threshold).drop("row_key")
@@ -355,12 +376,17 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """The documents that stay, one of each class, with all their columns."""
+    """The documents that stay, one of each class, with all their columns.
+
+    A row is known by its doc_id and a hash of its text.  Of repeated rows one stays; a null doc_id ranks first, so of a
+    class with such rows one of them stays.
+    """
     found = stage(_classes(docs, threshold))
-    stays = found.filter("stays").select(F.col("row_key").alias("__stays"))
-    kept = docs.withColumn("__row_key", _row_key()).join(stays, F.col("__row_key") == F.col("__stays"), "left_semi")
-    if not found.groupBy("row_key").count().filter("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["__row_key"])  # equal rows
+    stays = found.filter("stays").select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__stays"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__row_key") == F.col("__stays"))
+    kept = docs.withColumn("__row_key", _row_key()).join(stays, same, "left_semi")
+    if not found.groupBy("doc_id", "row_key").count().filter("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "__row_key"])  # equal rows
     return kept.drop("__row_key")
 
 

@@ -6,15 +6,8 @@ from pyspark.sql import functions as F
 from colloquy.llm import order_minhash as om
 
 
-def shingles(t):
-    w = re.findall(r"[^\W_]+", (t or "").lower())
-    if not w:
-        return [("raw", t or "")]
-    out = []
-    for i in range(max(1, len(w) - 4)):
-        s = tuple(w[i : i + 5])
-        out.append((s, sum(x[0] == s for x in out)))
-    return out
+def words(t):
+    return re.findall(r"[^\W_]+", (t or "").lower()) or [("raw", t or "")]
 
 
 def similarity(a, b):
@@ -28,7 +21,7 @@ def similarity(a, b):
 
 
 def brute(rows):
-    s = [shingles(t) for _, t in rows]
+    s = [words(t) for _, t in rows]
     label = list(range(len(rows)))
     def find(i):
         while label[i] != i:
@@ -79,3 +72,31 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert om.classes(docs.filter(F.lit(False))).count() == 0
     assert [tuple(r) for r in om.classes(docs).collect()] == [(1, 1, 1, True)]
+
+
+def test_alignment_equals_the_whole_table():
+    rng = random.Random(5)
+    for k in range(300):
+        a = [rng.choice("abcdefgh" if k % 3 else "ab") for _ in range(rng.randint(1, 300))]
+        b = list(a)
+        for _ in range(rng.randint(0, max(1, len(a) // 8))):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randint(0, 2)] = rng.choice([[], ["x"], ["a", "b"]])
+        b = b or ["a"]
+        exact = similarity(a, b)
+        assert om.aligned(om.places_of(a), len(a), b, 0.8) == (exact if exact >= 0.8 else 0.0)
+
+
+def test_near_copies_by_edit_rate(spark):
+    rng = random.Random(17)
+    rows, least = [], {0.01: 40, 0.03: 39, 0.05: 36}
+    for rate in least:
+        for k in range(40):
+            text = [f"w{rng.randrange(3000)}" for _ in range(300)]
+            copy = [f"x{rng.randrange(3000)}" if rng.random() < rate else w for w in text]
+            rows += [(f"{rate}", " ".join(text)), (f"{rate}", " ".join(copy))]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    found = {r.doc_id: r.class_id for r in om.classes(docs).collect()}
+    for at, rate in enumerate(least):
+        assert sum(found[80 * at + 2 * k + 1] == 80 * at + 2 * k for k in range(40)) >= least[rate]
+    assert all(found[2 * k] == 2 * k for k in range(120))
