@@ -1,10 +1,14 @@
+import math
+import os
 import random
+from collections import Counter
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from colloquy.functions import clean, replies
 from colloquy.operators import assets, language, leakage, memory, normalize, report, rhythm, scoring, style, turns
+from colloquy.plans.lineage import shared_folder
 from colloquy.plans.ordered import preceding, scan
 from colloquy.plans.similarity import ngram_jaccard
 
@@ -220,3 +224,18 @@ def test_items_are_found_whatever_their_blocks(spark, monkeypatch):
     got = {tuple(r) for r in scoring.found_items(texts, known, "sample_id", "speaker").collect()}
     assert got == {(i, k, v in said) for i, s, around, said in samples for t, k, v in items if s == t and (v in said or v in around)}
     assert scoring.found_items(texts, known.filter("false"), "sample_id", "speaker").count() == 0
+
+
+def test_leakage_leaves_little_on_disk(spark):
+    """What the join keeps between its steps is less than the texts, and texts of one vocabulary do not all meet."""
+    rnd = random.Random(11)
+    vocabulary = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randrange(2, 9))) for _ in range(300)]
+    texts = [" ".join(rnd.choice(vocabulary) for _ in range(rnd.randrange(100, 400))) for _ in range(300)]
+    texts[250:260] = [t.replace(t[40:46], "xyxyxy", 1) for t in texts[:10]]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, body string")
+    folder = shared_folder(spark).removeprefix("file:")
+    size = lambda: sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(folder) for f in files)
+    before = size()
+    pairs = leakage.contamination_pairs(df.filter("id < 200"), df.filter("id >= 200"), text="body", id="id", order="id")
+    assert size() - before < sum(map(len, texts))
+    assert {r["b_id"]: r["a_id"] for r in pairs.collect()} == brute(list(enumerate(texts[:200])), list(enumerate(texts))[200:])
