@@ -239,3 +239,11 @@ def test_leakage_leaves_little_on_disk(spark):
     pairs = leakage.contamination_pairs(df.filter("id < 200"), df.filter("id >= 200"), text="body", id="id", order="id")
     assert size() - before < sum(map(len, texts))
     assert {r["b_id"]: r["a_id"] for r in pairs.collect()} == brute(list(enumerate(texts[:200])), list(enumerate(texts))[200:])
+
+
+def test_audit_keeps_apart_ids_that_both_splits_have(spark):
+    rows = [(1, "the same reply here", "train"), (2, "The same reply here ", "test"), (2, "something else", "validation"), (None, "the same reply here!", "test")]
+    df = spark.createDataFrame(rows, "id long, body string, split string")
+    kept, pairs = leakage.audit(df, text="body", id="id", order="id")
+    assert sorted((r["id"] or 0, r["split"]) for r in kept.collect()) == [(0, "test"), (1, "train"), (2, "validation")]
+    assert sorted((r["b_id"] or 0, r["pass"]) for r in pairs.collect()) == [(0, "train_test"), (2, "train_test")]
