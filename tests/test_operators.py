@@ -247,3 +247,28 @@ def test_audit_keeps_apart_ids_that_both_splits_have(spark):
     kept, pairs = leakage.audit(df, text="body", id="id", order="id")
     assert sorted((r["id"] or 0, r["split"]) for r in kept.collect()) == [(0, "test"), (1, "train"), (2, "validation")]
     assert sorted((r["b_id"] or 0, r["pass"]) for r in pairs.collect()) == [(0, "train_test"), (2, "train_test")]
+
+
+def test_ngrams_are_no_rows(spark):
+    rows = [(1, "Aab", "aB"), (1, "b😂b", "ab"), (None, "abc", "abd"), (None, "x", ""), (2, "", ""), (3, None, "a"), (4, "a", "z")]
+    out = scoring.char_ngram_cosine(spark.createDataFrame(rows, "sample_id long, target string, candidate string"))
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+
+    def cosine(pairs):
+        total = 0.0
+        for n, w in scoring.NGRAM_WEIGHTS.items():
+            x, y = (Counter(g for p in pairs for g in (p[s].lower()[i : i + n] for i in range(len(p[s]) - n + 1))) for s in (0, 1))
+            norm = math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+            total += w * sum(v * y[g] for g, v in x.items()) / norm if norm else 0.0
+        return round(total, 9)
+
+    want = {k: cosine([r[1:] for r in rows if r[0] == k]) for k in (1, None, 4)}
+    assert {r["sample_id"]: round(r["ngram_score"], 9) for r in out.collect()} == want
+
+
+def test_turns_without_numbers(spark):
+    rows = [(1, 1, k, "ab"[k % 2], f"text {k}", k % 2 == 1) for k in range(9)]
+    m = spark.createDataFrame(rows, "chat_id long, session_no long, seq long, sender string, content string, is_target boolean")
+    plain, numbered = turns.build_turns(m, ts=None, numbered=False), turns.build_turns(m, ts=None)
+    assert sorted(plain.collect()) == sorted(numbered.drop("turn_no", "turn_id").collect())
+    assert plain._jdf.queryExecution().executedPlan().toString().count("Exchange") < numbered._jdf.queryExecution().executedPlan().toString().count("Exchange")
