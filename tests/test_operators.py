@@ -272,3 +272,17 @@ def test_turns_without_numbers(spark):
     plain, numbered = turns.build_turns(m, ts=None, numbered=False), turns.build_turns(m, ts=None)
     assert sorted(plain.collect()) == sorted(numbered.drop("turn_no", "turn_id").collect())
     assert plain._jdf.queryExecution().executedPlan().toString().count("Exchange") < numbered._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_cosine_and_scores_read_one_exchange(spark, tmp_path):
+    rows = [(k % 40, "s", [("Bob", "x")], f"text {k % 40}", f"Text {k % 39}") for k in range(40)] + [(None, "s", [], "a", "b"), (7, "s", [], None, "b"), (99, "s", [], "", "")]
+    spark.createDataFrame(rows, SAMPLE).write.parquet(str(tmp_path / "samples"))
+    df = spark.read.parquet(str(tmp_path / "samples"))
+    out = scoring.lexical_score(df).select("sample_id", "target", "ngram_score", "lexical")
+    got = out.collect()
+    assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()
+    want = {r["sample_id"]: r["ngram_score"] for r in scoring.char_ngram_cosine(df).collect()}
+    assert len(got) == len(rows) and 99 not in want
+    assert all(r["ngram_score"] == (0.0 if r["sample_id"] is None else want.get(r["sample_id"], 0.0)) for r in got)
+    # Columns that need no cosine do not run it.
+    assert "MapInArrow" not in scoring.lexical_score(df).select("sample_id", "target")._jdf.queryExecution().executedPlan().toString()
