@@ -286,3 +286,53 @@ def test_cosine_and_scores_read_one_exchange(spark, tmp_path):
     assert all(r["ngram_score"] == (0.0 if r["sample_id"] is None else want.get(r["sample_id"], 0.0)) for r in got)
     # Columns that need no cosine do not run it.
     assert "MapInArrow" not in scoring.lexical_score(df).select("sample_id", "target")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_grounding_adds_up_hits_where_they_are_found(spark, monkeypatch):
+    """Ids that several samples, or several speakers, have; items that come twice; nulls; blocks of a few rows."""
+    monkeypatch.setattr(scoring, "SAMPLES_A_BLOCK", 7)
+    monkeypatch.setattr(scoring, "ITEMS_A_BLOCK", 5)
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abAé喜") for _ in range(rnd.randint(1, 3)))
+    text = lambda n: rnd.choice([None, *[" ".join(word() for _ in range(n)) for _ in range(9)]])
+    samples = [(rnd.choice([None, *range(50)]), rnd.choice([None, "p", "q", "r"]), [("Bob", word())], text(3), text(4)) for _ in range(90)]
+    items = [(rnd.choice([None, "p", "q", "z"]), rnd.choice([None, "entity", "fact"]), rnd.choice([None, word()]), rnd.choice([None, "", word()]),
+              rnd.choice([None, [], [word(), None, word()]]), rnd.choice([None, True, False])) for _ in range(60)]
+    items += items[:20]
+    known = spark.createDataFrame(items, "speaker string, kind string, label string, value string, contradictions array<string>, negated boolean")
+    found = scoring.grounding(spark.createDataFrame(samples, SAMPLE), known)
+    # A hit is no row, so neither items nor texts are joined to hits.
+    assert "in_said" not in found._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for id, who, context, target, said in samples:
+        alike = [(s[4] or "").lower() for s in samples if s[0] == id]
+        around = "\x1f".join([context[0][1], *([target] if target is not None else [])]).lower()
+        for scope, kind, label, value, wrong, negated in items:
+            if id is None or who is None or scope != who or not value:
+                continue
+            now = value.lower() in (said or "").lower()
+            if not now and value.lower() not in around:
+                continue
+            grounded, issues = want.setdefault(id, [0, []])
+            want[id][0] = grounded + now * len(alike)
+            for other in alike if now else []:
+                if kind == "entity":
+                    issues += [label and f'entity contradiction: "{label}" with "{c}"' for c in wrong or [] if c is not None and c.lower() in other]
+                elif negated:
+                    issues.append(label and f'fact contradiction: "{label}" asserted when negated')
+    got = {r["sample_id"]: r for r in found.collect()}
+    assert got.keys() == want.keys() and any(v[1] for v in want.values())
+    for id, (grounded, issues) in want.items():
+        assert (got[id]["grounded"], got[id]["contradicted"]) == (grounded, len(issues))
+        assert sorted(got[id]["grounding_issues"], key=str) == sorted(issues, key=str)
+
+
+def test_scored_samples_are_kept_without_their_profile(spark, tmp_path):
+    from colloquy.queries import scores
+
+    rows = [(c, t, "assistant" if t % 2 else "user", f"the words of turn {t}. and la {c} more.") for c in range(3) for t in range(6)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    plan = scores._scored(spark, str(tmp_path)).select("sample_id", "issues", "context_score", "lexical")._jdf.queryExecution().executedPlan().toString()
+    assert "Scan ExistingRDD" not in plan and "policies" not in plan
+    # The texts of the grounding do not run the cosine once more.
+    assert plan.count("MapInArrow") == 1
