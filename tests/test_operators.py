@@ -1,3 +1,4 @@
+import hashlib
 import math
 import os
 import random
@@ -241,6 +242,51 @@ def test_leakage_leaves_little_on_disk(spark):
     assert {r["b_id"]: r["a_id"] for r in pairs.collect()} == brute(list(enumerate(texts[:200])), list(enumerate(texts))[200:])
 
 
+def _shuffled(spark, job):
+    """Bytes of the shuffle files that ``job`` writes."""
+    folders = [f.toString() for f in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+
+    def files():
+        return {f: os.path.getsize(os.path.join(at, f)) for x in folders for at, _, names in os.walk(x) for f in names if f.startswith("shuffle_") and f.endswith(".data")}
+
+    before = files()
+    job()
+    return sum(size for f, size in files().items() if f not in before)
+
+
+def _one_vocabulary(seed, count):
+    """Texts that share most of their n-grams and yet are not similar, but for a few."""
+    rnd = random.Random(seed)
+    vocabulary = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randrange(2, 9))) for _ in range(60)]
+    texts = [" ".join(rnd.choice(vocabulary) for _ in range(rnd.randrange(100, 200))) for _ in range(count)]
+    texts[-10:] = [t.replace(t[40:46], "xyxyxy", 1) for t in texts[:10]]
+    return texts
+
+
+def test_leakage_shuffles_in_proportion_to_the_texts(spark):
+    """Texts that merely share parts of their n-grams make no rows."""
+    texts = _one_vocabulary(12, 600)
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, body string")
+    pairs = []
+    shuffled = _shuffled(spark, lambda: pairs.extend(
+        leakage.contamination_pairs(df.filter("id < 400"), df.filter("id >= 400"), text="body", id="id", order="id").collect()
+    ))
+    assert {r["b_id"]: r["a_id"] for r in pairs} == brute(list(enumerate(texts[:400])), list(enumerate(texts))[400:])
+    assert shuffled < 0.4 * sum(map(len, texts))
+
+
+def test_leakage_ties_scopes_and_texts_without_ngrams(spark):
+    body = "the same long reply here with many words in it"
+    a = [(1, 7, "s", body + "!"), (2, 7, "s", body + "?"), (3, 1, "t", body), (4, 2, "s", "ab"), (5, 2, "s", None), (6, 3, None, body), (7, 0, "s", "")]
+    b = [(11, 0, "s", body), (12, 0, "u", body), (13, 0, "s", "AB "), (14, 0, "s", None), (15, 0, None, body + "."), (16, 0, "s", "abc"), (17, 0, "s", " ")]
+    da, db = (spark.createDataFrame(x, "id long, at long, chat string, body string") for x in (a, b))
+    pairs = leakage.contamination_pairs(da, db, text="body", id="id", order="at", within=["chat"])
+    first = min((1, 2), key=lambda i: hashlib.sha256(("s\x1f" + a[i - 1][3]).encode()).hexdigest())
+    assert sorted((r["b_id"], r["a_id"], r["kind"]) for r in pairs.collect()) == [
+        (11, first, "near"), (13, 4, "exact"), (14, 5, "exact"), (15, 6, "near"), (17, 7, "exact"),
+    ]
+
+
 def test_audit_keeps_apart_ids_that_both_splits_have(spark):
     rows = [(1, "the same reply here", "train"), (2, "The same reply here ", "test"), (2, "something else", "validation"), (None, "the same reply here!", "test")]
     df = spark.createDataFrame(rows, "id long, body string, split string")
